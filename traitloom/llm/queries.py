@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, packing, toxicity
+from . import common, jaccard, mixing, native, packing, pii, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,6 +19,33 @@ def query(f):
     return f
 
 
+@query
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(common.table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE["op2_ngram_jaccard"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w
+), e AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), f AS (
+  SELECT *, count(*) OVER (PARTITION BY g) AS c FROM e
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM f a JOIN f b ON a.g = b.g AND a.doc_id <> b.doc_id WHERE a.c > 1 AND b.c > 1
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), r(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, p.y FROM r JOIN p ON r.other = p.x
+), c AS (
+  SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM s JOIN c USING (doc_id)
+"""
+
+
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -65,6 +92,78 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"))
 
 
+def listed(d: DataFrame, base: list[str], kinds: list[str]) -> DataFrame:
+    """``doc_id``, a count for each base kind, the digest of the base spans, and all spans."""
+    return d.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in base), F.sha2(native.listing(base), 256).alias("base_sha256"), native.listing(kinds).alias("spans"))
+
+
+def found_sql(kind: str, pattern: str, group: int) -> str:
+    """An array of (start, end, text, part) in DuckDB: what lies between matches gives their positions."""
+    p = pattern.replace("'", "''")
+    return f"""list_transform(range(1, len(m_{kind}) + 1), lambda i: {{'s': list_sum(list_transform(p_{kind}[:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m_{kind}[:i - 1], lambda x: length(x))), 0)::BIGINT, 't': m_{kind}[i], 'g': g_{kind}[i]}})"""
+
+
+def spans_sql(table: str, rules: dict[str, tuple[str, int]], valid: dict[str, str], base: list[str]) -> str:
+    """``doc_id``, counts, digest and spans in DuckDB; ``valid`` has the condition on a match x for each kind."""
+    esc = lambda p: p.replace("'", "''")
+    first = ", ".join(f"regexp_extract_all(t, '{esc(p)}') AS m_{k}, string_split_regex(t, '{esc(p)}') AS p_{k}, regexp_extract_all(t, '{esc(p)}', {g}) AS g_{k}" for k, (p, g) in rules.items())
+    second = ", ".join(f"{found_sql(k, p, g)} AS f_{k}" for k, (p, g) in rules.items())
+    third = ", ".join(f"list_filter(f_{k}, lambda x: {valid[k]}) AS k_{k}" for k in rules)
+    every = lambda kinds: "list_sort(" + " || ".join(f"list_transform(k_{k}, lambda x: {{'s': x.s, 'i': {i}, 'e': x.s + length(x.t), 'k': '{k}'}})" for i, k in enumerate(kinds)) + ")"
+    text = lambda kinds: f"array_to_string(list_transform({every(kinds)}, lambda x: x.k || ':' || x.s || ':' || x.e), ',')"
+    counts = ", ".join(f"CAST(len(k_{k}) AS BIGINT) AS n_{k}" for k in base)
+    return f"""
+WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM {table}), b AS (SELECT *, {first} FROM a), c AS (SELECT doc_id, t, {second} FROM b),
+d AS (SELECT doc_id, {third} FROM c)
+SELECT doc_id, {counts}, sha256(coalesce({text(base)}, '')) AS base_sha256, coalesce({text([*rules])}, '') AS spans FROM d
+"""
+
+
+@query
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listed(secrets.scan(common.table(spark, sf_dir, "documents")), secrets.BASE, secrets.KINDS)
+
+
+# the base patterns as their definition has them
+ORACLE["op7_secrets"] = spans_sql(
+    "documents",
+    {k: (p, g) for k, (p, g, _) in secrets.RULES.items()} | {"assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2), "hex": ("[0-9a-f]+", 0)},
+    {k: f"length(x.g) >= {n}" for k, (_, _, n) in secrets.RULES.items()},
+    secrets.BASE,
+)
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listed(pii.detect(common.table(spark, sf_dir, "documents")), [*pii.BASE], pii.KINDS)
+
+
+LUHN = "list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse({d})[i] AS INT) ELSE (CAST(reverse({d})[i] AS INT) * 2) // 10 + (CAST(reverse({d})[i] AS INT) * 2) % 10 END)) % 10 = 0"
+TURNED = "(substr(x.t, 5) || substr(x.t, 1, 4))"
+MOD97 = f"list_reduce(list_prepend(0, list_transform(string_split({TURNED}, ''), lambda c: CAST(CASE WHEN ascii(c) < 65 THEN ascii(c) - 48 ELSE ascii(c) - 55 END AS INT))), lambda a, v: CASE WHEN v < 10 THEN (a * 10 + v) % 97 ELSE (a * 100 + v) % 97 END) = 1"
+DIGITS = "regexp_replace(x.t, '[^0-9]', '', 'g')"
+AROUND = "lower(substr(t, greatest(1, x.s + 1 - 40), x.s + length(x.t) - greatest(1, x.s + 1 - 40) + 1 + 40))"
+ORACLE["op8_pii"] = spans_sql(
+    "documents",
+    {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 0),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 0),
+        "card": (r"[0-9]([\x20-]?[0-9])+", 0),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0),
+    }
+    | pii.MORE,
+    {
+        "email": "true",
+        "ip": "len(list_filter(string_split(x.t, '.'), lambda p: TRY_CAST(p AS HUGEINT) IS NULL OR TRY_CAST(p AS HUGEINT) > 255)) = 0",
+        "card": f"length({DIGITS}) BETWEEN 12 AND 19 AND {LUHN.format(d=DIGITS)}",
+        "phone": f"length({DIGITS}) BETWEEN 9 AND 15",
+        "iban": f"CASE WHEN length(x.t) BETWEEN 15 AND 34 THEN {MOD97} ELSE false END",
+        "ssn": f"contains({AROUND}, 'ssn') OR contains({AROUND}, 'social')",
+    },
+    [*pii.BASE],
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
