@@ -5,7 +5,7 @@ is their noisy-or, and both are trained together from document labels alone; the
 probability are then the offending ones.
 
 Terms are whole words and the first four and six characters of longer words. The ``max_terms`` that tell the classes
-apart best by likelihood ratio carry weights (not negative); a sentence with none of them has probability 0, so text
+apart best by likelihood ratio (``least`` at the least) carry weights (not negative); a sentence with none of them has probability 0, so text
 without evidence adds nothing however long it is.
 
 The model is fitted on the driver on a bounded sample: at most about ``max_docs`` labelled documents of at most
@@ -62,30 +62,33 @@ def terms(sentence: str) -> set[str]:
     return {t for x in TERM.findall(sentence) for t in (x, x[:4], x[:6])}
 
 
-def fit(rows: list[tuple[str, int]], max_terms: int = 4096, rounds: int = 300, l1: float = 2e-5) -> Model:
+def fit(rows: list[tuple[str, int]], max_terms: int = 4096, least: float = 15.0, rounds: int = 300, l1: float = 2e-5) -> Model:
     """Train on (text, label) rows; the order of the rows doesn't matter."""
     rows = sorted({(t or "", int(y)) for t, y in rows})
     n = [sum(1 - y for _, y in rows), sum(y for _, y in rows)]
     if not all(n):
         return Model(leak=float(n[1] > 0) * 0.98 + 0.01)
+    # terms of toxic documents first: only those that recur there are counted elsewhere, so memory stays small
     seen = [Counter(), Counter()]
-    bags = []
     for text, y in rows:
-        bag = [terms(s) for s in SENTENCE.split(text.lower())]
-        bags.append(bag)
-        seen[y].update(set().union(*bag))
+        if y:
+            seen[1].update(terms(text.lower()))
+    recur = {t for t, a in seen[1].items() if a >= 3}
+    for text, y in rows:
+        if not y:
+            seen[0].update(terms(text.lower()) & recur)
 
     def ratio(t: str) -> float:
         a, b = seen[1][t], seen[0][t]
         e = (a + b) / (n[0] + n[1])
         return 2 * sum(x * math.log(x / m) for x, m in ((a, e * n[1]), (b, e * n[0])) if x)
 
-    good = sorted(((-ratio(t), t) for t, a in seen[1].items() if a >= 3 and a / n[1] > 3 * seen[0][t] / n[0]))
+    good = sorted(((-ratio(t), t) for t in recur if ratio(t) >= least and seen[1][t] / n[1] > 3 * seen[0][t] / n[0]))
     index = {t: i for i, (_, t) in enumerate(good[:max_terms])}
     at, feature, doc = [], [], []  # sentence of each term, term, document of each sentence
-    for d, bag in enumerate(bags):
-        for s in bag:
-            if hit := sorted(index[t] for t in s & index.keys()):
+    for d, (text, _) in enumerate(rows):
+        for s in SENTENCE.split(text.lower()):
+            if hit := sorted(index[t] for t in terms(s) & index.keys()):
                 at.extend([len(doc)] * len(hit))
                 feature.extend(hit)
                 doc.append(d)
@@ -93,14 +96,13 @@ def fit(rows: list[tuple[str, int]], max_terms: int = 4096, rounds: int = 300, l
     y = np.array([b for _, b in rows], float)
     w, b, m, v = np.full(len(index), 0.5), -2.0, np.zeros(len(index) + 1), np.zeros(len(index) + 1)
     leak = 0.01
-    weight = np.where(y > 0, len(y) / (2 * n[1]), len(y) / (2 * n[0]))
     for step in range(1, rounds + 1):
         z = np.bincount(at, w[feature], len(doc)) + b
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         logq = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)) + math.log(1 - leak)  # log P(label 0)
         q = np.exp(logq)
         # dL/dz of -y log(1-q) - (1-y) log q, with d logq / dz = -p
-        g_doc = weight * np.where(y > 0, q / np.maximum(1 - q, 1e-9), -1.0)
+        g_doc = np.where(y > 0, q / np.maximum(1 - q, 1e-9), -1.0)
         g_z = -p * g_doc[doc]
         g = np.append(np.bincount(feature, g_z[at], len(index)), g_z.sum()) / len(y)
         g[:-1] += l1
