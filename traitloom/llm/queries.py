@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, jaccard, mixing, native, packing, pii, secrets, toxicity
+from . import common, fingerprint, jaccard, mixing, native, packing, pii, secrets, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,6 +46,45 @@ SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM s JOIN
 """
 
 
+@query
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edits(common.table(spark, sf_dir, "documents"))
+
+
+def fingerprint_sql(text: str, name: str) -> str:
+    """``<name>_h`` numbers, then ``<name>`` with lanes, n and p, in DuckDB."""
+    one, mask = fingerprint.ONE, fingerprint.LANES
+    words = ", ".join(f"('0x' || substr(sha256(s), {1 + 15 * k}, 15))::BIGINT" for k in range(fingerprint.WORDS))
+    sums = ", ".join(f"coalesce(list_sum(list_transform(h, lambda w: (w[{k + 1}] >> {j}) & {one})), 0)::BIGINT & {mask}" for k in range(fingerprint.WORDS) for j in range(fingerprint.SHIFTS))
+    return f"""{name}_h AS (SELECT *, list_transform(list_filter(string_split_regex({text}, '\\. |\\n'), lambda s: length(s) > 0), lambda s: [{words}]) AS h, len(string_split({text}, chr(10))) AS p FROM {name}_in),
+{name} AS (SELECT * EXCLUDE (h, p), {{'lanes': [{sums}], 'n': len(h), 'p': p}} AS {name} FROM {name}_h)"""
+
+
+def likeness_sql(a: str, b: str) -> str:
+    signed = lambda f: f"list_transform(flatten(list_transform({f}.lanes, lambda v: [v & 65535, (v >> 20) & 65535, (v >> 40) & 65535])), lambda c: ((2 * c - {f}.n + 32768 + 65536 * 4096) % 65536) - 32768)"
+    dot = lambda x, y: f"list_sum(list_transform(list_zip({signed(x)}, {signed(y)}), lambda q: q[1] * q[2]))::DOUBLE"
+    size = f"sqrt({dot(a, a)} * {dot(b, b)})"
+    return f"round(CASE WHEN {size} > 0 THEN least(1.0, greatest(0.0, {dot(a, b)} / {size})) WHEN {a}.n = 0 AND {b}.n = 0 THEN 1.0 ELSE 0.0 END::DOUBLE, 6) + 0.0"
+
+
+def hex_sql(f: str) -> str:
+    return f"{f}.n || ':' || {f}.p || ':' || array_to_string(list_transform({f}.lanes, lambda v: printf('%015x', v)), '')"
+
+
+ORACLE["op3_fingerprint"] = f"""
+WITH fp_in AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {fingerprint_sql("text", "fp")},
+l AS (
+  SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER (ORDER BY doc_id NULLS FIRST, text)) AS next_text,
+    coalesce(lead(fp) OVER w, first_value(fp) OVER (ORDER BY doc_id NULLS FIRST, text)) AS next_fp
+  FROM fp WINDOW w AS (ORDER BY doc_id NULLS FIRST, text)
+),
+ed_in AS (SELECT *, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) AS edited FROM l), {fingerprint_sql("edited", "ed")}
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, {hex_sql("fp")} AS fingerprint, {hex_sql("ed")} AS edited_fingerprint,
+  {likeness_sql("fp", "ed")} AS near_edited, {likeness_sql("fp", "next_fp")} AS near_next
+FROM ed
+"""
+
+
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -164,6 +203,30 @@ ORACLE["op8_pii"] = spans_sql(
 )
 
 
+@query
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels: a page whose document has quality 0 or is toxic is bad."""
+    pages = common.table(spark, sf_dir, "pages")
+    bad = common.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return urls.judge(pages, urls.mine(pages, bad))
+
+
+@query
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+ORACLE["op10_topk"] = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x >= 0) AS b FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64),
+p AS (
+  SELECT q.vec_id AS query_id, e.vec_id, CAST(len(list_filter(list_zip(q.b, e.b), lambda z: z[1] <> z[2])) AS INT) AS distance
+  FROM e q, e WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank, vec_id, distance FROM p
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
