@@ -57,7 +57,7 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def before(df: DataFrame, group: str, unit: Column, rows: Column, order: list, value: str, out: str, rows_per_bucket: int = 50_000) -> DataFrame:
+def before(df: DataFrame, group: str, unit: Column, rows: Column, order: list, value: str, out: str, rows_per_bucket: int = 2_000) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the same ``group`` that come earlier in ``order``.
 
     ``unit`` is a bigint in [0, 2^24), uniform over rows and monotone in ``order``; it cuts a group into
