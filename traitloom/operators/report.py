@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-BY_RANK = Window.partitionBy("feature_ix").orderBy(F.desc("lr"), "pos", "variant_id")
+BY_RANK = Window.partitionBy("feature_ix").orderBy(F.desc(F.round("lr", 8)), "pos", "variant_id")
 
 
 def association_lr(counts: DataFrame, genotypes: DataFrame, tested: DataFrame) -> DataFrame:

@@ -30,6 +30,15 @@ VIEWS: dict[str, str] = {
       CASE mate WHEN 1 THEN ins ELSE -ins END AS tlen, substr(repeat('ACGTTGCA', 12), 1 + l_orderkey % 8, 75) AS seq,
       ['XM:i:' || l_linenumber] || CASE WHEN l_returnflag <> 'N' THEN ['XO:i:1'] ELSE [] END || CASE WHEN l_orderkey % 3 = 0 THEN ['X0:i:2'] ELSE [] END AS tags, sample_ix
       FROM inserts, (VALUES (1), (2)) m(mate)""",
+    "records": """SELECT variant_ix, chrom, pos, variant_id, ref, alt,
+      CASE variant_ix % 4 WHEN 0 THEN 'VT=SNP;RSQ=0.' || (50 + variant_ix % 50) || ';AF=0.4' WHEN 1 THEN 'IMP2=0.2,0.8,0.01' WHEN 2 THEN 'DR2=0.7;VT=SNP' ELSE 'RSQ=0.9;DR2=0.' || (10 + variant_ix % 80) END AS info,
+      CASE variant_ix % 4 WHEN 0 THEN 'GT:AS' WHEN 1 THEN 'GT:GL:AS' WHEN 2 THEN 'GT:DS:AS' ELSE 'AP:AS' END AS format FROM variants""",
+    "raw_cells": """SELECT variant_ix, sample_ix, h1, h2, coalesce(as_ref, 0) AS as_ref, coalesce(as_alt, 0) AS as_alt,
+      CASE WHEN (variant_ix + sample_ix) % 53 = 0 THEN '.' ELSE h1 || '|' || h2 END AS gt, coalesce(as_ref, 0) || ',' || coalesce(as_alt, 0) AS ct,
+      CASE h1 + h2 WHEN 0 THEN '-0.1,-1,-4' WHEN 1 THEN '-2,-0.1,-1' ELSE '-4,-1,-0.1' END AS gl, CASE h1 + h2 WHEN 0 THEN '0.1' WHEN 1 THEN '1.1' ELSE '1.9' END AS ds,
+      CASE WHEN h1 = 1 THEN '-0.05' WHEN sample_ix % 2 = 0 THEN '-5' ELSE '-1.3' END || ',' || CASE WHEN h2 = 1 THEN '-0.05' WHEN sample_ix % 2 = 0 THEN '-5' ELSE '-1.3' END AS ap
+      FROM genotypes LEFT JOIN as_counts USING (variant_ix, sample_ix)""",
+    "cells": "SELECT variant_ix, sample_ix, CASE variant_ix % 4 WHEN 0 THEN gt || ':' || ct WHEN 1 THEN gt || ':' || gl || ':' || ct WHEN 2 THEN gt || ':' || ds || ':' || ct ELSE ap || ':' || ct END AS cell FROM raw_cells",
 }
 
 

@@ -93,3 +93,23 @@ class Study:
             "concat('r', cast(rid as string)) as qname", "m.mate", "cast(m.flag + case when l_orderkey % 23 = 0 then 256 else 0 end as int) as flag", "chrom", "m.pos", "mapq", "cigar",
             "case when l_orderkey % 29 = 0 then '*' else '=' end as rnext", "m.pnext", "m.tlen", "substring(repeat('ACGTTGCA', 12), cast(1 + l_orderkey % 8 as int), 75) as seq", "tags", "sample_ix",
         )
+
+    def records(self) -> DataFrame:
+        """Variant records with INFO and FORMAT strings of several kinds."""
+        v = self.variants()
+        return v.selectExpr(
+            "variant_ix", "chrom", "pos", "variant_id", "ref", "alt",
+            "case variant_ix % 4 when 0 then concat('VT=SNP;RSQ=0.', cast(50 + variant_ix % 50 as string), ';AF=0.4') when 1 then 'IMP2=0.2,0.8,0.01' when 2 then 'DR2=0.7;VT=SNP' else concat('RSQ=0.9;DR2=0.', cast(10 + variant_ix % 80 as string)) end as info",
+            "case variant_ix % 4 when 0 then 'GT:AS' when 1 then 'GT:GL:AS' when 2 then 'GT:DS:AS' else 'AP:AS' end as format",
+        )
+
+    def cells(self) -> DataFrame:
+        """A genotype cell for each record and sample, in the record's format."""
+        d = self.genotypes().join(self.as_counts(), ["variant_ix", "sample_ix"], "left").join(self.records().select("variant_ix", "format"), "variant_ix")
+        gt = "case when (variant_ix + sample_ix) % 53 = 0 then '.' else concat(cast(h1 as string), '|', cast(h2 as string)) end"
+        counts = "concat(cast(coalesce(as_ref, 0) as string), ',', cast(coalesce(as_alt, 0) as string))"
+        gl = "case h1 + h2 when 0 then '-0.1,-1,-4' when 1 then '-2,-0.1,-1' else '-4,-1,-0.1' end"
+        ds = "case h1 + h2 when 0 then '0.1' when 1 then '1.1' else '1.9' end"
+        ap = "concat(case when h1 = 1 then '-0.05' when sample_ix % 2 = 0 then '-5' else '-1.3' end, ',', case when h2 = 1 then '-0.05' when sample_ix % 2 = 0 then '-5' else '-1.3' end)"
+        cell = f"case variant_ix % 4 when 0 then concat({gt}, ':', {counts}) when 1 then concat({gt}, ':', {gl}, ':', {counts}) when 2 then concat({gt}, ':', {ds}, ':', {counts}) else concat({ap}, ':', {counts}) end as cell"
+        return d.selectExpr("variant_ix", "sample_ix", "format", cell)
