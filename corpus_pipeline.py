@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import common, mixing, packing, toxicity
+from traitloom.llm import common, jaccard, mixing, packing, pii, toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,6 +21,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, list(COLUMNS)).filter(F.col("score") < 0.5).select(*COLUMNS)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shingles of five words, similarity 0.8: one document of each group of near copies stays."""
+    return jaccard.deduplicate(docs).select(*COLUMNS)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts becomes the name of its kind."""
+    return pii.redact(docs.select(*COLUMNS))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources to their target weights; copies and cuts are rows."""
     return mixing.mixed(docs).select(*COLUMNS)
@@ -33,6 +43,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("pii", redact),
     ("mixing", mix),
     ("packing", pack),
 ]
