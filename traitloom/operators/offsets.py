@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_FEATURE = Window.partitionBy("feature_ix")
+
+def by_feature() -> WindowSpec:
+    return Window.partitionBy("feature_ix")
 
 
 def normalise(offsets: DataFrame) -> DataFrame:
     """``k`` over its mean in the feature."""
-    return offsets.withColumn("k", F.col("k") / F.avg("k").over(BY_FEATURE))
+    return offsets.withColumn("k", F.col("k") / F.avg("k").over(by_feature()))
 
 
 def center(df: DataFrame, *cols: str) -> DataFrame:
@@ -53,7 +55,7 @@ def per_million(offsets: DataFrame) -> DataFrame:
 def zscores(fpm: DataFrame) -> DataFrame:
     """Log values by feature, centred and scaled by the sample deviation."""
     v = F.ln("fpm")
-    return fpm.select("feature_ix", "sample_ix", ((v - F.avg(v).over(BY_FEATURE)) / F.nullif(F.stddev_samp(v).over(BY_FEATURE), F.lit(0.0))).alias("z"))
+    return fpm.select("feature_ix", "sample_ix", ((v - F.avg(v).over(by_feature())) / F.nullif(F.stddev_samp(v).over(by_feature()), F.lit(0.0))).alias("z"))
 
 
 def gram(z: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-BY_RANK = Window.partitionBy("feature_ix").orderBy(F.desc(F.round("lr", 8)), "pos", "variant_id")
+
+def by_rank() -> WindowSpec:
+    return Window.partitionBy("feature_ix").orderBy(F.desc(F.round("lr", 8)), "pos", "variant_id")
 
 
 def association_lr(counts: DataFrame, genotypes: DataFrame, tested: DataFrame) -> DataFrame:
@@ -21,7 +23,7 @@ def association_lr(counts: DataFrame, genotypes: DataFrame, tested: DataFrame) -
 
 
 def ranked(assoc: DataFrame) -> DataFrame:
-    return assoc.withColumn("rank", F.row_number().over(BY_RANK))
+    return assoc.withColumn("rank", F.row_number().over(by_rank()))
 
 
 def with_q(assoc: DataFrame) -> DataFrame:
