@@ -83,7 +83,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
         for s, (a, w) in enumerate(segments):
             far = F.bit_count(part(differ, a, w))
             ok = ok & ((probe["seg"] <= s) | (far > r)) & ((probe["seg"] >= s) | (far >= r))
-        new = probe.join(index, ok).select("q", "code", "copies", F.bit_count(differ).alias("distance"))
+        # a probe's size is guessed from before its explosion, so it must not be broadcast on that guess
+        new = probe.join(index.hint("merge"), ok).select("q", "code", "copies", F.bit_count(differ).alias("distance"))
         new = common.materialize(new, f"found{r}")
         found = new if found is None else found.unionByName(new)
         # kth distance so far, counting copies
