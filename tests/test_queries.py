@@ -1,0 +1,25 @@
+import os
+
+import pytest
+from oracle import connect, same
+
+from traitloom.plans.queries3 import ORACLE, QUERIES
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(SF)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_matches_sql(spark, con, name):
+    same(QUERIES[name](spark, SF), con, ORACLE[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+def test_fitted_query_gives_rows(spark, name):
+    df = QUERIES[name](spark, SF)
+    rows = df.collect()
+    assert rows and len(set(df.columns)) == len(df.columns)

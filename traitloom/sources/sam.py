@@ -12,7 +12,7 @@ def parse(text: DataFrame) -> DataFrame:
     d = text.filter(~F.startswith("value", F.lit("@")) & (F.col("value") != "")).select(*(c for c in text.columns if c != "value"), f.alias("f"))
     keep = [c for c in d.columns if c != "f"]
     names = [("qname", 0, "string"), ("flag", 1, "int"), ("chrom", 2, "string"), ("pos", 3, "bigint"), ("mapq", 4, "int"), ("cigar", 5, "string"), ("rnext", 6, "string"), ("pnext", 7, "bigint"), ("tlen", 8, "bigint"), ("seq", 9, "string")]
-    return d.select(*keep, *(F.col("f")[i].cast(t).alias(n) for n, i, t in names), F.slice("f", F.lit(12), F.greatest(F.lit(0), F.size("f") - 11)).alias("tags"), F.when(F.col("f")[1].cast("int").bitwiseAND(F.lit(128)) != 0, 2).otherwise(1).alias("mate"))
+    return d.select(*keep, *(F.get("f", F.lit(i)).try_cast(t).alias(n) for n, i, t in names), F.slice("f", F.lit(12), F.greatest(F.lit(0), F.size("f") - 11)).alias("tags"), F.when(F.get("f", F.lit(1)).try_cast("int").bitwiseAND(F.lit(128)) != 0, 2).otherwise(1).alias("mate"))
 
 
 def scan(spark: SparkSession, samples: DataFrame) -> DataFrame:

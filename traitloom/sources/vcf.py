@@ -25,7 +25,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     """A row a variant: the fixed columns, parsed INFO, and ``cells`` as an array in sample order."""
     f = F.split("value", "\t")
     d = lines(spark, path).filter(~F.startswith("value", F.lit("#")) & (F.col("value") != "")).select(f.alias("f"))
-    fixed = [F.col("f")[i].cast("bigint" if c == "pos" else "string").alias(c) for i, c in enumerate(FIXED)]
+    fixed = [F.get("f", F.lit(i)).try_cast("bigint" if c == "pos" else "string").alias(c) for i, c in enumerate(FIXED)]
     d = d.select(*fixed, F.slice("f", F.lit(10), F.greatest(F.lit(0), F.size("f") - 9)).alias("cells"))
     return d.withColumn("parsed", G.parse_info(F.col("info")))
 
