@@ -1,39 +1,52 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A document is the set of its distinct word shingles; two link when intersection / union is at least ``percent`` / 100.
-Sets are put in one global order (tokens that the corpus sketch finds frequent come last, then by hash), and of a set
-of size s only the prefix of s - o + 1 + m tokens is indexed, where o = ceil(percent s / 100) is the least overlap
-that a partner can have and m extends the prefix. Two linked sets share at least 1 + m tokens of these prefixes: so
-either a token of the rare class, indexed alone, or, as frequent tokens fall into m subclasses by hash, two tokens of
-one subclass, indexed as 2-combinations. m grows with the size class of the set, which holds a document to about ten
-combinations a prefix token; a set that can link into the size class below is indexed under that class too. Candidates
-must share 1 + m prefix tokens where all tokens are rare, and are verified on their whole texts.
+Sets are put in one global order: tokens that the corpus sketch finds frequent come last, then by hash. Sets of sizes
+x and y that link share at least o = ceil(percent (x + y) / (100 + percent)) tokens, so their prefixes of x - o + 1
+and y - o + 1 tokens share one, and extended by m more, 1 + m. Either the shared token of the plain prefixes is of the
+rare class, where tokens are indexed alone; or both plain prefixes hold a frequent token: then, as frequent tokens
+fall into m subclasses by hash, the extended prefixes share a rare token or two frequent ones of a subclass, indexed
+as 2-combinations. m grows with the size class of the set, which holds a document to about ten combinations a prefix
+token; a set that can link into the size class below is indexed under that class too. Stored prefixes are as long as
+the smallest possible partner asks for, and each pair is held to the prefixes that its own sizes give. A set with fewer
+than 1 + m tokens that others have as well can't link and leaves early; candidates that don't share 1 + m are dropped,
+the others verified on their whole texts.
 
 No pair is made inside a group that is known to be one component: copies collapse to one set first; then each token
-links its sets to the smallest one only (a star), and after these links are verified and contracted, pairs are made
-only across components that still meet in a token. Frequency classes count components, not documents.
+links its sets only to the one where it stands first (a star; in a group of near copies that is the set with the
+fewest tokens of its own), and after these links are verified and contracted, pairs are made only across components
+that still meet in a token. Frequency classes count components, not documents.
 
 Shingles are 64-bit hashes, sets 128-bit digests of them. Defined cases: a null or empty text, or one without words,
 has the empty set and links with nothing; fewer words than a shingle make one shingle; repeated rows are copies; a
-null id takes part but never becomes a component id unless there is no other (then it is null); an empty table gives an empty table; other columns are ignored.
+null id takes part but never becomes a component id unless there is no other (then it is null); an empty table gives
+an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-BINS = 1 << 19
-RARE = 32
-#: Pairs whose documents' ids (24 bytes each, two a pair) are broadcast rather than shuffled with the texts.
-SMALL = 100_000
+BINS = 1 << 20
+#: Bins of a row that carries a part of the sketch, and the groups in which rows of a part are first added up.
+CHUNK = 1 << 13
+SALTS = 64
+RARE = 16
+#: Components that must still meet in a token for the second star.
+CROWD = 4
+#: Part of its shorter plain prefix that a pair must show in stars to be verified first; the others wait for the second pass.
+STAR = 0.25
+#: Documents whose ids (24 bytes each) are broadcast rather than shuffled with the texts.
+SMALL = 300_000
 NULL_ID = -(1 << 63)
 ODD = (np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64))
 
@@ -82,34 +95,65 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def cells(s: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle's two cells: one in each half of a sketch of ``2 * bins`` counts."""
+    return (s >> np.uint64(40)).astype(np.int64) % bins, bins + (s & np.uint64(0xFFFFFF)).astype(np.int64) % bins
+
+
 def profile(docs: DataFrame, k: int, bins: int = BINS) -> DataFrame:
-    """One pass: for each document ``(a, b, c, n) = (doc_id, digest, n_shingles)``, and rows of the corpus sketch.
+    """One pass: for each document ``doc_id f1 f2 n``, and rows of the corpus sketch.
 
-    Sketch rows have ``n`` = -1 and count the shingles of a bin; there are at most ``bins`` of them a task.
+    Sketch rows count the shingles of a run of bins: their number ``doc_id``, a salt ``f1`` and the counts ``part``,
+    compressed. A task makes ``2 * bins / CHUNK`` of them however much it reads.
     """
 
     def run(batches):
-        sketch = np.zeros(bins, np.int64)
+        sketch = np.zeros(2 * bins, np.int64)
+        names = ["doc_id", "f1", "f2", "n", "part"]
+        salt = 0
         for batch in batches:
             d1, d2, size = [], [], []
             for t in batch.column(1):
                 s = shingles(t.as_py(), k)
                 a, b = digest(s)
+                salt = a % SALTS
                 d1.append(a), d2.append(b), size.append(len(s))
-                np.add.at(sketch, (s >> np.uint64(40)).astype(np.int64) % bins, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (d1, d2, size))], names=["a", "b", "c", "n"])
-        at = np.flatnonzero(sketch)
-        for i in range(0, len(at), 65536):
-            x = at[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(sketch[x]), pa.nulls(len(x), pa.int64()), pa.array(np.full(len(x), -1))], names=["a", "b", "c", "n"])
+                for at in cells(s, bins):
+                    np.add.at(sketch, at, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (d1, d2, size)), pa.nulls(len(d1), pa.binary())], names=names)
+        if sketch.any():
+            parts = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(-1, CHUNK)]
+            n = len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([salt] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(parts, pa.binary())], names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, f1 long, f2 long, n long, part binary")
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "a long, b long, c long, n long")
+def corpus_sketch(profiled: DataFrame, bins: int) -> np.ndarray:
+    """The counts of all cells: parts are added up within salts, then across them; ``2 * bins`` numbers reach the driver."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(CHUNK, np.int64)
+        for x in table.column("part"):
+            total += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "salt": table.column("salt").slice(0, 1), "part": [zlib.compress(total.tobytes(), 1)]})
+
+    kind = "chunk long, salt long, part binary"
+    parts = profiled.filter("part is not null").select(F.col("doc_id").alias("chunk"), F.col("f1").alias("salt"), "part")
+    parts = parts.groupBy("chunk", "salt").applyInArrow(add, kind).groupBy("chunk").applyInArrow(add, kind)
+    sketch = np.zeros(2 * bins, np.int64)
+    for r in parts.toLocalIterator():
+        sketch[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(r["part"]), np.int64)
+    return sketch
 
 
 def levels(sketch: np.ndarray) -> np.ndarray:
-    """How frequent the shingles of a bin are, in powers of two above the noise of the others; 0 for rare ones."""
+    """How frequent the shingles of a cell are, in powers of two above the noise of the others; 0 for rare ones.
+
+    A shingle's level is the lower one of its two cells, so a rare one is seldom taken for frequent.
+    """
     mean = sketch.mean()
-    above = np.maximum(0.0, sketch - mean - 4 * np.sqrt(mean + 1)) / (mean / 4 + 16)
+    above = np.maximum(0.0, sketch - mean - 4 * np.sqrt(mean + 1)) / (mean / 8 + 4)
     return np.floor(np.log2(1 + above)).astype(np.uint8)
 
 
@@ -118,7 +162,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, level) -> DataFrame:
 
     def run(batches):
         rank = level.value
-        bins = len(rank)
+        bins = len(rank) // 2
         for batch in batches:
             rows = []
             for i, t in enumerate(batch.column(1)):
@@ -126,7 +170,8 @@ def prefixes(docs: DataFrame, k: int, percent: int, level) -> DataFrame:
                 n = len(s)
                 if not n:
                     continue
-                order = np.argsort(rank[(s >> np.uint64(40)).astype(np.int64) % bins], kind="stable")
+                first, second = cells(s, bins)
+                order = np.argsort(np.minimum(rank[first], rank[second]), kind="stable")
                 toks = s[order[: prefix_length(n, percent, int(size_class(n)))]].view(np.int64)
                 rows.append((i, *digest(s), n, toks))
             at = pa.array([r[0] for r in rows], pa.int64())
@@ -141,8 +186,8 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, percent:
     key = sets.select("node", "doc_id", "th")
     pairs = common.materialize(pairs.select("a", "b"), "pairs")
     need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(key, "node")
-    need = need.select("node", F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("th").alias("_th"))
-    if pairs.count() <= SMALL:  # then the ids are few enough to broadcast, and no text of other documents moves
+    need = common.materialize(need.select("node", F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("th").alias("_th")), "needed")
+    if need.count() <= SMALL:  # then they are few enough to broadcast, and no text of other documents moves
         need = F.broadcast(need)
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_th"), "text")
     texts = common.materialize(text.join(need, ["_id", "_th"]).select("node", "text"), "texts")
@@ -189,10 +234,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def combos(frequent: DataFrame, percent: int) -> DataFrame:
-    """``sig node n comp``: the 2-combinations of frequent prefix tokens in a subclass, for each size class of a set.
+    """``sig m pos node n comp first``: the 2-combinations of frequent prefix tokens in a subclass, for each size class.
 
-    ``frequent`` has a row a set: ``node n comp toks``, the frequent ones of its prefix in order with their places
-    ``pos``. It is as long as a prefix at most.
+    ``frequent`` has a row a set: ``node n comp toks pos``, the frequent tokens of its prefix in order and their places;
+    it is as long as a prefix at most. ``pos`` of a combination is the place of its later token, ``first`` that of the
+    set's first frequent token.
     """
 
     def run(batches):
@@ -201,26 +247,82 @@ def combos(frequent: DataFrame, percent: int) -> DataFrame:
             for node, n, comp, toks, pos in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 toks, pos = np.array(toks, np.int64).view(np.uint64), np.array(pos)
                 for m in sorted({int(size_class(n)), reach(n, percent)}):
-                    inside = toks[pos < prefix_length(n, percent, m)]
-                    inside = np.sort(inside)
+                    keep = pos < prefix_length(n, percent, m)
+                    inside, place = toks[keep], pos[keep]
+                    if len(inside) <= m:  # a pair that only frequent tokens show shares 1 + m of them
+                        continue
+                    order = np.argsort(inside)
+                    inside, place = inside[order], place[order]
                     part = (mixed(inside) % np.uint64(m)).astype(np.int64)
                     for c in np.unique(part):
-                        x = inside[part == c]
+                        x, y = inside[part == c], place[part == c]
                         i, j = np.triu_indices(len(x), 1)
                         with np.errstate(over="ignore"):
                             sig = mixed(x[i] * ODD[0] + x[j] * ODD[1] + np.uint64(m)).view(np.int64)
-                        out.append((sig, node, n, comp))
+                        out.append((sig, np.maximum(y[i], y[j]), m, node, n, comp, pos[0]))
             sizes = [len(x[0]) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out]) if out else np.zeros(0, np.int64)), *(pa.array(np.repeat(np.array([x[c] for x in out], np.int64), sizes)) for c in (1, 2, 3))], names=["sig", "node", "n", "comp"])
+            cat = lambda c: pa.array(np.concatenate([x[c] for x in out]).astype(np.int64) if out else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([cat(0), cat(1), *(pa.array(np.repeat(np.array([x[c] for x in out], np.int64), sizes)) for c in (2, 3, 4, 5, 6))], names=["sig", "pos", "m", "node", "n", "comp", "first"])
+
+    return frequent.select("node", "n", "comp", "toks", "pos").mapInArrow(run, "sig long, pos long, m long, node long, n long, comp long, first long")
+
+
+def overlap(n1: Column, n2: Column, percent: int) -> Column:
+    """The least number of shared tokens with which sets of these sizes link."""
+    return F.ceil(percent * (n1 + n2) / F.lit(100 + percent))
+
+
+def fits(n1: Column, n2: Column, percent: int) -> Column:
+    return 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
+
+
+def subclasses(n: Column) -> Column:
+    """``size_class`` as a column."""
+    return F.when(n < 64, F.lit(1)).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double"))) - 5)).cast("long")
+
 
-    return frequent.select("node", "n", "comp", "toks", "pos").mapInArrow(run, "sig long, node long, n long, comp long")
+def two(postings: DataFrame, key: str, others: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a self-join, columns numbered."""
+    return tuple(postings.select(F.col(key).alias(f"{key}{i}"), *(F.col(c).alias(f"{c}{i}") for c in others)) for i in (1, 2))
 
 
-def across(postings: DataFrame, key: str, percent: int) -> DataFrame:
-    """Pairs of sets of different components and fitting sizes that share a ``key``."""
-    x, y = postings.select(key, *(F.col(c).alias(f"{c}1") for c in ("node", "n", "comp"))), postings.select(key, *(F.col(c).alias(f"{c}2") for c in ("node", "n", "comp")))
-    fit = (F.col("comp1") != F.col("comp2")) & (F.col("node1") < F.col("node2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-    return x.join(y, (x[key] == y[key]) & fit).select("node1", "node2", F.least("n1", "n2").alias("n"))
+def able(postings: DataFrame, percent: int) -> DataFrame:
+    """The rows of sets with enough tokens for a link: one more than the subclasses of their smallest partner."""
+    need = 1 + subclasses(F.ceil(percent * F.col("n") / F.lit(100)))
+    some = postings.groupBy("node", "n").agg(F.count("*").alias("_c")).filter(F.col("_c") >= need).select("node")
+    return postings.join(some, "node", "left_semi")
+
+
+def open_tokens(postings: DataFrame, percent: int, name: str) -> DataFrame:
+    """The rows of tokens in which components still meet, with ``comps``, how many; of sets with enough such tokens."""
+    s = common.materialize(postings, f"{name}-meet")
+    heads = s.groupBy("tok", "comp").agg(F.count("*").alias("_c")).groupBy("tok").agg(F.count("*").alias("comps")).filter("comps > 1")
+    return common.materialize(able(s.join(common.materialize(heads, f"{name}-heads"), "tok"), percent), name)
+
+
+def stars(postings: DataFrame, percent: int, least: int, part: float) -> DataFrame:
+    """Pairs (a, b) of a set and a token's ``pivot`` (node, n, pos), both within the plain prefixes of their sizes.
+
+    A star shows only some of a pair's shared tokens: those pairs are given that show ``least``, and ``part`` of the
+    shorter prefix.
+    """
+    star = postings.filter("node <> pivot.node").select(F.col("pivot.node").alias("a"), F.col("node").alias("b"), F.col("pivot.n").alias("n1"), F.col("n").alias("n2"), F.col("pivot.pos").alias("pos1"), F.col("pos").alias("pos2"))
+    o = overlap(F.col("n1"), F.col("n2"), percent)
+    star = star.filter(fits(F.col("n1"), F.col("n2"), percent) & (F.col("pos1") <= F.col("n1") - o) & (F.col("pos2") <= F.col("n2") - o))
+    pairs = star.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count("*").alias("c"), F.min(F.least(F.col("n1") - o, F.col("n2") - o)).alias("r"))
+    return pairs.filter(F.col("c") >= F.greatest(F.lit(least), F.col("r") * part)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def sharing(pairs: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b) those that share 1 + m tokens of their extended prefixes."""
+    sets = postings.groupBy("node", "n").agg(F.collect_list(F.struct("pos", "tok")).alias("t"))  # a prefix at most
+    d = pairs
+    for i, c in ((1, "a"), (2, "b")):
+        d = d.join(sets.select(F.col("node").alias(c), F.col("n").alias(f"n{i}"), F.col("t").alias(f"t{i}")), c)
+    o, m = overlap(F.col("n1"), F.col("n2"), percent), subclasses(F.least("n1", "n2"))
+    within = lambda i: F.transform(F.filter(f"t{i}", lambda x: x["pos"] <= F.col(f"n{i}") - F.col("o") + F.col("m")), lambda x: x["tok"])
+    d = d.select("a", "b", "n1", "n2", "t1", "t2", o.alias("o"), m.alias("m"))
+    return d.filter(F.size(F.array_intersect(within(1), within(2))) > F.col("m")).select("a", "b")
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80, rare: int = RARE, bins: int = BINS) -> DataFrame:
@@ -233,47 +335,79 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, rare: int = RARE, bins:
         raise ValueError("percent must be above 50")
     spark = docs.sparkSession
     both = common.materialize(profile(docs, k, bins), "profile")
-    sketch = np.zeros(bins, np.int64)
-    for r in both.filter("n = -1").groupBy("a").agg(F.sum("b").alias("b")).toArrow().to_batches():  # at most ``bins`` rows
-        sketch[r.column(0).to_numpy()] = r.column(1).to_numpy()
-    level = spark.sparkContext.broadcast(levels(sketch))
+    level = spark.sparkContext.broadcast(levels(corpus_sketch(both, bins)))  # two bytes a bin
     p = prefixes(docs, k, percent, level)
     # copies collapse; map-side aggregation keeps one row of a set and task
     sets = p.groupBy("f1", "f2").agg(F.min_by(F.struct("doc_id", "th"), F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))).alias("d"), F.min("n").alias("n"), F.first("toks").alias("toks"))
     sets = common.materialize(sets.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "d.doc_id", "d.th", "n", "toks"), "sets")
 
-    # tokens of two sets or more, each with its smallest set
+    # tokens of two sets or more, each with the set where it stands first
     post = sets.select("node", "n", F.posexplode("toks").alias("pos", "tok"))
-    pivots = post.groupBy("tok").agg(F.count("*").alias("_c"), F.min("node").alias("pivot")).filter("_c > 1").select("tok", "pivot")
+    pivots = post.groupBy("tok").agg(F.count("*").alias("_c"), F.min(F.struct("pos", "node", "n")).alias("pivot")).filter("_c > 1").select("tok", "pivot")
     pivots = common.materialize(pivots, "pivots")
-    shared = common.materialize(post.join(pivots, "tok"), "shared")
-    stars = shared.filter("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("_c")).filter("_c > 1")
-    first = verify(docs, sets, stars, k, percent)
+    shared = common.materialize(able(common.materialize(post.join(pivots, "tok"), "common"), percent), "shared")
+    first = verify(docs, sets, stars(shared, percent, 2, STAR), k, percent)
+    comp = components(first)
+    # a second star, without that measure, where many components still meet in a token
+    s = open_tokens(shared.drop("pivot").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), percent, "again").filter(F.col("comps") > CROWD)
+    pivots = s.groupBy("tok").agg(F.min(F.struct("pos", "node", "n", "comp")).alias("pivot"))
+    s = s.join(common.materialize(pivots, "pivots2"), "tok").filter("comp <> pivot.comp")
+    first = common.materialize(first.unionByName(verify(docs, sets, sharing(common.materialize(stars(s, percent, 1, 0.0), "again"), shared, percent), k, percent)), "first")
     comp = components(first)
 
     # what still meets across components
     s = shared.drop("pivot").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    s = common.materialize(s, "meet")
-    heads = s.groupBy("tok", "comp").agg(F.count("*").alias("_c")).groupBy("tok").agg(F.count("*").alias("comps")).filter("comps > 1")
-    heads = common.materialize(heads, "heads")
-    s = common.materialize(s.join(heads, "tok"), "open")
-    alone = s.filter(F.col("comps") <= rare)
-    often = s.filter(F.col("comps") > rare)
-    # 1 + m shared tokens, where the frequent ones of the smaller set may be among them unseen
-    n_often = often.groupBy("node").agg(F.count("*").alias("_f"))
-    m = F.when(F.col("n") < 64, F.lit(1)).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.col("n").cast("double"))) - 5)).cast("long")
-    pairs = across(alone, "tok", percent).groupBy("node1", "node2").agg(F.count("*").alias("_c"), F.min(m).alias("_m"))
-    pairs = pairs.join(n_often.select(F.col("node").alias("node1"), F.col("_f").alias("_f1")), "node1", "left")
-    pairs = pairs.filter(F.col("_c") + F.coalesce("_f1", F.lit(0)) > F.col("_m")).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
-    frequent = often.groupBy("node", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("x")).select("node", "n", "comp", F.col("x.tok").alias("toks"), F.col("x.pos").alias("pos"))
-    sigs = combos(frequent, percent)
-    more = across(sigs, "sig", percent).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
-    rest = verify(docs, sets, pairs.unionByName(more).distinct(), k, percent)
+    for i in range(2):  # sets that leave may close tokens for others
+        s = open_tokens(s.drop("comps"), percent, f"open{i}")
+    s = s.withColumn("often", F.col("comps") > rare)
+    frequent = s.filter("often").groupBy("node", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("x")).select("node", "n", "comp", F.col("x.tok").alias("toks"), F.col("x.pos").alias("pos"))
+    # a link over frequent tokens needs one in the longest plain prefix
+    frequent = frequent.filter(F.col("pos")[0] <= F.col("n") - F.ceil(percent * F.col("n") / F.lit(100)))
+    frequent = common.materialize(frequent, "frequent")
+
+    # tokens of the rare class alone: in plain prefixes, or in extended ones where both sets have frequent tokens early
+    tail = F.lit(1 << 40)
+    later = s.withColumn("after", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("pos"))) - 1)
+    alone = later.filter("not often").join(frequent.select("node", F.col("pos")[0].cast("long").alias("first")), "node", "left")
+    alone = alone.select("tok", "node", "n", "pos", "comp", "after", F.coalesce("first", tail).alias("first"))
+    x, y = two(alone, "tok", ["node", "n", "pos", "comp", "after", "first"])
+    o = overlap(F.col("n1"), F.col("n2"), percent)
+    r1, r2 = F.col("n1") - o, F.col("n2") - o  # the last places of the plain prefixes
+    m = subclasses(F.least("n1", "n2"))
+    # if the first token that a pair shares is of the rare class it stands for the pair, and m more come after it
+    plain = (F.col("pos1") <= r1) & (F.col("pos2") <= r2) & (F.least("after1", "after2") >= m)
+    longer = (F.col("first1") <= r1) & (F.col("first2") <= r2) & (F.col("pos1") <= r1 + m) & (F.col("pos2") <= r2 + m)
+    apart = (F.col("comp1") != F.col("comp2")) & (F.col("node1") < F.col("node2")) & fits(F.col("n1"), F.col("n2"), percent)
+    pairs = x.join(y, (F.col("tok1") == F.col("tok2")) & apart & (plain | longer))
+    pairs = pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+
+    # tokens of the frequent class by two
+    x, y = two(combos(frequent, percent), "sig", ["pos", "m", "node", "n", "comp", "first"])
+    early = (F.col("first1") <= r1) & (F.col("first2") <= r2) & (F.col("pos1") <= r1 + F.col("m1")) & (F.col("pos2") <= r2 + F.col("m1")) & (F.col("m1") == m)
+    more = x.join(y, (F.col("sig1") == F.col("sig2")) & (F.col("m1") == F.col("m2")) & apart & early).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+    candidates = common.materialize(pairs.unionByName(more).distinct(), "candidates")
+    rest = verify(docs, sets, sharing(candidates, s, percent), k, percent)
     comp = components(first.unionByName(rest))
 
     small = sets.select("node", "doc_id").join(comp, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     root = small.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of = common.materialize(small.join(root, "comp").select("node", "component_id").join(sets.select("node", "f1", "f2"), "node"), "of")
-    rows = both.filter("n >= 0").select(F.col("a").alias("doc_id"), F.col("b").alias("f1"), F.col("c").alias("f2"), F.col("n").alias("n_shingles"))
+    rows = both.filter("n is not null").select("doc_id", "f1", "f2", F.col("n").alias("n_shingles"))
     out = rows.join(of, ["f1", "f2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("node").alias("set_id"))
+
+
+def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest id; empty texts link with nothing and stay.
+
+    Rows that repeat an id within a component stay once. A row without an id stays only if its component has no id.
+    """
+    cols = docs.columns
+    found = common.materialize(link(docs, k, percent), "components")
+    #  ids whose rows can't all stay: linked to a smaller one, or repeated
+    gone = found.filter("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
+    again = found.filter("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count("*").alias("_c")).filter("_c > 1").select("doc_id").distinct()
+    plain = docs.join(gone.unionByName(again).distinct().withColumnRenamed("doc_id", "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    # of repeated ids one row each, where the id itself stays
+    twice = docs.join(again.join(gone, again["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(F.col("doc_id").alias("_again")), F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi")
+    return plain.select(*cols).unionByName(twice.dropDuplicates(["doc_id", "text"]).select(*cols))
