@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import fit, matrix
 from ..operators import genotype as G
 from ..operators import offsets as O
-from .queries import NEAR, QUERIES, Study, kept, priors, quality, query, tested
+from .queries import QUERIES, Study, kept, priors, quality, query, tested
 from .queries2 import ORACLE, assoc
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -34,7 +34,7 @@ def imprint_fit(s):
 
 def fitted(s: Study):
     b = block(s)
-    return fit.alt_fit(tested(s, NEAR), priors(s), b, fit.null_fit(b))
+    return fit.alt_fit(tested(s), priors(s), b, fit.null_fit(b))
 
 
 @query()
@@ -60,7 +60,7 @@ def assoc_report(s):
 
     v = s.variants().select("variant_ix", "ref", "alt").join(quality(s).select("variant_ix", "af", "hwe"), "variant_ix")
     rsq = s.variants().select("variant_ix", F.coalesce("rsq", F.lit(1.0)).alias("rsq"))
-    d = tested(s, NEAR).join(fitted(s), ["feature_ix", "variant_ix"]).join(v, "variant_ix").join(rsq, "variant_ix").join(s.features().select("feature_ix", "feature_id"), "feature_ix")
+    d = tested(s).join(fitted(s), ["feature_ix", "variant_ix"]).join(v, "variant_ix").join(rsq, "variant_ix").join(s.features().select("feature_ix", "feature_id"), "feature_ix")
     n = d.groupBy("feature_ix").agg(F.count("*").alias("n_tested"))
     d = report.with_q(d).join(n, "feature_ix")
     return d.select("feature_id", "variant_id", "chrom", "pos", "ref", "alt", "af", "hwe", "rsq", "log10_q", "lr", "pi", "delta", "phi", "theta", "beta", F.col("rank").alias("snp_rank"), "n_feature", "n_tested", "itr", "itr_null", "log_bf", "code", "r2_fsnp", "r2_rsnp")
