@@ -195,3 +195,16 @@ def test_mining_finds_the_planted_combination(spark):
     got = urls.judge(pages, mined, [])
     assert {(r["page_id"], r["verdict"] == "block") for r in got.collect()} == set(labels)
     assert urls.mine(pages.limit(0), bad) == []
+
+
+def test_mining_keeps_every_rule_that_no_shorter_one_implies(spark):
+    rows = [(i, f"http://a.b.c.d.e.site.io/g{i % 300}/u/v{i % 300}?k=1&l=2#f") for i in range(1200)]
+    rows += [(i, f"http://ok{i % 7}.org/n/{i}") for i in range(1200, 2400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    pages = pages.union(spark.createDataFrame([(2400 + i, f"http://x.net/{'abcdefghijklmnopqrstuvwxyz'[j % 26]}{'abcdefghijklmnopqrstuvwxyz'[j // 26]}/{i}") for i, j in enumerate(list(range(300)) * 4)], "page_id long, url string"))
+    bad = pages.select("page_id", ((F.col("page_id") >= 2400) | (F.col("page_id") < 1200)).alias("bad"))
+    mined = urls.mine(pages, bad, support=0.001, confidence=0.6, lift=1.2)
+    single = {r.tokens[0] for r in mined if len(r.tokens) == 1}
+    assert len([t for t in single if t.startswith("p:") and t[2:].isalpha() and len(t) == 4]) == 300
+    assert not [(a, b) for a in mined for b in mined if set(a.tokens) < set(b.tokens)]
+    assert {r["verdict"] for r in urls.judge(pages.filter("page_id < 1200 or page_id >= 2400"), mined, []).collect()} == {"block"}

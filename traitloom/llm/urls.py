@@ -15,9 +15,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from . import common
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Verdict, host, path.
 LISTED = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -54,10 +56,10 @@ def tokens() -> Column:
     return F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, segments, keys, mark)))
 
 
-def mine(pages: DataFrame, labels: DataFrame, max_pages: int = 50_000, support: float = 0.002, confidence: float = 0.6, lift: float = 2.0, max_rules: int = 256) -> list[Rule]:
+def mine(pages: DataFrame, labels: DataFrame, max_pages: int = 50_000, support: float = 0.002, confidence: float = 0.6, lift: float = 2.0) -> list[Rule]:
     """Rules from labelled pages (``labels``: page_id, bad); the sample has about ``max_pages`` of them, by a hash of the id.
 
-    Of the rules that are confident enough the best ``max_rules`` stay, and none that another one implies.
+    All rules that pass support, confidence and lift stay, but for those that a shorter one implies.
     """
     known = labels.filter(F.col("page_id").isNotNull() & F.col("bad").isNotNull()).groupBy("page_id").agg(F.max("bad").alias("bad"))
     share = min(1.0, max_pages / max(1, known.count()))
@@ -66,12 +68,20 @@ def mine(pages: DataFrame, labels: DataFrame, max_pages: int = 50_000, support:
     baskets = with_parts(pages.select("page_id", "url").join(known, "page_id")).select(items.alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     good = model.associationRules.filter((F.element_at("consequent", 1) == LABEL) & (F.col("lift") >= lift))
-    best = good.orderBy(F.desc("confidence"), F.desc("support"), F.array_sort("antecedent")).limit(4 * max_rules).collect()
-    out: list[Rule] = []
-    for r in sorted(best, key=lambda r: (len(r["antecedent"]), -r["confidence"], -r["support"], sorted(r["antecedent"]))):
-        if not any(set(x.tokens) <= set(r["antecedent"]) for x in out):
-            out.append(Rule(tuple(sorted(r["antecedent"])), float(r["confidence"]), float(r["support"])))
-    return sorted(out, key=lambda r: (-r.confidence, -r.support, r.tokens))[:max_rules]
+    return sorted((Rule(tuple(r["tokens"]), float(r["confidence"]), float(r["support"])) for r in minimal(good)), key=lambda r: (-r.confidence, -r.support, r.tokens))
+
+
+def minimal(rules: DataFrame) -> list[Row]:
+    """``tokens confidence support`` of the rules whose antecedent holds no other one's, shortest first."""
+    rest = common.materialize(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
+    out: list[Row] = []
+    while (n := rest.agg(F.min(F.size("tokens"))).first()[0]) is not None:
+        level = rest.filter(F.size("tokens") == n)
+        out += level.collect()  # none implies another of them
+        held = rest.select("tokens", F.explode("tokens").alias("t")).join(level.select(F.col("tokens")[0].alias("t"), F.col("tokens").alias("part")), "t")
+        held = held.filter(F.size(F.array_except("part", "tokens")) == 0).select("tokens").distinct()
+        rest = common.materialize(rest.join(held, "tokens", "left_anti"), "rules")
+    return out
 
 
 def hit(rules: list[Rule]) -> Column:
@@ -84,8 +94,8 @@ def hit(rules: list[Rule]) -> Column:
             postings.setdefault(t, []).append(i)
     index = F.create_map(*(x for t, ids in sorted(postings.items()) for x in (F.lit(t), F.array(*map(F.lit, ids)))))
     found = F.flatten(F.transform("_tokens", lambda t: F.coalesce(F.try_element_at(index, t), F.array().cast("array<int>"))))
-    sizes = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(len(r.tokens)).alias("n")) for i, r in enumerate(rules)))
-    return F.exists(sizes, lambda r: F.size(F.filter(found, lambda x: x == r["i"])) == r["n"])
+    sizes = F.array(*(F.lit(len(r.tokens)) for r in rules))
+    return F.exists(F.array_distinct(found), lambda i: F.size(F.filter(found, lambda x: x == i)) == F.element_at(sizes, i + 1))
 
 
 def judge(pages: DataFrame, rules: list[Rule], listed: list[tuple[str, str, str]] | None = None) -> DataFrame:
