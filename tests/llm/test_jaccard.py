@@ -79,3 +79,20 @@ def test_one_of_each_group_stays(spark):
     got = jaccard.deduplicate(df)
     assert got.columns == df.columns
     assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted([1, 3, 4, 5], key=str)
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    word = lambda c: [c + str(i) for i in range(60)]
+    near = lambda c, n: " ".join(word(c) + [f"end{n}"])
+    rows = [
+        (1, near("a", 0)), (None, near("a", 1)), (None, near("b", 0)),  # a null id linked to an id, and a clean one
+        (None, near("c", 0)), (None, near("c", 1)), (None, near("c", 1)),  # near copies without ids
+        (7, near("d", 0)), (7, near("d", 1)),  # near copies that share an id
+        (9, near("e", 0)), (9, near("a", 2)),  # an id with a clean text and a near copy
+        (None, ""), (None, ""), (None, None), (3, " "), (3, " "),
+    ]
+    got = [(r["doc_id"], r["text"]) for r in jaccard.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    first = lambda c: sorted({str(d) for d, t in got if t and t.startswith(f"{c}0 ")})
+    assert [first(c) for c in "abcde"] == [["1"], ["None"], ["None"], ["7"], ["9"]]
+    assert sorted((g for g in got if not (g[1] or "").strip()), key=str) == sorted(rows[-5:], key=str)
+    assert len(got) == 5 + 5

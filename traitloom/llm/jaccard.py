@@ -101,7 +101,7 @@ def cells(s: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def profile(docs: DataFrame, k: int, bins: int = BINS) -> DataFrame:
-    """One pass: for each document ``doc_id f1 f2 n``, and rows of the corpus sketch.
+    """One pass: for each document ``doc_id th f1 f2 n`` (``th``: hash of the text), and rows of the corpus sketch.
 
     Sketch rows count the shingles of a run of bins: their number ``doc_id``, a salt ``f1`` and the counts ``part``,
     compressed. A task makes ``2 * bins / CHUNK`` of them however much it reads.
@@ -109,7 +109,7 @@ def profile(docs: DataFrame, k: int, bins: int = BINS) -> DataFrame:
 
     def run(batches):
         sketch = np.zeros(2 * bins, np.int64)
-        names = ["doc_id", "f1", "f2", "n", "part"]
+        names = ["doc_id", "f1", "f2", "n", "part", "th"]
         salt = 0
         for batch in batches:
             d1, d2, size = [], [], []
@@ -120,13 +120,13 @@ def profile(docs: DataFrame, k: int, bins: int = BINS) -> DataFrame:
                 d1.append(a), d2.append(b), size.append(len(s))
                 for at in cells(s, bins):
                     np.add.at(sketch, at, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (d1, d2, size)), pa.nulls(len(d1), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (d1, d2, size)), pa.nulls(len(d1), pa.binary()), batch.column(2)], names=names)
         if sketch.any():
             parts = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(-1, CHUNK)]
             n = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([salt] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([salt] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(parts, pa.binary()), pa.nulls(n, pa.int64())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, f1 long, f2 long, n long, part binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, f1 long, f2 long, n long, part binary, th long")
 
 
 def corpus_sketch(profiled: DataFrame, bins: int) -> np.ndarray:
@@ -331,6 +331,14 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, rare: int = RARE, bins:
     ``component_id`` is the smallest id that links reach, the document itself included; ``set_id`` numbers the distinct
     sets (null for the empty set).
     """
+    return linked(docs, k, percent, rare, bins).select("doc_id", "n_shingles", "component_id", "set_id")
+
+
+def linked(docs: DataFrame, k: int, percent: int, rare: int = RARE, bins: int = BINS) -> DataFrame:
+    """The rows of ``link`` with ``th``, the hash of the text, and ``first_th``, that of the row that stands for the component.
+
+    That row has the component's id; ``first_th`` is null for the empty set.
+    """
     if percent <= 50:
         raise ValueError("percent must be above 50")
     spark = docs.sparkSession
@@ -389,25 +397,31 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, rare: int = RARE, bins:
     rest = verify(docs, sets, sharing(candidates, s, percent), k, percent)
     comp = components(first.unionByName(rest))
 
-    small = sets.select("node", "doc_id").join(comp, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
-    root = small.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of = common.materialize(small.join(root, "comp").select("node", "component_id").join(sets.select("node", "f1", "f2"), "node"), "of")
-    rows = both.filter("n is not null").select("doc_id", "f1", "f2", F.col("n").alias("n_shingles"))
+    small = sets.select("node", "doc_id", "th").join(comp, "node", "left").select("node", "doc_id", "th", F.coalesce("comp", "node").alias("comp"))
+    root = small.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("d")).select("comp", F.col("d.doc_id").alias("component_id"), F.col("d.th").alias("first_th"))
+    of = common.materialize(small.join(root, "comp").select("node", "component_id", "first_th").join(sets.select("node", "f1", "f2"), "node"), "of")
+    rows = both.filter("n is not null").select("doc_id", "th", "f1", "f2", F.col("n").alias("n_shingles"))
     out = rows.join(of, ["f1", "f2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("node").alias("set_id"))
+    return out.select("doc_id", "th", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("node").alias("set_id"), "first_th")
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id; empty texts link with nothing and stay.
+    """``docs`` with one row of each component: one of the smallest id; texts without words link with nothing and all stay.
 
-    Rows that repeat an id within a component stay once. A row without an id stays only if its component has no id.
+    A row without an id stays only if its component has no id. Rows are told apart by id and text.
     """
     cols = docs.columns
-    found = common.materialize(link(docs, k, percent), "components")
-    #  ids whose rows can't all stay: linked to a smaller one, or repeated
-    gone = found.filter("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
-    again = found.filter("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count("*").alias("_c")).filter("_c > 1").select("doc_id").distinct()
-    plain = docs.join(gone.unionByName(again).distinct().withColumnRenamed("doc_id", "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    # of repeated ids one row each, where the id itself stays
-    twice = docs.join(again.join(gone, again["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(F.col("doc_id").alias("_again")), F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi")
-    return plain.select(*cols).unionByName(twice.dropDuplicates(["doc_id", "text"]).select(*cols))
+    key = ["doc_id", "th"]
+    found = common.materialize(linked(docs, k, percent).filter("n_shingles > 0"), "components")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("first_th"))
+    gone = found.filter(~stays).select(*key).distinct()
+    again = common.materialize(found.filter(stays).groupBy(*key).agg(F.count("*").alias("_c")).filter("_c > 1").select(*key), "again")
+    d = docs.withColumn("_th", F.xxhash64("text"))
+
+    def among(rows: DataFrame, how: str) -> DataFrame:
+        r = rows.select(F.col("doc_id").alias("_id"), F.col("th").alias("_of"))
+        return d.join(r, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of")), how)
+
+    # of rows that repeat both id and text one stays
+    twice = among(again, "left_semi").dropDuplicates(["doc_id", "_th"])
+    return among(gone.unionByName(again), "left_anti").select(*cols).unionByName(twice.select(*cols))
