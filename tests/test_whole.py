@@ -2,7 +2,7 @@
 
 import pytest
 
-from traitloom.plans import queries
+from traitloom.plans import pipeline, queries
 from traitloom.plans.queries import Study
 from traitloom.plans.queries3 import QUERIES
 
@@ -20,3 +20,12 @@ def test_report_counts_all_tested_pairs(spark):
     rows = QUERIES["assoc_report"](spark, SF).select("feature_id", "n_tested", "snp_rank").collect()
     assert {r["feature_id"]: r["n_tested"] for r in rows} == want
     assert len(rows) == sum(want.values())
+
+
+def test_permutation_moves_dk_with_counts(spark):
+    offsets = spark.createDataFrame([(f, s, 10 * s, float(s)) for f in range(3) for s in range(9)], "feature_ix long, sample_ix long, y long, k double")
+    dk = offsets.selectExpr("feature_ix", "sample_ix", "k + 0.5 as dk")
+    a, b = pipeline.permuted(offsets, dk, 3)
+    rows = a.join(b, ["feature_ix", "sample_ix"]).collect()
+    assert len(rows) == 27 and all(r["y"] == 10 * r["k"] and r["dk"] == r["k"] + 0.5 for r in rows)
+    assert any(r["k"] != r["sample_ix"] for r in rows)

@@ -46,9 +46,7 @@ def map_traits(offsets: DataFrame, variants: DataFrame, features: DataFrame, pri
     """
     o = o or Options()
     if o.permute_seed is not None:
-        from ..operators.matrix import permute
-
-        offsets = permute(offsets, ["feature_ix"], "sample_ix", ["y", "k"], o.permute_seed)
+        offsets, dk = permuted(offsets, dk, o.permute_seed)
     normed = O.normalise(offsets)
     pairs = tested_pairs(variants, features, o)
     if not o.force:
@@ -63,6 +61,16 @@ def map_traits(offsets: DataFrame, variants: DataFrame, features: DataFrame, pri
     return report.with_q(full)
 
 
+def permuted(offsets: DataFrame, dk: DataFrame | None, seed: int) -> tuple[DataFrame, DataFrame | None]:
+    """Counts, offsets and ``dk`` of each feature dealt anew among its samples, together."""
+    from ..operators.matrix import permute
+
+    if dk is None:
+        return permute(offsets, ["feature_ix"], "sample_ix", ["y", "k"], seed), None
+    d = permute(offsets.join(dk, ["feature_ix", "sample_ix"]), ["feature_ix"], "sample_ix", ["y", "k", "dk"], seed)
+    return d.drop("dk"), d.select("feature_ix", "sample_ix", "dk")
+
+
 def skipped(pairs: DataFrame, fsnps: DataFrame, o: Options) -> DataFrame:
     """Features whose fits would exceed the work limit."""
     n = pairs.groupBy("feature_ix").agg(F.count("*").alias("n"))
