@@ -56,6 +56,22 @@ def test_reader_decides_on_headers_alone():
     assert not reader.wanted({"content-length": "11"})
 
 
+def test_foreign_and_broken_records(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nhello"
+    rec = lambda kind, block, *lines: b"\r\n".join([b"WARC/1.0", b"WARC-Type: " + kind, *lines, b"", b""]) + block + b"\r\n\r\n"
+    size = lambda b: b"Content-Length: %d" % len(b)
+    reply = b"Content-Type: application/http; msgtype=response"
+    (tmp_path / "x.warc").write_bytes(
+        rec(b"response", http, reply, size(http)) + rec(b"response", b"HTTP/1.1 200 OK", reply, b"Content-Length: 15") + rec(b"resource", b"plain", size(b"plain"))
+        + rec(b"metadata", b"not counted", b"Content-Length: many") + rec(b"response", http, reply, size(http), b"X-Payload-Length: ?")
+    )
+    df = warc.read(spark, f"file://{tmp_path}/x.warc")
+    got = [(r["warc_type"], r["payload_length"], r["content_length"], bytes(r["payload"])) for r in df.collect()]
+    assert got == [("response", 5, len(http), b"hello"), ("response", 0, 15, b""), ("resource", 5, 5, b"plain"), ("metadata", 0, None, b""), ("response", None, len(http), b"hello")]
+    assert df.filter(F.col("payload_length") == 5).count() == 2
+    assert warc.read(spark, f"file://{tmp_path}/x.warc", payload=False).filter(F.col("payload_length") < 5).count() == 2
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(df).count() == 0

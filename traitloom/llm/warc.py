@@ -9,14 +9,20 @@ payload is passed over, neither decoded nor copied. With option ``payload`` fals
 
 Defined cases: a null payload is empty; null URLs have no WARC-Target-URI; line breaks in a URL are percent-encoded; a
 null id is written as ``null``; rows that share the largest id of a payload are all responses, a null id is below all
-others; payloads of any length; an empty table writes archives without records; other columns are ignored.
+others; payloads of any length; an empty table writes archives without records; other columns are ignored. Of foreign
+records, a number that isn't one is null, and a filter on it drops the record; an HTTP block without a blank line is all
+header, its payload empty; a length that is missing or no number counts as 0, and whatever else lies before a ``WARC/``
+line is passed over; a record that the file's end cuts off is an error. A record that doesn't state the length of its
+payload has that of its HTTP header, if there is one, else that of what follows.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import re
 from collections.abc import Iterable, Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +36,13 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SMALL = 1000
 DATE = "2026-01-01T00:00:00Z"
 BREAK = "\r\n\r\n"
+#: Bytes of what lies between records that are looked at together.
+LINE = 1 << 16
 SCHEMA = "record_id string, warc_type string, target_uri string, date string, content_type string, payload_digest string, payload_length long, refers_to string, content_length long, file string, payload binary"
 #: Columns that come from headers alone, so that filters on them are decided before the block.
 HEADERS = {"record_id": "warc-record-id", "warc_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type", "payload_digest": "warc-payload-digest", "payload_length": "x-payload-length", "refers_to": "warc-refers-to", "content_length": "content-length"}
 NUMBERS = {"payload_length", "content_length"}
+LENGTH = HEADERS["payload_length"]
 
 
 def records(pages: DataFrame, least: int = SMALL) -> DataFrame:
@@ -119,12 +128,12 @@ class WarcReader(DataSourceReader):
         return [*out, Files(group)] if group else out
 
     def wanted(self, head: dict[str, str]) -> bool:
+        """Whether the filters on the headers at hand hold; the payload's length may come later."""
         for key, op, (number, value) in self.filters:
-            x = head.get(key)
-            if x is None:
-                return False
-            x = int(x) if number else x
-            if not {"=": lambda a, b: a == b, "in": lambda a, b: a in b, "starts": lambda a, b: a.startswith(b), ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "some": lambda a, b: True}[op](x, value):
+            if key == LENGTH and key not in head:
+                continue
+            x = integer(head.get(key)) if number else head.get(key)
+            if x is None or not {"=": lambda a, b: a == b, "in": lambda a, b: a in b, "starts": lambda a, b: a.startswith(b), ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "some": lambda a, b: True}[op](x, value):
                 return False
         return True
 
@@ -144,15 +153,24 @@ class WarcReader(DataSourceReader):
             with store.open_input_stream(path, compression=None) as raw:
                 stream = io.BufferedReader(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw, 1 << 20)
                 while (head := header(stream)) is not None:
-                    n = int(head.get("content-length", 0))
+                    n = max(0, integer(head.get("content-length")) or 0)
                     wanted, payload = self.wanted(head), None
+                    if wanted:
+                        inner: dict[str, str] = {}
+                        if head.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+                            n, inner = inner_header(stream, n)
+                        if LENGTH not in head:
+                            head[LENGTH] = inner.get("content-length", str(n))
+                            wanted = self.wanted(head)
                     if wanted and self.payload:
-                        payload = body(stream, n, head.get("content-type", ""))
+                        payload = stream.read(n)
+                        if len(payload) < n:
+                            raise EOFError("a record is cut off")
                     else:
                         skip(stream, n)
                     if not wanted:
                         continue
-                    rows.append((*(None if (v := head.get(h)) is None else int(v) if c in NUMBERS else v for c, h in HEADERS.items()), path.rsplit("/", 1)[-1], payload))
+                    rows.append((*(integer(head.get(h)) if c in NUMBERS else head.get(h) for c, h in HEADERS.items()), path.rsplit("/", 1)[-1], payload))
                     held += len(payload or b"")
                     if len(rows) >= 2000 or held >= 16 << 20:
                         yield batch()
@@ -161,30 +179,36 @@ class WarcReader(DataSourceReader):
             yield batch()
 
 
+def integer(x: str | None) -> int | None:
+    return int(x) if x and re.fullmatch(r"[+-]?[0-9]{1,18}", x) else None
+
+
+def fields(lines: Iterable[bytes]) -> dict[str, str]:
+    """Header lines as names in lower case and values."""
+    parts = (line.decode("utf-8", "replace").partition(":") for line in lines)
+    return {key.strip().lower(): value.strip() for key, _, value in parts}
+
+
 def header(stream: io.BufferedReader) -> dict[str, str] | None:
-    """The header of the next record, names in lower case; None at the end."""
-    line = stream.readline()
-    while line and not line.strip():
-        line = stream.readline()
-    if not line:
-        return None
-    if not line.startswith(b"WARC/"):
-        raise ValueError(f"a record begins with {line[:40]!r}")
-    head: dict[str, str] = {}
-    while (line := stream.readline()).strip():
-        key, _, value = line.decode("utf-8", "replace").partition(":")
-        head[key.strip().lower()] = value.strip()
-    return head
-
-
-def body(stream: io.BufferedReader, n: int, kind: str) -> bytes:
-    """The payload of a block of n bytes: what follows the HTTP header, if it has one."""
-    block = stream.read(n)
-    if len(block) < n:
-        raise EOFError("a record is cut off")
-    if kind.replace(" ", "").startswith("application/http"):
-        return block[block.index(b"\r\n\r\n") + 4 :]
-    return block
+    """The header of the next record; None at the end."""
+    line = stream.readline(LINE)
+    while line and not line.startswith(b"WARC/"):
+        line = stream.readline(LINE)
+    return fields(takewhile(bytes.strip, iter(stream.readline, b""))) if line else None
+
+
+def inner_header(stream: io.BufferedReader, n: int) -> tuple[int, dict[str, str]]:
+    """The header of an HTTP message of n bytes, and how many bytes follow it."""
+    lines = []
+    while n:
+        line = stream.readline(n)
+        if not line:
+            raise EOFError("a record is cut off")
+        n -= len(line)
+        if not line.strip():
+            break
+        lines.append(line)
+    return n, fields(lines)
 
 
 def skip(stream: io.BufferedReader, n: int) -> None:
@@ -196,6 +220,8 @@ def skip(stream: io.BufferedReader, n: int) -> None:
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """Archives as rows. Turns on the session's ``spark.sql.python.filterPushdown.enabled``, without which Spark hands no
+    filters to sources in Python; it must still be on when the rows are asked for."""
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
