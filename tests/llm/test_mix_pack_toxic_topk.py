@@ -63,7 +63,7 @@ def test_packing_keeps_every_id_once(spark):
     import public_tokenizers as p
 
     rnd = random.Random(2)
-    texts = [None, "", "a", "<|endoftext|> x", "é😀\n\n  b", "z" * 3000] + [" ".join(rnd.choice(["foo", "barbaz", "it's", "12 345", "ß"]) for _ in range(rnd.choice([1, 50, 400, 1500]))) for _ in range(60)]
+    texts = [None, "", "a", "<|endoftext|> x", "é😀\n\n  b", "z" * 3000, "x" + " " * 1_000_000 + "y", "\n" * 300_000, "a \u00a0" * 20_000 + "\t" * 12_000 + "b", "q" * 1_000_000] + [" ".join(rnd.choice(["foo", "barbaz", "it's", "12 345", "ß"]) for _ in range(rnd.choice([1, 50, 400, 1500]))) for _ in range(60)]
     rows = [(None if i == 3 else i % 60, t, 7) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, length int")
     got = packing.pack(df).collect()

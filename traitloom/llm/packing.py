@@ -13,6 +13,7 @@ length of text is cut into windows; an empty table gives an empty table; other c
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from functools import lru_cache
 
@@ -28,19 +29,37 @@ END = 0
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str, special: tuple[tuple[str, int], ...]):
+def encoder(ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...]):
     """The byte-level vocabulary as ranks; tests hold its ids against the tokenizers library's."""
     import tiktoken
 
-    with open(path, "rb") as f:
+    with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
 
 
-def vocabulary() -> tuple[str, str, tuple[tuple[str, int], ...]]:
+@lru_cache(maxsize=2)
+def whole(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+#: A run of white space from this length on is left to the tokenizers library: the faster one gives up on long ones.
+LONG_RUN = re.compile(r"\s{10000}")
+
+
+def ids_of(text: str, vocab: tuple) -> list[int]:
+    if LONG_RUN.search(text):
+        return whole(vocab[3]).encode(text, add_special_tokens=False).ids
+    return encoder(*vocab[:3]).encode(text, allowed_special="all")
+
+
+def vocabulary() -> tuple[str, str, tuple[tuple[str, int], ...], str]:
+    """Ranks, split pattern and special ids, and the same vocabulary in the tokenizers library's form."""
     import public_tokenizers as p
 
-    return p.path("byte_bpe_50k.tiktoken"), p.PATTERN, (("<|endoftext|>", 50256),)
+    return p.path("byte_bpe_50k.tiktoken"), p.PATTERN, (("<|endoftext|>", 50256),), p.path("byte_bpe_50k.json")
 
 
 def pieces(docs: DataFrame, vocab: tuple | None = None, window: int = WINDOW) -> DataFrame:
@@ -49,11 +68,10 @@ def pieces(docs: DataFrame, vocab: tuple | None = None, window: int = WINDOW) ->
     schema = docs.select("doc_id").schema.add("start", "long").add("length", "long").add("ids_crc32", "long").add("doc_tokens", "long")
 
     def run(batches):
-        enc = encoder(*vocab)
         for b in batches:
             row, start, length, crc, tokens = [], [], [], [], []
             for i, t in enumerate(b.column(1)):
-                ids = np.array([*enc.encode(t.as_py() or "", allowed_special="all"), END], dtype="<u4")
+                ids = np.array([*ids_of(t.as_py() or "", vocab), END], dtype="<u4")
                 raw = memoryview(ids.tobytes())
                 for s in range(0, len(ids), window):
                     n = min(window, len(ids) - s)

@@ -47,6 +47,15 @@ def part(c: Column, at: int, width: int) -> Column:
     return F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def masks(width: int, r: int) -> Column:
+    """All numbers of ``width`` bits with ``r`` ones, each made once: ones are added above the highest one."""
+    out = F.array(F.lit(0).cast("bigint"))
+    bits = F.array(*(F.lit(1 << i).cast("bigint") for i in range(width)))
+    for _ in range(r):
+        out = F.flatten(F.transform(out, lambda x: F.transform(F.filter(bits, lambda b: b > x), lambda b: x.bitwiseOR(b))))
+    return out
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     """``query_id rank vec_id distance`` for the rows where ``queries`` holds; ``vectors`` has ``vec_id embedding``."""
     spark = vectors.sparkSession
@@ -73,8 +82,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
         probes = []
         for s, (a, w) in enumerate(segments):
             if r <= w:
-                near = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit((1 << w) - 1).cast("bigint")), lambda x: F.bit_count(x) == r)
-                probes.append(active.select("q", "bound", F.lit(s).alias("seg"), F.explode(near).alias("_x")).withColumn("value", part(F.col("q"), a, w).bitwiseXOR(F.col("_x"))).drop("_x"))
+                probes.append(active.select("q", "bound", F.lit(s).alias("seg"), F.explode(masks(w, r)).alias("_x")).withColumn("value", part(F.col("q"), a, w).bitwiseXOR(F.col("_x"))).drop("_x"))
         probe = probes[0]
         for x in probes[1:]:
             probe = probe.unionByName(x)
