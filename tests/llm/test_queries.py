@@ -8,7 +8,7 @@ from oracle import connect, same
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from traitloom.llm import common
+from traitloom.llm import common, urls
 from traitloom.llm.queries import ORACLE, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -25,10 +25,14 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_toxicity_on_held_out_documents(spark):
-    labels = common.table(spark, SF, "labels")
-    got = QUERIES["op5_toxicity"](spark, SF).join(labels, "doc_id").filter("held_out")
-    rows = got.select("predicted", "toxic").collect()
-    assert sum(r["predicted"] == r["toxic"] for r in rows) / max(1, len(rows)) >= 0.85
+    """Held-out toxic documents rank above the others: a constant score has 0.5."""
+    sf = SF.replace("sf0.001", "sf0.01")
+    got = QUERIES["op5_toxicity"](spark, sf).join(common.table(spark, sf, "labels"), "doc_id").filter("held_out").select("score", "predicted", "toxic").collect()
+    bad, good = [r["score"] for r in got if r["toxic"]], [r["score"] for r in got if not r["toxic"]]
+    assert len(bad) >= 5 and len(good) >= 50
+    assert sum((x > y) + (x == y) / 2 for x in bad for y in good) / (len(bad) * len(good)) >= 0.9
+    assert sum(r["predicted"] for r in got if r["toxic"]) / len(bad) >= 0.8
+    assert sum(r["predicted"] for r in got if not r["toxic"]) / len(good) <= 0.05
 
 
 def test_packing_pads_little(spark):
@@ -40,7 +44,22 @@ def test_packing_pads_little(spark):
 
 
 def test_urls_query_judges_every_page(spark):
-    assert QUERIES["op9_urls"](spark, SF).count() == common.table(spark, SF, "pages").count()
+    """Host, path and listed rule by plain string work; the method's verdict by a plain test of each rule on each page."""
+    pages = common.table(spark, SF, "pages").select("page_id", "url")
+    bad = common.table(spark, SF, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    rules = urls.mine(pages, bad)
+    toks = {r["page_id"]: set(r["t"]) for r in urls.with_parts(pages).select("page_id", urls.tokens().alias("t")).collect()}
+    want = []
+    for i, u in map(tuple, pages.collect()):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        fit = [(len(h + p), h + p, v) for v, h, p in urls.LISTED if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fit)[1:] if fit else (None, "block" if any(set(r.tokens) <= toks[i] for r in rules) else "allow")
+        want.append((i, host, path, rule, verdict))
+    got = QUERIES["op9_urls"](spark, SF).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_pipeline_stages_keep_columns_and_take_effect(spark):

@@ -48,8 +48,7 @@ def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
 def tokens() -> Column:
     """What a URL's parts say, each thing once: host and its suffixes, path segments, query keys, a fragment; digits count as one kind."""
     labels = F.split("host", r"\.")
-    n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(6))), lambda i: F.concat(F.lit("h:"), F.array_join(F.slice(labels, -i, i), ".")))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("h:"), F.array_join(F.slice(labels, -i, i), ".")))
     segments = F.transform(F.filter(F.split("path", "/"), lambda s: F.length(s) > 0), lambda s: F.concat(F.lit("p:"), F.regexp_replace(s, "[0-9]+", "0")))
     keys = F.transform(F.filter(F.split(F.regexp_extract("_tail", r"^\?([^#]*)", 1), "&"), lambda s: F.length(s) > 0), lambda s: F.concat(F.lit("q:"), F.regexp_extract(s, "^[^=]*", 0)))
     mark = F.when(F.contains("_tail", F.lit("#")), F.array(F.lit("f:"))).otherwise(F.array().cast("array<string>"))
