@@ -80,6 +80,23 @@ def test_redaction_replaces_spans(spark):
     assert got[2]["text"] is None and got[3]["text"] == "clean"
 
 
+def test_account_numbers_in_groups(spark):
+    rows = [(1, "pay GB29 NWBK 6016 1331 9268 19 now"), (2, "GB29 NWBK 6016 1331 9268 18"), (3, "DE89370400440532013000, DE89 3704 0044 0532 0130 00.")]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["iban"]] for r in pii.detect(table(spark, rows)).collect()}
+    assert got == {1: [(4, 31)], 2: [], 3: [(0, 22), (24, 51)]}
+
+
+def test_many_spans_in_one_text(spark):
+    n = 40_000
+    text = "a@b.co " * n + "card 4111 1111 1111 1111"
+    df = spark.createDataFrame([(1, text, "s"), (2, "é" * 3000 + " x@y.zz " + "é" * 3000, "t")], "doc_id long, text string, email string")
+    r = {x["doc_id"]: x for x in pii.detect(df).collect()}
+    assert len(r[1]["email"]) == n and [(s["start"], s["end"], round(s["score"], 1)) for s in r[1]["card"]] == [(7 * n + 5, 7 * n + 24, 1.0)]
+    got = {x["doc_id"]: x for x in pii.redact(df).collect()}
+    assert got[1]["text"] == "<email> " * n + "card <card>" and got[1]["email"] == "s"
+    assert got[2]["text"] == "é" * 3000 + " <email> " + "é" * 3000
+
+
 def test_secret_base_spans_are_those_of_plain_patterns(spark):
     rows = DOCS + noise(2, 300)
     want = sorted(((d, plain_secrets(t)) for d, t in rows), key=str)

@@ -25,6 +25,43 @@ def prefix_sums(xs: Column) -> Column:
     return F.flatten(joined["a"])
 
 
+def folded(xs: Column, state: Column, kind: str, step) -> Column:
+    """What ``step(state, x)``, a struct of ``state`` and ``out``, gives for each x in turn: the array of all ``out``, of type ``kind``.
+
+    As in ``prefix_sums`` blocks are appended to blocks, so long arrays take linear time in practice.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def block(c: Column, begin: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            return F.transform(F.array(step(acc["state"], x)), lambda s: F.struct(s["state"].alias("state"), F.array_append(acc["out"], s["out"]).alias("out")))[0]
+
+        return F.aggregate(F.slice(xs, c * BLOCK + 1, BLOCK), F.struct(begin.alias("state"), none.alias("out")), one)
+
+    first = F.array(F.struct(state.alias("state"), none.alias("out")))
+    numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK)).cast("int"))
+    done = F.aggregate(numbers, first, lambda acc, c: F.array_append(acc, block(c, F.element_at(acc, -1)["state"])))
+    return F.flatten(F.transform(done, lambda b: b["out"]))
+
+
+#: Code points of a piece of ``cut``.
+PIECE = 1024
+
+
+def cut(text: Column) -> Column:
+    """A text in pieces of ``PIECE`` code points: ``within`` finds a place in it without going over the whole text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def within(pieces: Column, begin: Column, end: Column) -> Column:
+    """The code points from ``begin`` to before ``end`` of a text that was cut; places beyond it are none."""
+    first, last = F.floor(begin / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    from_, to = (begin % PIECE).cast("int"), (end % PIECE).cast("int")
+    at = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+    several = F.concat(F.substring(at(first), from_ + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, first + 2, F.greatest(F.lit(0), last - first - 1)), ""), F.substring(at(last), F.lit(1), to))
+    return F.when(first == last, F.substring(at(first), from_ + 1, to - from_)).otherwise(several)
+
+
 def matches(df: DataFrame, text: str, rules: dict[str, tuple[str, int]], guards: dict[str, Column] | None = None) -> DataFrame:
     """Add for each rule, named by its key, an array of (start, end, text, part): its leftmost non-overlapping matches.
 

@@ -1,18 +1,22 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
-Built-in functions only. Spans of the base kinds stay as their pattern and condition find them; the other kinds need
-a valid checksum or context to reach ``LEAST``. Offsets count code points of the whole text, end exclusive.
+Built-in functions only. Spans of the base kinds stay as their pattern and condition find them, with a score; the other
+kinds need a valid checksum or context to reach ``LEAST``. An account number may be printed in groups of four: a word of
+four capitals or digits right after such a number reads as one more group and fails the checksum. Offsets count code
+points of the whole text, end exclusive.
 
 Patterns that could rescan a long run start only where a run starts or where the last match ended, and repeat groups
 without backtracking: the matches are the same, the time is linear.
 
 Defined cases: a null or empty text has no spans; repeated rows and null ids are rows like others; any length of text;
-an empty table gives an empty table; columns of other names pass through only where asked for.
+an empty table gives an empty table; columns of other names pass through where asked for, whatever they are called in
+``redact``; in ``detect`` those that are named like a kind are an error.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +31,7 @@ BASE: dict[str, tuple[str, int]] = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0),
 }
 MORE: dict[str, tuple[str, int]] = {
-    "iban": (r"[A-Z]{2}[0-9]{2}[A-Z0-9]+", 0),
+    "iban": (r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]+|(?:\x20[A-Z0-9]{4})+(?:\x20[A-Z0-9]{1,3})?)", 0),
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0),
 }
 KINDS = [*BASE, *MORE]
@@ -76,31 +80,37 @@ def valid(kind: str, s: Column) -> Column:
     if kind == "phone":
         return F.length(digits(s["text"])).between(9, 15)
     if kind == "iban":
-        return F.length(s["text"]).between(15, 34) & F.when(F.length(s["text"]).between(15, 34), mod97(s["text"])).otherwise(False)
+        bare = F.translate(s["text"], " ", "")
+        return F.when(F.length(bare).between(15, 34), mod97(bare)).otherwise(False)
     return F.lit(True)
 
 
-def scored(kind: str, text: Column, s: Column) -> Column:
-    """A span with its score: the prior, more if a context word is near before or after it."""
-    begin = F.greatest(F.lit(1), s["start"] + 1 - NEAR)
-    around = F.lower(F.substring(text, begin.cast("int"), (s["end"] - begin + 1 + NEAR).cast("int")))
-    near = F.lit(False)
-    for w in CONTEXT[kind]:
-        near = near | F.contains(around, F.lit(w))
+def scored(kind: str, pieces: Column, s: Column) -> Column:
+    """A span with its score: the prior, more if a context word is within ``NEAR`` code points before or after it."""
+    around = F.lower(native.within(pieces, F.greatest(F.lit(0), s["start"] - NEAR), s["end"] + NEAR))
+    near = F.exists(F.array(around), lambda x: reduce(or_, (F.contains(x, F.lit(w)) for w in CONTEXT[kind])))
     return F.struct(s["start"].alias("start"), s["end"].alias("end"), (F.lit(PRIOR[kind]) + F.when(near, BOOST).otherwise(0.0)).alias("score"))
 
 
-def detect(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` and a column for each kind: an array of (start, end, score)."""
-    keep = ["doc_id"] if keep is None else keep
-    d = docs.select(*(F.col(c).alias(f"_k_{c}") for c in keep), F.col("text").alias("_text"))
+def spans(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """``keep`` and a column ``_s_<kind>`` for each kind: an array of (start, end, score)."""
+    d = docs.select(*(F.col(c).alias(f"_k_{c}") for c in keep), F.col(text).alias("_text"))
+    kept = [f"_k_{c}" for c in keep]
     guards = {"email": F.contains("_text", F.lit("@")), "phone": F.contains("_text", F.lit("+")), "ssn": F.contains("_text", F.lit("-"))}
     m = native.matches(d, "_text", BASE | MORE, guards)
-    kept = [F.col(f"_k_{c}") for c in keep]
     m = m.select(*kept, "_text", *(F.filter(k, partial(valid, k)).alias(k) for k in KINDS))
-    m = m.select(*kept, *(F.transform(k, partial(scored, k, F.col("_text"))).alias(k) for k in KINDS))
-    m = m.select(*(F.col(f"_k_{c}").alias(c) for c in keep), *(F.col(k) if k in BASE else F.filter(k, lambda s: s["score"] >= LEAST).alias(k) for k in KINDS))
-    return m
+    some = reduce(or_, (F.size(k) > 0 for k in KINDS))
+    m = m.select(*kept, *KINDS, F.when(some, native.cut(F.col("_text"))).alias("_cut"))
+    m = m.select(*kept, *(F.transform(k, partial(scored, k, F.col("_cut"))).alias(k) for k in KINDS))
+    return m.select(*(F.col(f"_k_{c}").alias(c) for c in keep), *((F.col(k) if k in BASE else F.filter(k, lambda s: s["score"] >= LEAST)).alias(f"_s_{k}") for k in KINDS))
+
+
+def detect(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` and a column for each kind: an array of (start, end, score)."""
+    keep = ["doc_id"] if keep is None else keep
+    if clash := set(keep) & set(KINDS):
+        raise ValueError(f"columns named like kinds: {sorted(clash)}")
+    return spans(docs, keep, "text").select(*keep, *(F.col(f"_s_{k}").alias(k) for k in KINDS))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -109,21 +119,26 @@ def redact(docs: DataFrame) -> DataFrame:
     ``n_chars`` follows the text where there is such a column.
     """
     cols = docs.columns
-    d = detect(docs, cols)
+    d = spans(docs, cols, "text")
 
     def tagged(i: int, k: str) -> Column:
-        return F.transform(k, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("i"), s["end"].alias("end"), F.lit(f"<{k}>").alias("tag")))
+        return F.transform(f"_s_{k}", lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("i"), s["end"].alias("end"), F.lit(f"<{k}>").alias("tag")))
 
     every = F.array_sort(F.concat(*(tagged(i, k) for i, k in enumerate(KINDS))))
     d = d.select(*cols, every.alias("_spans"))
-    # text before each span that begins after the last one kept, then its tag; then the rest
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), s["tag"])
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.array_append(acc["out"], piece).alias("out"))).otherwise(acc)
 
-    d = d.select(*cols, F.when(F.size("_spans") > 0, F.aggregate("_spans", first, step)).alias("_done"))
-    text = F.when(F.col("_done").isNull(), F.col("text")).otherwise(F.concat(F.array_join("_done.out", ""), F.substring(F.col("text"), (F.col("_done.at") + 1).cast("int"), F.length("text"))))
+    # the spans that begin after the last one kept, each with the end of that one
+    def step(at: Column, s: Column) -> Column:
+        free = s["start"] >= at
+        out = F.when(free, F.struct(at.alias("from"), s["start"].alias("to"), s["end"].alias("end"), s["tag"].alias("tag")))
+        return F.struct(F.when(free, s["end"]).otherwise(at).alias("state"), out.alias("out"))
+
+    kind = "struct<from:bigint,to:bigint,end:bigint,tag:string>"
+    kept = F.filter(native.folded(F.col("_spans"), F.lit(0).cast("bigint"), kind, step), lambda x: x.isNotNull())
+    some = F.size("_spans") > 0
+    d = d.select(*cols, F.when(some, kept).alias("_kept"), F.when(some, native.cut(F.col("text"))).alias("_cut"))
+    before = F.array_join(F.transform("_kept", lambda x: F.concat(native.within(F.col("_cut"), x["from"], x["to"]), x["tag"])), "")
+    rest = native.within(F.col("_cut"), F.element_at("_kept", -1)["end"], F.length("text").cast("bigint"))
+    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.concat(before, rest))
     d = d.withColumn("text", text).select(*cols)
     return d.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cols else d

@@ -146,9 +146,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"))
 
 
-def listed(d: DataFrame, base: list[str], kinds: list[str]) -> DataFrame:
+def listed(d: DataFrame, base: list[str], kinds: list[str], more: list[str] | None = None) -> DataFrame:
     """``doc_id``, a count for each base kind, the digest of the base spans, and all spans."""
-    return d.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in base), F.sha2(native.listing(base), 256).alias("base_sha256"), native.listing(kinds).alias("spans"))
+    return d.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in base), F.sha2(native.listing(base), 256).alias("base_sha256"), native.listing(kinds).alias("spans"), *(more or []))
 
 
 def found_sql(kind: str, pattern: str, group: int) -> str:
@@ -157,19 +157,20 @@ def found_sql(kind: str, pattern: str, group: int) -> str:
     return f"""list_transform(range(1, len(m_{kind}) + 1), lambda i: {{'s': list_sum(list_transform(p_{kind}[:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m_{kind}[:i - 1], lambda x: length(x))), 0)::BIGINT, 't': m_{kind}[i], 'g': g_{kind}[i]}})"""
 
 
-def spans_sql(table: str, rules: dict[str, tuple[str, int]], valid: dict[str, str], base: list[str]) -> str:
-    """``doc_id``, counts, digest and spans in DuckDB; ``valid`` has the condition on a match x for each kind."""
+def spans_sql(table: str, rules: dict[str, tuple[str, int]], valid: dict[str, str], base: list[str], scores: dict[str, str] | None = None) -> str:
+    """``doc_id``, counts, digest and spans in DuckDB; ``valid`` has the condition on a match x for each kind, ``scores`` its score."""
     esc = lambda p: p.replace("'", "''")
     first = ", ".join(f"regexp_extract_all(t, '{esc(p)}') AS m_{k}, string_split_regex(t, '{esc(p)}') AS p_{k}, regexp_extract_all(t, '{esc(p)}', {g}) AS g_{k}" for k, (p, g) in rules.items())
     second = ", ".join(f"{found_sql(k, p, g)} AS f_{k}" for k, (p, g) in rules.items())
     third = ", ".join(f"list_filter(f_{k}, lambda x: {valid[k]}) AS k_{k}" for k in rules)
-    every = lambda kinds: "list_sort(" + " || ".join(f"list_transform(k_{k}, lambda x: {{'s': x.s, 'i': {i}, 'e': x.s + length(x.t), 'k': '{k}'}})" for i, k in enumerate(kinds)) + ")"
+    every = lambda kinds: "list_sort(" + " || ".join(f"list_transform(k_{k}, lambda x: {{'s': x.s, 'i': {i}, 'e': x.s + length(x.t), 'k': '{k}', 'n': {(scores or {}).get(k, '0')}}})" for i, k in enumerate(kinds)) + ")"
     text = lambda kinds: f"array_to_string(list_transform({every(kinds)}, lambda x: x.k || ':' || x.s || ':' || x.e), ',')"
+    tenths = f", coalesce(array_to_string(list_transform({every([*rules])}, lambda x: x.n), ','), '') AS scores" if scores else ""
     counts = ", ".join(f"CAST(len(k_{k}) AS BIGINT) AS n_{k}" for k in base)
     return f"""
 WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM {table}), b AS (SELECT *, {first} FROM a), c AS (SELECT doc_id, t, {second} FROM b),
-d AS (SELECT doc_id, {third} FROM c)
-SELECT doc_id, {counts}, sha256(coalesce({text(base)}, '')) AS base_sha256, coalesce({text([*rules])}, '') AS spans FROM d
+d AS (SELECT doc_id, t, {third} FROM c)
+SELECT doc_id, {counts}, sha256(coalesce({text(base)}, '')) AS base_sha256, coalesce({text([*rules])}, '') AS spans{tenths} FROM d
 """
 
 
@@ -189,11 +190,16 @@ ORACLE["op7_secrets"] = spans_sql(
 
 @query
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listed(pii.detect(common.table(spark, sf_dir, "documents")), [*pii.BASE], pii.KINDS)
+    """With ``scores``: those of all spans in tenths, in their order."""
+    d = pii.detect(common.table(spark, sf_dir, "documents"))
+    tenths = [F.transform(k, lambda s, i=i: F.struct(s["start"].alias("start"), F.lit(i).alias("i"), F.round(10 * s["score"]).cast("int").alias("tenths"))) for i, k in enumerate(pii.KINDS)]
+    scores = F.array_join(F.transform(F.array_sort(F.concat(*tenths)), lambda s: s["tenths"].cast("string")), ",")
+    return listed(d.withColumn("scores", scores), [*pii.BASE], pii.KINDS, ["scores"])
 
 
 LUHN = "list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse({d})[i] AS INT) ELSE (CAST(reverse({d})[i] AS INT) * 2) // 10 + (CAST(reverse({d})[i] AS INT) * 2) % 10 END)) % 10 = 0"
-TURNED = "(substr(x.t, 5) || substr(x.t, 1, 4))"
+BARE = "replace(x.t, ' ', '')"
+TURNED = f"(substr({BARE}, 5) || substr({BARE}, 1, 4))"
 MOD97 = f"list_reduce(list_prepend(0, list_transform(string_split({TURNED}, ''), lambda c: CAST(CASE WHEN ascii(c) < 65 THEN ascii(c) - 48 ELSE ascii(c) - 55 END AS INT))), lambda a, v: CASE WHEN v < 10 THEN (a * 10 + v) % 97 ELSE (a * 100 + v) % 97 END) = 1"
 DIGITS = "regexp_replace(x.t, '[^0-9]', '', 'g')"
 AROUND = "lower(substr(t, greatest(1, x.s + 1 - 40), x.s + length(x.t) - greatest(1, x.s + 1 - 40) + 1 + 40))"
@@ -211,10 +217,11 @@ ORACLE["op8_pii"] = spans_sql(
         "ip": "len(list_filter(string_split(x.t, '.'), lambda p: TRY_CAST(p AS HUGEINT) IS NULL OR TRY_CAST(p AS HUGEINT) > 255)) = 0",
         "card": f"length({DIGITS}) BETWEEN 12 AND 19 AND {LUHN.format(d=DIGITS)}",
         "phone": f"length({DIGITS}) BETWEEN 9 AND 15",
-        "iban": f"CASE WHEN length(x.t) BETWEEN 15 AND 34 THEN {MOD97} ELSE false END",
+        "iban": f"CASE WHEN length({BARE}) BETWEEN 15 AND 34 THEN {MOD97} ELSE false END",
         "ssn": f"contains({AROUND}, 'ssn') OR contains({AROUND}, 'social')",
     },
     [*pii.BASE],
+    {k: f"{round(10 * pii.PRIOR[k])} + CASE WHEN {' OR '.join(f"contains({AROUND}, '{w}')" for w in pii.CONTEXT[k])} THEN {round(10 * pii.BOOST)} ELSE 0 END" for k in pii.KINDS},
 )
 
 
