@@ -26,10 +26,10 @@ def test_query_matches_sql(spark, con, name):
 
 def test_toxicity_on_held_out_documents(spark):
     """Held-out toxic documents rank above the others: a constant score has 0.5."""
-    sf = SF.replace("sf0.001", "sf0.01")
+    sf = SF.replace("sf0.001", "sf0.1")  # the smaller tables have too few toxic documents to rank
     got = QUERIES["op5_toxicity"](spark, sf).join(common.table(spark, sf, "labels"), "doc_id").filter("held_out").select("score", "predicted", "toxic").collect()
     bad, good = [r["score"] for r in got if r["toxic"]], [r["score"] for r in got if not r["toxic"]]
-    assert len(bad) >= 5 and len(good) >= 50
+    assert len(bad) >= 50 and len(good) >= 500
     assert sum((x > y) + (x == y) / 2 for x in bad for y in good) / (len(bad) * len(good)) >= 0.9
     assert sum(r["predicted"] for r in got if r["toxic"]) / len(bad) >= 0.8
     assert sum(r["predicted"] for r in got if not r["toxic"]) / len(good) <= 0.05

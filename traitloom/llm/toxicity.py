@@ -8,26 +8,30 @@ Terms are whole words and the first four and six characters of longer words. The
 apart best by likelihood ratio (``least`` at the least) carry weights (not negative); a sentence with none of them has probability 0, so text
 without evidence adds nothing however long it is.
 
-The model is fitted on the driver on a bounded sample: at most about ``max_docs`` labelled documents of at most
-``max_chars`` characters, picked by a hash of the id. Scoring covers every whole text.
+The model is fitted in one task on a bounded sample: about ``max_docs`` labelled documents of at most ``max_chars``
+characters, and about ``max_total`` characters together, picked by a hash of the id; the driver gets the weights alone.
+Scoring covers every whole text.
 
 Defined cases: null and empty texts score ``leak``, the model's floor; a null id counts as the empty text for the fold
-(held out) and never trains; labels repeated for an id count as toxic if one is; with one class only, all scores are
-the leak; an empty table gives an empty table.
+(held out) and never trains; labels repeated for an id count as toxic if one is; of rows that repeat an id the least
+text trains; with one class only, all scores are the leak; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 SENTENCE = re.compile(r"[.!?\n]+")
 TERM = re.compile(r"\w+")
 
@@ -116,15 +120,24 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_chars: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_chars: int = 20_000, max_total: int = 40_000_000) -> Model:
     """Fit on a bounded sample of the labelled documents outside the held-out fold."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     share = min(1.0, max_docs / max(1, known.count()))
-    # its size is bounded by max_docs, so it can be broadcast
-    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * max_docs)
-    some = docs.select("doc_id", "text").filter(F.length("text") <= max_chars).join(F.broadcast(known), "doc_id")
-    got = some.select("text", "toxic").limit(2 * max_docs).toArrow()
-    return fit(list(zip(got["text"].to_pylist(), got["toxic"].to_pylist(), strict=True)))
+    # about max_docs rows, so it can be broadcast
+    known = F.broadcast(known.filter(place < int(share * 1_000_000)))
+    some = docs.select("doc_id", "text").filter(F.length("text") <= max_chars).join(known, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    some = common.materialize(some, "sample")
+    total = some.agg(F.sum(F.length("text"))).first()[0] or 0
+    some = some.filter(place < int(share * min(1.0, max_total / max(1, total)) * 1_000_000))
+
+    def run(batches):
+        rows = [(t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(asdict(fit(rows)))])], names=["model"])
+
+    # the sample is bounded: one task
+    return Model(**json.loads(some.select("text", "toxic").repartition(1).mapInArrow(run, "model string").first()[0]))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
