@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +18,17 @@ def parse(text: DataFrame) -> DataFrame:
 
 
 def scan(spark: SparkSession, samples: DataFrame) -> DataFrame:
-    """Alignments of all files of ``samples`` (sample_ix, path): one read over all paths, the sample by its path."""
-    rows = samples.collect()  # a row a file
-    d = spark.read.text([r["path"] for r in rows]).withColumn("_file", F.input_file_name())
-    name = F.regexp_extract("_file", "([^/]+)$", 1)
-    known = samples.select("sample_ix", F.regexp_extract("path", "([^/]+)$", 1).alias("_name"))
-    return parse(d.withColumn("_name", name).join(known, "_name").drop("_name", "_file"))
+    """Alignments of all files of ``samples`` (sample_ix, path): one read over all paths, the sample by its full path."""
+    rows = samples.select("sample_ix", "path").collect()  # a row a file
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def full(path: str) -> str:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return re.sub("^file:/+", "file:/", p.getFileSystem(conf).makeQualified(p).toUri().toString())
+
+    known = spark.createDataFrame([(r["sample_ix"], full(r["path"])) for r in rows], "sample_ix long, _path string")
+    d = spark.read.text([r["path"] for r in rows]).withColumn("_path", F.regexp_replace(F.input_file_name(), "^file:/+", "file:/"))
+    return parse(d.join(F.broadcast(known), "_path").drop("_path"))
 
 
 def sample_list(spark: SparkSession, path: str) -> DataFrame:
