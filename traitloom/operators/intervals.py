@@ -30,10 +30,14 @@ def in_any(points: DataFrame, intervals: DataFrame, width: int, pos: str = "pos"
     return p.join(i, on, "left_semi").drop("_bin")
 
 
+#: Positions of a bin at most: with wider windows a bin of their width would be a whole chromosome, one key.
+WIDEST = 5_000_000
+
+
 def in_window(variants: DataFrame, features: DataFrame, half: int) -> DataFrame:
     """Variants within ``half`` of a feature's ``tss``, both ends included."""
     w = features.select("feature_ix", "chrom", "tss", (F.col("tss") - half).alias("start"), (F.col("tss") + half).alias("end"))
-    return points_in(variants, w, 2 * half).drop("start", "end")
+    return points_in(variants, w, max(1, min(2 * half, WIDEST))).drop("start", "end")
 
 
 def outside_window(chrom: Column, pos: Column, own_chrom: Column, tss: Column, half: int) -> Column:

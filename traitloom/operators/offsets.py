@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 
@@ -59,10 +63,30 @@ def zscores(fpm: DataFrame) -> DataFrame:
 
 
 def gram(z: DataFrame) -> DataFrame:
-    """Sample by sample sums of products over features: a feature's row becomes its pairs of samples, then one sum."""
-    rows = z.groupBy("feature_ix").agg(F.collect_list(F.struct("sample_ix", "z")).alias("r"))
-    pairs = rows.select(F.explode("r").alias("a"), "r").select("a", F.explode("r").alias("b"))
-    return pairs.groupBy(F.col("a.sample_ix").alias("i"), F.col("b.sample_ix").alias("j")).agg(F.sum(F.col("a.z") * F.col("b.z")).alias("g"))
+    """Sample by sample sums of products over features: each task adds up its features' part, then one sum of parts."""
+    rows = z.filter("z is not null").groupBy("feature_ix").agg(F.collect_list("sample_ix").alias("s"), F.collect_list("z").alias("z"))
+
+    def run(batches):
+        at: dict[int, int] = {}
+        total = np.zeros((0, 0))
+        both = np.zeros((0, 0))  # features that have both samples: a pair that never meets has no row
+        for df in batches:
+            for s in df["s"]:
+                for i in s:
+                    at.setdefault(int(i), len(at))
+            m = np.zeros((len(df), len(at)))
+            there = np.zeros((len(df), len(at)))
+            for n, (s, v) in enumerate(zip(df["s"], df["z"], strict=True)):
+                cols = [at[int(i)] for i in s]
+                m[n, cols], there[n, cols] = v, 1
+            grown = len(at) - len(total)
+            total, both = (np.pad(x, (0, grown)) for x in (total, both))
+            total, both = total + m.T @ m, both + there.T @ there
+        i, j = np.nonzero(both)
+        ids = np.array(list(at), np.int64)
+        yield pd.DataFrame({"i": ids[i] if len(ids) else i, "j": ids[j] if len(ids) else j, "g": total[i, j]})
+
+    return rows.select("s", "z").mapInPandas(run, "i long, j long, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
 
 
 def gc_bins(gc: DataFrame, n_bins: int = 200) -> DataFrame:
