@@ -11,9 +11,10 @@ from . import offsets as O
 
 
 def permute(df: DataFrame, group: list[str], item: str, values: list[str], seed: int) -> DataFrame:
-    """``values`` dealt anew among the rows of a ``group``, by a hash of seed, group and ``item``; the same on every run."""
+    """``values`` dealt anew among the rows of a ``group``, by the MD5 of seed, group and ``item``; the same on every run."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in [*group, item])))
     w = Window.partitionBy(*group) if group else Window.partitionBy()
-    d = df.withColumn("_from", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), *group, item), item))).withColumn("_to", F.row_number().over(w.orderBy(item)))
+    d = df.withColumn("_from", F.row_number().over(w.orderBy(key, item))).withColumn("_to", F.row_number().over(w.orderBy(item)))
     src = d.select(*group, F.col("_from").alias("_to"), *(F.col(v).alias(f"_v_{v}") for v in values))
     return d.drop(*values, "_from").join(src, [*group, "_to"]).select(*(c for c in df.columns if c not in values), *(F.col(f"_v_{v}").alias(v) for v in values))
 

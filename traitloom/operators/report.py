@@ -45,6 +45,24 @@ def lead(assoc: DataFrame) -> DataFrame:
     return d.filter("_rn = 1").drop("_k", "_best", "_rn")
 
 
+def passes(assoc: DataFrame, significant: float) -> DataFrame:
+    """The rows whose ratio's tail is below ``significant`` over the feature's tested variants: those of the joint model."""
+    n = F.count("*").over(Window.partitionBy("feature_ix"))
+    d = assoc.withColumn("_p", significant / n)
+    return d.filter((F.col("lr") > 0) & ((F.col("_p") >= 1) | (S.log10_chisq_tail(F.greatest(F.col("lr"), F.lit(0.0))) < F.log10("_p")))).drop("_p")
+
+
+#: What a report row of a feature that isn't fitted says.
+SKIPPED = {"variant_id": "SKIPPED", "pos": -1, "ref": "N", "alt": "N", "af": -1.0, "hwe": -1.0, "rsq": -1.0, "log10_q": 0.0, "lr": 0.0, "pi": -1.0, "delta": -1.0, "phi": -1.0, "theta": -1.0, "beta": -1.0, "snp_rank": -1, "itr": -1, "itr_null": -1, "log_bf": 0.0, "code": 0, "r2_fsnp": -1.0, "r2_rsnp": -1.0}
+AI = {"variant_id": "AI", "pos": -1, "ref": "N", "alt": "N", "af": -1.0, "hwe": -1.0, "rsq": -1.0, "log10_q": 0.0, "snp_rank": -1, "r2_fsnp": -1.0, "r2_rsnp": -1.0}
+
+
+def special(rows: DataFrame, values: dict, like: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``like``: its own, then ``values``, else null."""
+    kinds = {f.name: f.dataType for f in like.schema}
+    return rows.select(*((F.col(c) if c in rows.columns else F.lit(values.get(c))).cast(t).alias(c) for c, t in kinds.items()))
+
+
 def lead_report(assoc: DataFrame, features: DataFrame) -> DataFrame:
     """A row a feature: its lead, or the row that says that nothing was tested or nothing had a positive ratio."""
     best = with_q(assoc).groupBy("feature_ix").agg(F.min("log10_q").alias("min_q"), F.count("*").alias("n_tested"))

@@ -489,10 +489,8 @@ def lead_report(s):
     return d.select("feature_ix", "variant_id", "chrom", "pos", rd(F.col("lr"), 5).alias("lr"), rd(F.col("log10_q"), 5).alias("log10_q"), "n_tested", "n_ties")
 
 
-GATE = S.chisq_quantile(0.5)
-
-
-@query(sql(f"SELECT feature_ix, variant_ix FROM assoc WHERE lr > {GATE!r} AND feature_ix IN (SELECT feature_ix FROM kept)", **(FEAT | {"assoc": LR})))
+@query(sql(f"""SELECT feature_ix, variant_ix FROM (SELECT *, 2.0::DOUBLE / count(*) OVER (PARTITION BY feature_ix) AS p, 1.0::DOUBLE / (1 + 0.5 * sqrt(lr / 2)) AS t FROM assoc)
+  WHERE lr > 0 AND (p >= 1 OR (ln(t) - lr / 2 + {POLY}) / ln(10) < log10(p)) AND feature_ix IN (SELECT feature_ix FROM kept)""", **(FEAT | {"assoc": LR})))
 def joint_gate(s):
-    """Variants that get the joint model: those whose population ratio passes, in features that have feature variants."""
-    return assoc(s).filter(F.col("lr") > GATE).join(kept(s).select("feature_ix").distinct(), "feature_ix", "left_semi").select("feature_ix", "variant_ix")
+    """Variants that get the joint model: those whose population ratio passes for two expected by chance, in features that have feature variants."""
+    return P.passes(assoc(s), 2.0).join(kept(s).select("feature_ix").distinct(), "feature_ix", "left_semi").select("feature_ix", "variant_ix")
