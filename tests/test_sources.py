@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from traitloom.operators import matrix
+from traitloom.operators import fit, matrix
 from traitloom.plans import pipeline
 from traitloom.sources import matrices, sam, vcf
 from traitloom.streaming import allele_counts
@@ -133,3 +133,49 @@ def test_association_run_finds_the_planted_variant(spark):
     assert got[1]["pi"] > 0.55 and math.isfinite(got[1]["log_bf"])
     assert len(run()) == 4
     assert run(work_limit=3) == {}
+    whole = lambda **k: pipeline.full_report(offsets, variants, features.union(spark.createDataFrame([(1, "2", 5)], features.schema)), priors, reads, fsnps, pipeline.Options(half_window=1000, **k)).collect()
+    rows = whole(imprint=True, population_only=False)
+    assert sorted(r["variant_id"] for r in rows) == ["AI", "SKIPPED", "v0", "v1", "v2", "v3"]
+    skipped = next(r for r in rows if r["variant_id"] == "SKIPPED")
+    assert (skipped["feature_ix"], skipped["pos"], skipped["n_tested"], skipped["lr"], skipped["pi"]) == (1, -1, 0, 0.0, -1.0)
+    zero = offsets.selectExpr("feature_ix", "sample_ix", "0L as y", "k")
+    assert pipeline.map_traits(zero, variants, features, priors, reads, fsnps, pipeline.Options(half_window=1000)).collect() == []
+
+
+def test_covariates_and_weights_reach_the_fit(spark):
+    rnd = np.random.default_rng(2)
+    n = 60
+    x = rnd.normal(size=n)
+    y = rnd.poisson(80 * np.exp(0.8 * x))
+    normed = spark.createDataFrame([(0, i, int(y[i]), 1.0) for i in range(n)], "feature_ix long, sample_ix long, y long, k double")
+    none = spark.createDataFrame([], "feature_ix long, variant_ix long")
+    priors = spark.createDataFrame([], "variant_ix long, sample_ix long, z1 double, z2 double")
+    reads = spark.createDataFrame([], "variant_ix long, sample_ix long, as_ref long, as_alt long")
+    rows = fit.glm_fit(normed, spark.createDataFrame([(i, float(x[i])) for i in range(n)], "sample_ix long, x1 double"), ["x1"])
+    dk = fit.factor(rows)
+    got = {r["sample_ix"]: r["dk"] for r in dk.collect()}
+    slope = np.polyfit(x, np.log([got[i] for i in range(n)]), 1)[0]
+    assert slope == pytest.approx(0.8, abs=0.1) and np.mean(list(got.values())) == pytest.approx(1)
+    theta = lambda **k: fit.null_fit(fit.blocks(normed, none, priors, reads, **k)).first()
+    assert theta(dk=dk)["theta"] > 3 * theta()["theta"]
+    w = spark.createDataFrame([(0, i, 0.0 if i % 2 else 1.0) for i in range(n)], "feature_ix long, sample_ix long, w double")
+    half = fit.null_fit(fit.blocks(normed.filter("sample_ix % 2 = 0"), none, priors, reads)).first()
+    # samples of weight 0 say nothing, but for the centre of a flat prior
+    assert theta(weights=w)["beta"] == pytest.approx(half["beta"], abs=0.02)
+
+
+def test_permutation_moves_each_feature_variant_on_its_own(spark):
+    rows = spark.createDataFrame([(0, v, i, i / 10, i / 20, i, 2 * i, float(i)) for v in (3, 4) for i in range(9)], "feature_ix long, variant_ix long, sample_ix long, z1 double, z2 double, as_ref long, as_alt long, kx double")
+    got = fit.shuffled(rows, 5).collect()
+    order = {v: [r["as_ref"] for r in sorted(got, key=lambda r: r["sample_ix"]) if r["variant_ix"] == v] for v in (3, 4)}
+    assert order[3] != order[4] and all(sorted(o) == list(range(9)) for o in order.values())
+    assert all(r["as_alt"] == 2 * r["as_ref"] and r["z1"] == r["as_ref"] / 10 and r["kx"] == r["as_ref"] for r in got)
+
+
+def test_samples_are_told_apart_by_their_full_path(spark, tmp_path):
+    for i, d in enumerate(("a b", "c")):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "x.sam").write_text(SAM if i == 0 else SAM + SAM)
+    samples = spark.createDataFrame([(0, f"{tmp_path}/a b/x.sam"), (1, f"{tmp_path}/c/x.sam")], "sample_ix long, path string")
+    n = {r["sample_ix"]: r["count"] for r in sam.scan(spark, samples).groupBy("sample_ix").count().collect()}
+    assert n[1] == 2 * n[0] > 0

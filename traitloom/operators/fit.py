@@ -16,8 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from .genotype import STATES
 from .likelihood import Hyper
+from .matrix import permute
 
 STEPS, TOL, GRAD_TOL = 60, 1e-4, 1e-5
 BOX = np.array([[-16.118, 16.118]] * 3 + [[-100.0, 100.0], [math.log(1e-5), math.log(1e4)]])
@@ -55,7 +57,8 @@ def logit(p):
 
 @dataclass
 class Data:
-    """``y k dk w``: samples; ``h0``: [S, N, 3] priors; ``prior``: [S, N, L, 10]; ``reads``: [N, L, 2]."""
+    """``y k dk w``: samples; ``h0``: [S, N, 3] priors; ``prior``: [S, N, L, 10]; ``reads``: [N, L, 2]; ``kx``: [N, L],
+    the offset of the sample that a feature variant's reads come from (not the same as ``k`` once they are permuted)."""
 
     y: np.ndarray
     k: np.ndarray
@@ -64,9 +67,10 @@ class Data:
     h0: np.ndarray
     prior: np.ndarray | None = None
     reads: np.ndarray | None = None
+    kx: np.ndarray | None = None
 
     def take(self, at: np.ndarray) -> Data:
-        return Data(self.y, self.k, self.dk, self.w, self.h0[at], None if self.prior is None else self.prior[at], self.reads)
+        return Data(self.y, self.k, self.dk, self.w, self.h0[at], None if self.prior is None else self.prior[at], self.reads, self.kx)
 
 
 def evaluate(p: np.ndarray, d: Data, h: Hyper, beta0: float, full: bool = False):
@@ -99,7 +103,7 @@ def evaluate(p: np.ndarray, d: Data, h: Hyper, beta0: float, full: bool = False)
             (4 * (hap * derr).sum(2) * lo, -4 * (hap * derr).sum(2) * up),
             (-a * phi, b * (1 - phi)),
         ]
-        base = (theta * d.k)[:, :, None, None]  # [S, N, 1, 1]
+        base = theta[:, :, None, None] * (d.k[:, None] if d.kx is None else d.kx)[None, :, :, None]  # [S, N, L or 1, 1]
         aa, bb = base * a[:, None, None, :], base * b[:, None, None, :]
         r, q = d.reads[None, :, :, :1], d.reads[None, :, :, 1:]
         lb = lambda u, v: lgamma(u) + lgamma(v) - lgamma(u + v)
@@ -230,11 +234,13 @@ class Feature:
 
     def __init__(self, row, h: Hyper):
         self.y, self.k, self.dk = (np.array(row[c], float) for c in ("y", "k", "dk"))
-        self.w = np.ones(len(self.y))
         n = len(self.y)
+        self.w = np.array(row["w"], float) if "w" in row else np.ones(n)
         self.ids = [int(v) for v in row["fsnp"]]
         self.x = np.array(row["x"], float).reshape(len(self.ids), n, 2).transpose(1, 0, 2)
         self.reads = np.array(row["reads"], float).reshape(len(self.ids), n, 2).transpose(1, 0, 2)
+        kx = row["kx"] if "kx" in row else []
+        self.kx = np.array(kx, float).reshape(len(self.ids), n).T if len(kx) else None
         self.h = h
         v = self.y / self.k
         mu, va = v.mean(), v.var()
@@ -245,7 +251,7 @@ class Feature:
         self.h_null = np.tile(np.array([0.25, 0.5, 0.25]), (1, n, 1))
 
     def data(self, h0, prior=None) -> Data:
-        return Data(self.y, self.k, self.dk, self.w, h0, prior, self.reads if prior is not None else None)
+        return Data(self.y, self.k, self.dk, self.w, h0, prior, *((self.reads, self.kx) if prior is not None else ()))
 
     def nulls(self) -> tuple[dict, dict | None]:
         """Without and with allelic counts; the latter from several starts, the best converged one."""
@@ -309,23 +315,35 @@ def r2(q: np.ndarray, p: np.ndarray) -> np.ndarray:
 # --- distributed ------------------------------------------------------------------------------------------------
 
 
-def blocks(normed: DataFrame, fsnps: DataFrame, priors: DataFrame, as_counts: DataFrame, dk: DataFrame | None = None) -> DataFrame:
-    """A row a feature: sample-ordered arrays of y, k, dk, and of priors and reads of its feature variants.
+def shuffled(rows: DataFrame, seed: int) -> DataFrame:
+    """Priors, reads and offset of each feature variant dealt anew among its samples, together, each variant on its own."""
+    return permute(rows, ["feature_ix", "variant_ix"], "sample_ix", ["z1", "z2", "as_ref", "as_alt", "kx"], seed)
 
-    Sample order is the order of ``sample_ix``; a missing count is no reads. A row holds samples x feature variants.
+
+def blocks(normed: DataFrame, fsnps: DataFrame, priors: DataFrame, as_counts: DataFrame, dk: DataFrame | None = None, weights: DataFrame | None = None, permute_seed: int | None = None, own: DataFrame | None = None) -> DataFrame:
+    """A row a feature with reads: sample-ordered arrays of y, k, dk, w, and of priors, reads and k of its feature variants.
+
+    Sample order is the order of ``sample_ix``; a missing count is no reads, a missing weight 1. A row holds samples x
+    feature variants. ``dk`` and ``weights`` (w): by feature_ix and sample_ix. With a seed the feature variants' part is
+    permuted, with the offsets of ``own`` (as ``normed`` was before its own permutation). Features whose counts are all zero have no mean to start from and give no row.
     """
-    d = normed.withColumn("dk", F.lit(1.0)) if dk is None else normed.join(dk, ["feature_ix", "sample_ix"])
-    base = d.groupBy("feature_ix").agg(F.array_sort(F.collect_list(F.struct("sample_ix", F.col("y").cast("double").alias("y"), "k", "dk"))).alias("s"))
-    base = base.select("feature_ix", *(F.transform("s", (lambda c: lambda r: r[c])(c)).alias(c) for c in ("sample_ix", "y", "k", "dk")))
+    d = normed.withColumn("dk", F.lit(1.0)) if dk is None else normed.join(dk.select("feature_ix", "sample_ix", "dk"), ["feature_ix", "sample_ix"])
+    d = d.withColumn("w", F.lit(1.0)) if weights is None else d.join(weights.select("feature_ix", "sample_ix", "w"), ["feature_ix", "sample_ix"], "left").fillna(1.0, ["w"])
+    base = d.groupBy("feature_ix").agg(F.array_sort(F.collect_list(F.struct("sample_ix", F.col("y").cast("double").alias("y"), "k", "dk", "w"))).alias("s"), F.sum("y").alias("_t")).filter("_t > 0")
+    base = base.select("feature_ix", *(F.transform("s", (lambda c: lambda r: r[c])(c)).alias(c) for c in ("sample_ix", "y", "k", "dk", "w")))
     x = fsnps.select("feature_ix", "variant_ix").join(priors.select("variant_ix", "sample_ix", "z1", "z2"), "variant_ix").join(as_counts, ["variant_ix", "sample_ix"], "left").na.fill(0)
-    x = x.groupBy("feature_ix").agg(F.array_sort(F.collect_list(F.struct("variant_ix", "sample_ix", "z1", "z2", "as_ref", "as_alt"))).alias("r"))
+    x = x.join((normed if own is None else own).select("feature_ix", "sample_ix", F.col("k").alias("kx")), ["feature_ix", "sample_ix"])
+    if permute_seed is not None:
+        x = shuffled(x, permute_seed)
+    x = x.groupBy("feature_ix").agg(F.array_sort(F.collect_list(F.struct("variant_ix", "sample_ix", "z1", "z2", "as_ref", "as_alt", "kx"))).alias("r"))
     none = F.array().cast("array<double>")
     x = x.select(
         "feature_ix", F.array_distinct(F.transform("r", lambda r: r["variant_ix"])).alias("fsnp"),
         F.flatten(F.transform("r", lambda r: F.array(r["z1"], r["z2"]))).alias("x"), F.flatten(F.transform("r", lambda r: F.array(r["as_ref"].cast("double"), r["as_alt"].cast("double")))).alias("reads"),
+        F.transform("r", lambda r: r["kx"]).alias("kx"),
     )
     out = base.join(x, "feature_ix", "left")
-    return out.select(*base.columns, F.coalesce("fsnp", F.array().cast("array<bigint>")).alias("fsnp"), F.coalesce("x", none).alias("x"), F.coalesce("reads", none).alias("reads"))
+    return out.select(*base.columns, F.coalesce("fsnp", F.array().cast("array<bigint>")).alias("fsnp"), F.coalesce("x", none).alias("x"), F.coalesce("reads", none).alias("reads"), F.coalesce("kx", none).alias("kx"))
 
 
 NULL_SCHEMA = "feature_ix long, model string, pi double, delta double, phi double, beta double, theta double, loglik double, log_bf double, itr int, code long"
@@ -355,14 +373,18 @@ def null_fit(block: DataFrame, h: Hyper | None = None, imprint: bool = False) ->
 ALT_SCHEMA = "feature_ix long, variant_ix long, lr double, pi double, delta double, phi double, beta double, theta double, log_bf double, itr int, itr_null int, code long, joint boolean, n_feature int, r2_fsnp double, r2_rsnp double, haplotypes array<double>"
 
 
-def alt_fit(tested: DataFrame, priors: DataFrame, block: DataFrame, nulls: DataFrame, gate: float = 0.0, chunk: int = 64, h: Hyper | None = None) -> DataFrame:
-    """A row a tested pair, fitted in chunks of a feature's variants; a feature's block goes once to each chunk."""
+def alt_fit(tested: DataFrame, priors: DataFrame, block: DataFrame, nulls: DataFrame, significant: float | None = None, chunk: int = 64, h: Hyper | None = None, every: bool = False) -> DataFrame:
+    """A row a tested pair, fitted in chunks of a feature's variants; a feature's block goes once to each chunk.
+
+    The joint model is for ratios whose tail is below ``significant`` over the feature's tested variants (all positive
+    ratios without it), or for ``every`` pair.
+    """
     h = h or Hyper()
     z = priors.groupBy("variant_ix").agg(F.array_sort(F.collect_list(F.struct("sample_ix", "z1", "z2"))).alias("z"))
     z = z.select("variant_ix", F.flatten(F.transform("z", lambda r: F.array(r["z1"], r["z2"]))).alias("z"))
     key = F.pmod(F.xxhash64("variant_ix"), F.greatest(F.lit(1), F.ceil(F.col("_n") / chunk)))
     n = tested.groupBy("feature_ix").agg(F.count("*").alias("_n"))
-    t = tested.select("feature_ix", "variant_ix").join(n, "feature_ix").withColumn("chunk", key).join(z, "variant_ix").select("feature_ix", "chunk", "variant_ix", "z")
+    t = tested.select("feature_ix", "variant_ix").join(n, "feature_ix").withColumn("chunk", key).join(z, "variant_ix").select("feature_ix", "chunk", "variant_ix", "z", "_n")
     m = nulls.groupBy("feature_ix").agg(*(F.max(F.when(F.col("model") == k, F.struct("pi", "delta", "phi", "beta", "theta", "loglik", "log_bf", "itr", "code"))).alias(k) for k in ("population", "joint")))
     chunks = t.select(F.col("feature_ix").alias("_f"), F.col("chunk").alias("_c")).distinct()
     b = block.join(m, "feature_ix").join(chunks, F.col("feature_ix") == F.col("_f"))
@@ -382,7 +404,8 @@ def alt_fit(tested: DataFrame, priors: DataFrame, block: DataFrame, nulls: DataF
         left = left.sort_values("variant_ix")
         ids = [int(v) for v in left["variant_ix"]]
         zs = np.array(left["z"].tolist(), float).reshape(len(ids), len(f.y), 2)
-        o = f.alternatives(ids, zs, plain, joint, gate)
+        tail = 1.0 if significant is None else min(1.0, significant / int(left["_n"].iloc[0]))
+        o = f.alternatives(ids, zs, plain, joint, -math.inf if every else 0.0 if tail == 1.0 else S.chisq_quantile(tail))
         n0 = (joint or plain)["itr"]
         return pd.DataFrame([(int(r["feature_ix"]), v, float(o["lr"][i]), *_params(o["p"][i]), float(o["log_bf"][i]), int(o["itr"][i]), int(n0), int(o["code"][i]), bool(o["joint"][i]), len(f.ids), float(o["r2_fsnp"][i]), float(o["r2_rsnp"][i]), haplotypes(o["post"][i], zs[i]).ravel().tolist()) for i, v in enumerate(ids)], columns=names)
 
@@ -398,7 +421,7 @@ def haplotypes(post: np.ndarray, z: np.ndarray) -> np.ndarray:
     return np.stack([np.where(first, high, low), np.where(first, low, high)], 1)
 
 
-GLM_SCHEMA = "feature_ix long, coef array<double>, theta double, loglik double, itr int, dk array<double>"
+GLM_SCHEMA = "feature_ix long, coef array<double>, theta double, loglik double, itr int, samples array<long>, dk array<double>"
 
 
 def glm(y: np.ndarray, k: np.ndarray, x: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, float, float, int]:
@@ -454,7 +477,12 @@ def glm_fit(normed: DataFrame, covariates: DataFrame, columns: list[str]) -> Dat
                 scale = np.where(x.std(0) > 0, x.std(0), 1)
                 coef, theta, ll, itr = glm(y, k, np.column_stack([np.ones(len(y)), x / scale]))
                 dk = np.exp((x / scale) @ coef[1:])
-                rows.append((int(i), [float(coef[0]), *map(float, coef[1:] / scale)], theta, ll, itr, (dk / dk.mean()).tolist()))
+                rows.append((int(i), [float(coef[0]), *map(float, coef[1:] / scale)], theta, ll, itr, [int(r["sample_ix"]) for r in s], (dk / dk.mean()).tolist()))
             yield pd.DataFrame(rows, columns=names)
 
     return d.mapInPandas(run, GLM_SCHEMA)
+
+
+def factor(glm_rows: DataFrame) -> DataFrame:
+    """``feature_ix sample_ix dk``: the covariates' factor of ``glm_fit`` as rows, as ``blocks`` takes it."""
+    return glm_rows.select("feature_ix", F.explode(F.arrays_zip("samples", "dk")).alias("x")).select("feature_ix", F.col("x.samples").alias("sample_ix"), "x.dk")

@@ -11,6 +11,7 @@ from ..functions import scalars as S
 from ..operators import fit, intervals, report
 from ..operators import offsets as O
 from ..operators.likelihood import Hyper
+from ..operators.matrix import permute
 
 
 @dataclass(frozen=True)
@@ -21,7 +22,6 @@ class Options:
     maf: float = 0.05
     hwe_p: float = 1e-8
     rsq: float = 0.7
-    min_depth: float = 0.05
     work_limit: int = 30_000
     force: bool = False
     significant: float | None = None
@@ -38,41 +38,78 @@ def tested_pairs(variants: DataFrame, features: DataFrame, o: Options) -> DataFr
     return intervals.in_window(good, features, o.half_window)
 
 
-def map_traits(offsets: DataFrame, variants: DataFrame, features: DataFrame, priors: DataFrame, as_counts: DataFrame, fsnps: DataFrame, o: Options | None = None, dk: DataFrame | None = None) -> DataFrame:
-    """A row a tested pair: ratio, q-value, parameters and fit state.
+def map_traits(offsets: DataFrame, variants: DataFrame, features: DataFrame, priors: DataFrame, as_counts: DataFrame, fsnps: DataFrame, o: Options | None = None, dk: DataFrame | None = None, weights: DataFrame | None = None, covariates: DataFrame | None = None) -> DataFrame:
+    """A row a tested pair: ratio, q-value, parameters and fit state. Features that ``skipped`` names give no rows.
 
-    ``offsets``: feature_ix sample_ix y k; ``priors``: variant_ix sample_ix z1 z2; ``fsnps``: feature_ix variant_ix.
-    Features beyond the work limit give no rows unless forced (``skipped`` lists them).
+    ``offsets``: feature_ix sample_ix y k; ``priors``: variant_ix sample_ix z1 z2; ``fsnps``: feature_ix variant_ix;
+    ``dk`` (or ``covariates``: sample_ix and numbers, from which it is fitted) and ``weights``: feature_ix sample_ix
+    and dk or w. With ``permute_seed`` each feature variant's priors, reads and offset are dealt anew among its samples,
+    and a feature's counts, offsets, factors and weights together; the tested variants stay.
     """
+    return associations(offsets, variants, features, priors, as_counts, fsnps, o, dk, weights, covariates, False)
+
+
+def full_report(offsets: DataFrame, variants: DataFrame, features: DataFrame, priors: DataFrame, as_counts: DataFrame, fsnps: DataFrame, o: Options | None = None, dk: DataFrame | None = None, weights: DataFrame | None = None, covariates: DataFrame | None = None) -> DataFrame:
+    """The rows of ``map_traits``, those of features that aren't fitted (``SKIPPED``) and, where ``imprint`` asks for it,
+    of the imprinting test (``AI``); the latter two have no ``variant_ix``."""
+    return associations(offsets, variants, features, priors, as_counts, fsnps, o, dk, weights, covariates, True)
+
+
+def associations(offsets: DataFrame, variants: DataFrame, features: DataFrame, priors: DataFrame, as_counts: DataFrame, fsnps: DataFrame, o: Options | None, dk: DataFrame | None, weights: DataFrame | None, covariates: DataFrame | None, special: bool) -> DataFrame:
     o = o or Options()
+    if covariates is not None and dk is None:
+        dk = fit.factor(fit.glm_fit(O.normalise(offsets), covariates, [c for c in covariates.columns if c != "sample_ix"]))
+    plain, mixed = O.normalise(offsets), None
     if o.permute_seed is not None:
-        offsets, dk = permuted(offsets, dk, o.permute_seed)
-    normed = O.normalise(offsets)
+        offsets, dk, weights = permuted_together(offsets, dk, weights, o.permute_seed)
+        mixed = o.permute_seed + 1
     pairs = tested_pairs(variants, features, o)
-    if not o.force:
-        pairs = pairs.join(skipped(pairs, fsnps, o), "feature_ix", "left_anti")
     used = fsnps.limit(0) if o.population_only else fsnps
-    block = fit.blocks(normed, used, priors, as_counts, dk)
-    nulls = fit.null_fit(block, o.hyper)
-    n = pairs.groupBy("feature_ix").agg(F.count("*").alias("n_tested"))
-    gate = S.chisq_quantile(min(1.0, o.significant)) if o.significant else 0.0
-    rows = fit.alt_fit(pairs, priors, block, nulls, gate, o.chunk, o.hyper)
-    full = pairs.select("feature_ix", "variant_ix", "variant_id", "chrom", "pos", "ref", "alt", "af", "hwe", "rsq", "tss").join(rows, ["feature_ix", "variant_ix"]).join(n, "feature_ix")
-    return report.with_q(full)
+    n = sizes(features, pairs, fsnps, offsets)
+    out = skipped(n, o)
+    pairs = pairs.join(out.select("feature_ix"), "feature_ix", "left_anti")
+    block = fit.blocks(O.normalise(offsets), used, priors, as_counts, dk, weights, mixed, plain)
+    nulls = fit.null_fit(block, o.hyper, o.imprint)
+    rows = fit.alt_fit(pairs, priors, block, nulls, o.significant, o.chunk, o.hyper, o.force)
+    full = pairs.select("feature_ix", "variant_ix", "variant_id", "chrom", "pos", "ref", "alt", "af", "hwe", "rsq", "tss").join(rows, ["feature_ix", "variant_ix"]).join(n.select("feature_ix", "n_tested"), "feature_ix")
+    full = report.with_q(full)
+    if not special:
+        return full
+    # a row a feature that isn't fitted, and one an imprinting test
+    more = features.select("feature_ix", "chrom", "tss").join(n, "feature_ix")
+    full = full.unionByName(report.special(more.join(out.select("feature_ix"), "feature_ix", "left_semi"), report.SKIPPED | {"rank": -1}, full))
+    if o.imprint:
+        # twice the gain over the joint null model
+        ratio = nulls.groupBy("feature_ix").agg(F.max(F.when(F.col("model") == "joint", F.col("loglik"))).alias("_ll"))
+        ai = nulls.filter("model = 'imprint'").join(ratio, "feature_ix").withColumn("lr", 2 * (F.col("loglik") - F.col("_ll"))).withColumn("itr_null", F.col("itr")).join(more, "feature_ix")
+        full = full.unionByName(report.special(ai, report.AI | {"rank": -1, "joint": True}, full))
+    return full
 
 
 def permuted(offsets: DataFrame, dk: DataFrame | None, seed: int) -> tuple[DataFrame, DataFrame | None]:
     """Counts, offsets and ``dk`` of each feature dealt anew among its samples, together."""
-    from ..operators.matrix import permute
+    return permuted_together(offsets, dk, None, seed)[:2]
 
-    if dk is None:
-        return permute(offsets, ["feature_ix"], "sample_ix", ["y", "k"], seed), None
-    d = permute(offsets.join(dk, ["feature_ix", "sample_ix"]), ["feature_ix"], "sample_ix", ["y", "k", "dk"], seed)
-    return d.drop("dk"), d.select("feature_ix", "sample_ix", "dk")
+
+def permuted_together(offsets: DataFrame, dk: DataFrame | None, weights: DataFrame | None, seed: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Counts, offsets, ``dk`` and weights (where given) of each feature dealt anew among its samples, together."""
+    keys, values, d = ["feature_ix", "sample_ix"], ["y", "k"], offsets
+    for more, c in ((dk, "dk"), (weights, "w")):
+        if more is not None:
+            d, values = d.join(more.select(*keys, c), keys, "left").fillna(1.0, [c]), [*values, c]
+    d = permute(d, ["feature_ix"], "sample_ix", values, seed)
+    return d.select(*keys, "y", "k"), *(d.select(*keys, c) if c in values else None for c in ("dk", "w"))
+
+
+def sizes(features: DataFrame, pairs: DataFrame, fsnps: DataFrame, offsets: DataFrame) -> DataFrame:
+    """``feature_ix n_tested n_feature tot``: tested and feature variants and reads of every feature."""
+    n = pairs.groupBy("feature_ix").agg(F.count("*").alias("n_tested"))
+    m = fsnps.groupBy("feature_ix").agg(F.count("*").cast("int").alias("n_feature"))
+    t = offsets.groupBy("feature_ix").agg(F.sum("y").cast("double").alias("tot"))
+    return features.select("feature_ix").join(n, "feature_ix", "left").join(m, "feature_ix", "left").join(t, "feature_ix", "left").na.fill(0)
 
 
-def skipped(pairs: DataFrame, fsnps: DataFrame, o: Options) -> DataFrame:
-    """Features whose fits would exceed the work limit."""
-    n = pairs.groupBy("feature_ix").agg(F.count("*").alias("n"))
-    m = fsnps.groupBy("feature_ix").agg(F.count("*").alias("m"))
-    return n.join(m, "feature_ix", "left").filter((F.coalesce("m", F.lit(0)) + 1) * F.col("n") > o.work_limit).select("feature_ix")
+def skipped(n: DataFrame, o: Options) -> DataFrame:
+    """Of ``sizes`` the features that aren't fitted: beyond the work limit unless forced, without reads, or without tests."""
+    much = F.lit(False) if o.force else (F.col("n_feature") + 1) * F.col("n_tested") > o.work_limit
+    return n.filter(much | (F.col("tot") <= 0) | (F.col("n_tested") == 0))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import fit, matrix
 from ..operators import genotype as G
 from ..operators import offsets as O
-from .queries import QUERIES, Study, kept, priors, quality, query, tested
-from .queries2 import ORACLE, assoc
+from .queries import FEAT, PRIORS, QUERIES, Study, kept, priors, quality, query, tested
+from .oracle import r, sql
+from .queries2 import ORACLE, B, assoc, rd
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -66,22 +67,47 @@ def assoc_report(s):
     return d.select("feature_id", "variant_id", "chrom", "pos", "ref", "alt", "af", "hwe", "rsq", "log10_q", "lr", "pi", "delta", "phi", "theta", "beta", F.col("rank").alias("snp_rank"), "n_feature", "n_tested", "itr", "itr_null", "log_bf", "code", "r2_fsnp", "r2_rsnp")
 
 
-@query()
+@query(sql(f"SELECT feature_ix, variant_id, {r('lr', 5)} AS lr FROM (SELECT *, row_number() OVER (PARTITION BY feature_ix ORDER BY round(lr * 100000) DESC, md5('7:' || variant_id), variant_id) AS rn FROM assoc) WHERE rn = 1", **B))
 def lead_tie_random(s):
     """Of the variants that share a feature's best ratio one by a seeded hash."""
     from pyspark.sql import Window
 
     k = F.round(F.col("lr") * 100000)
-    w = Window.partitionBy("feature_ix").orderBy(F.desc("k"), F.xxhash64(F.lit(7), "variant_id"))
-    return assoc(s).withColumn("k", k).withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("feature_ix", "variant_id", "lr")
+    w = Window.partitionBy("feature_ix").orderBy(F.desc("k"), F.md5(F.concat(F.lit("7:"), "variant_id")), "variant_id")
+    return assoc(s).withColumn("k", k).withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("feature_ix", "variant_id", rd(F.col("lr"), 5).alias("lr"))
 
 
-@query()
+def dealt(table: str, group: list[str], values: list[str], seed: int) -> str:
+    """A permutation within groups in DuckDB: the row that is nth by hash gives its values to the nth sample."""
+    g, key = ", ".join(group), " || ':' || ".join([f"'{seed}'", *group, "sample_ix"])
+    return f"""SELECT a.* EXCLUDE ({', '.join(values)}, _f, _t), {', '.join(f'b.{v}' for v in values)} FROM
+      (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY md5({key}), sample_ix) AS _f, row_number() OVER (PARTITION BY {g} ORDER BY sample_ix) AS _t FROM {table}) a
+      JOIN (SELECT {g}, {', '.join(values)}, row_number() OVER (PARTITION BY {g} ORDER BY md5({key}), sample_ix) AS _t FROM {table}) b USING ({g}, _t)"""
+
+
+@query(sql(f"SELECT feature_ix, sample_ix, y, {r('k')} AS k FROM ({dealt('norm', ['feature_ix'], ['y', 'k'], 11)})"))
 def permute_counts(s):
-    return matrix.permute(O.normalise(s.offsets()), ["feature_ix"], "sample_ix", ["y", "k"], 11)
+    """The half of a permutation that moves a feature's counts and offsets."""
+    return matrix.permute(O.normalise(s.offsets()), ["feature_ix"], "sample_ix", ["y", "k"], 11).select("feature_ix", "sample_ix", "y", rd(F.col("k")).alias("k"))
 
 
-@query()
+VALUES = ["z1", "z2", "as_ref", "as_alt", "kx"]
+OWN = """SELECT k.feature_ix, k.variant_ix, n.sample_ix, p.z1, p.z2, coalesce(c.as_ref, 0) AS as_ref, coalesce(c.as_alt, 0) AS as_alt, n.k AS kx FROM kept k JOIN norm n USING (feature_ix)
+  JOIN priors p ON p.variant_ix = k.variant_ix AND p.sample_ix = n.sample_ix LEFT JOIN as_counts c ON c.variant_ix = k.variant_ix AND c.sample_ix = n.sample_ix"""
+
+
+@query(sql(f"SELECT feature_ix, variant_ix, sample_ix, {r('z1')} AS z1, {r('z2')} AS z2, as_ref, as_alt, {r('kx')} AS kx FROM ({dealt('own', ['feature_ix', 'variant_ix'], VALUES, 12)})", **FEAT, priors=PRIORS, own=OWN))
+def permute_feature_variants(s):
+    """The other half: priors, allele-specific counts and offset of each feature variant."""
+    x = kept(s).select("feature_ix", "variant_ix").join(priors(s).select("variant_ix", "sample_ix", "z1", "z2"), "variant_ix").join(s.as_counts(), ["variant_ix", "sample_ix"], "left").na.fill(0)
+    x = x.join(O.normalise(s.offsets()).select("feature_ix", "sample_ix", F.col("k").alias("kx")), ["feature_ix", "sample_ix"])
+    return fit.shuffled(x, 12).select("feature_ix", "variant_ix", "sample_ix", rd(F.col("z1")).alias("z1"), rd(F.col("z2")).alias("z2"), "as_ref", "as_alt", rd(F.col("kx")).alias("kx"))
+
+
+BATCHED = "SELECT feature_ix, sample_ix, y, n_regionkey AS batch FROM counts JOIN nation ON CAST(n_nationkey AS BIGINT) = sample_ix"
+
+
+@query(sql(f"SELECT feature_ix, sample_ix, batch, y FROM ({dealt('batched', ['feature_ix', 'batch'], ['y'], 12)})", batched=BATCHED))
 def permute_within_batch(s):
     d = s.counts().join(s.raw("nation").selectExpr("cast(n_nationkey as bigint) as sample_ix", "n_regionkey as batch"), "sample_ix")
     return matrix.permute(d, ["feature_ix", "batch"], "sample_ix", ["y"], 12)
