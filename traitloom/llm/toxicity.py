@@ -137,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_chars:
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(asdict(fit(rows)))])], names=["model"])
 
     # the sample is bounded: one task
-    return Model(**json.loads(some.select("text", "toxic").repartition(1).mapInArrow(run, "model string").first()[0]))
+    with common.small_batches(docs.sparkSession):
+        return Model(**json.loads(some.select("text", "toxic").repartition(1).mapInArrow(run, "model string").first()[0]))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
