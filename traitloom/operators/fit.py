@@ -9,7 +9,7 @@ differences; steps that don't climb are halved. Each variant converges on its ow
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -55,6 +55,29 @@ def logit(p):
     return np.log(p / (1 - p))
 
 
+@dataclass(frozen=True)
+class Model:
+    """Switches of a fit.
+
+    ``fixed``: of delta, phi and theta those held at the mode of their priors. ``as_only``: counts say nothing, allelic
+    reads alone do. ``trans``: the tested variant is elsewhere, so it moves counts but not allelic reads. ``update``:
+    without it genotypes keep their priors as posteriors, and the parameters climb the mean of the complete-data
+    log-likelihood under them; the likelihood of the result is the marginal one as ever.
+    """
+
+    fixed: tuple[str, ...] = ()
+    as_only: bool = False
+    trans: bool = False
+    update: bool = True
+
+    def __post_init__(self) -> None:
+        if wrong := set(self.fixed) - {"delta", "phi", "theta"}:
+            raise ValueError(f"can't be held: {sorted(wrong)}")
+
+    def free(self, *names: str) -> np.ndarray:
+        return np.array([c in names and c not in self.fixed for c in NAMES])
+
+
 @dataclass
 class Data:
     """``y k dk w``: samples; ``h0``: [S, N, 3] priors; ``prior``: [S, N, L, 10]; ``reads``: [N, L, 2]; ``kx``: [N, L],
@@ -68,9 +91,10 @@ class Data:
     prior: np.ndarray | None = None
     reads: np.ndarray | None = None
     kx: np.ndarray | None = None
+    model: Model = field(default_factory=Model)
 
     def take(self, at: np.ndarray) -> Data:
-        return Data(self.y, self.k, self.dk, self.w, self.h0[at], None if self.prior is None else self.prior[at], self.reads, self.kx)
+        return Data(self.y, self.k, self.dk, self.w, self.h0[at], None if self.prior is None else self.prior[at], self.reads, self.kx, self.model)
 
 
 def evaluate(p: np.ndarray, d: Data, h: Hyper, beta0: float, full: bool = False):
@@ -87,13 +111,16 @@ def evaluate(p: np.ndarray, d: Data, h: Hyper, beta0: float, full: bool = False)
     nb = lgamma(size + y) - lgamma(y + 1) - lgamma(size) + y * np.log(mean) + size * np.log(size) - (y + size) * np.log(mean + size)
     by_size = size * (digamma(size + y) - digamma(size) + np.log(size) + 1 - np.log(mean + size) - (y + size) / (mean + size))
     by_mean = y - mean * (y + size) / (mean + size)
+    if d.model.as_only:
+        nb, by_size, by_mean = np.zeros_like(nb), np.zeros_like(by_size), np.zeros_like(by_mean)
     with np.errstate(divide="ignore"):
         lh0 = np.log(d.h0)
     g = lh0 + nb
     inner = None
     if d.prior is not None:
-        hap = np.where(C[None] == 1, pi[:, :, None], 1 - pi[:, :, None])  # [S, 10, 2]
-        dhap = np.where(C[None] == 1, 1, -1) * (pi * (1 - pi))[:, :, None]
+        share = np.full_like(pi, 0.5) if d.model.trans else pi
+        hap = np.where(C[None] == 1, share[:, :, None], 1 - share[:, :, None])  # [S, 10, 2]
+        dhap = np.where(C[None] == 1, 1, -1) * (0 * pi if d.model.trans else pi * (1 - pi))[:, :, None]
         err = np.where(X[None] == 1, delta[:, :, None], 1 - delta[:, :, None])
         derr = np.where(X[None] == 1, 1, -1) * (delta * (1 - delta))[:, :, None]
         lo, up = 1 - phi, phi
@@ -127,8 +154,12 @@ def evaluate(p: np.ndarray, d: Data, h: Hyper, beta0: float, full: bool = False)
         ls = np.where(np.isfinite(ls), ls, 0)  # a genotype without states says nothing
         g = g + ls.sum(2)
     top = g.max(2, keepdims=True)
-    ll_i = (top + np.log(np.exp(g - top).sum(2, keepdims=True)))[..., 0]
-    post = np.exp(g - ll_i[..., None])
+    if d.model.update:
+        ll_i = (top + np.log(np.exp(g - top).sum(2, keepdims=True)))[..., 0]
+        post = np.exp(g - ll_i[..., None])
+    else:
+        post = d.h0 * np.ones_like(g)
+        ll_i = (post * nb).sum(2) + (0 if inner is None else (d.prior * bbl).sum((2, 3)))
     wp = post * d.w[None, :, None]
     out = np.zeros((s, 5))
     ratio = ddose / np.maximum(dose, 1e-300)
@@ -137,7 +168,7 @@ def evaluate(p: np.ndarray, d: Data, h: Hyper, beta0: float, full: bool = False)
     out[:, 4] = (wp * by_size).sum((1, 2))
     states = None
     if inner is not None:
-        states = inner * post[:, :, None, :][..., GENO]
+        states = inner * post[:, :, None, :][..., GENO] if d.model.update else d.prior
         ws = states * d.w[None, :, None, None]
         for i, (ga, gb) in enumerate(grads):
             out[:, i] += (ws * base * (da * ga[:, None, None, :] + db * gb[:, None, None, :])).sum((1, 2, 3))
@@ -201,6 +232,8 @@ def climb(start: np.ndarray, free: np.ndarray, d: Data, h: Hyper, beta0: float)
         done[at] = ((last[at] < TOL) & flat.all(1)) | left
     bad = (np.abs(g) >= GRAD_TOL) & free & (p > BOX[:, 0] + 1e-9) & (p < BOX[:, 1] - 1e-9)
     code = np.where(last < TOL, 0, 1_000_000) + bad @ np.array([10_000, 1_000, 100, 10, 1])
+    if not d.model.update:
+        ll = evaluate(p, replace(d, model=replace(d.model, update=True)), h, beta0)[0]
     _, logdet = np.linalg.slogdet(-hess[np.ix_(range(s), idx, idx)])
     return {"p": p, "ll": ll, "itr": itr, "code": code, "log_bf": ll - 0.5 * logdet + 0.5 * math.log(2 * math.pi) * len(idx)}
 
@@ -232,7 +265,8 @@ def imprinted(x: np.ndarray) -> np.ndarray:
 class Feature:
     """One feature's samples and feature variants, from a row of ``blocks``."""
 
-    def __init__(self, row, h: Hyper):
+    def __init__(self, row, h: Hyper, model: Model | None = None):
+        self.model = model or Model()
         self.y, self.k, self.dk = (np.array(row[c], float) for c in ("y", "k", "dk"))
         n = len(self.y)
         self.w = np.array(row["w"], float) if "w" in row else np.ones(n)
@@ -247,22 +281,25 @@ class Feature:
         theta = mu * mu / (va - mu) if va != mu else 1000.0
         self.beta0 = math.log(mu)
         self.mode = (h.adelta - 1) / (h.adelta + h.bdelta - 2)
-        self.start = np.array([0.0, logit(self.mode), 0.0, self.beta0, math.log(min(max(34.0 if theta < 0 else theta, 0.001), 1000.0))])
+        held = (h.kappa - 1) / h.omega
+        self.start = np.array([0.0, logit(self.mode), 0.0, self.beta0, math.log(held if "theta" in self.model.fixed else min(max(34.0 if theta < 0 else theta, 0.001), 1000.0))])
         self.h_null = np.tile(np.array([0.25, 0.5, 0.25]), (1, n, 1))
 
     def data(self, h0, prior=None) -> Data:
-        return Data(self.y, self.k, self.dk, self.w, h0, prior, *((self.reads, self.kx) if prior is not None else ()))
+        return Data(self.y, self.k, self.dk, self.w, h0, prior, *((self.reads, self.kx) if prior is not None else (None, None)), self.model)
 
     def nulls(self) -> tuple[dict, dict | None]:
         """Without and with allelic counts; the latter from several starts, the best converged one."""
-        plain = climb(self.start[None], np.array([0, 0, 0, 1, 1], bool), self.data(self.h_null), self.h, self.beta0)
+        plain = climb(self.start[None], self.model.free("beta", "theta"), self.data(self.h_null), self.h, self.beta0)
         if not self.ids:
             return plain, None
         half = np.full((1, len(self.y), len(self.ids), 2), 0.5)
         prior = diplotypes(half, self.x[None])
-        starts = [np.array([0, logit(self.mode), 0, *plain["p"][0, 3:]])] + [np.array([0, logit(self.mode if dl is None else dl), logit(ph), *plain["p"][0, 3:]]) for dl, ph in RESTARTS]
+        fixed = self.model.fixed
+        at = [(None, 0.5)] + [(None if "delta" in fixed else dl, 0.5 if "phi" in fixed else ph) for dl, ph in RESTARTS]
+        starts = [np.array([0, logit(self.mode if dl is None else dl), logit(ph), *plain["p"][0, 3:]]) for dl, ph in dict.fromkeys(at)]
         m = len(starts)
-        fit = climb(np.array(starts), np.array([0, 1, 1, 1, 1], bool), self.data(np.repeat(self.h_null, m, 0), np.repeat(prior, m, 0)), self.h, self.beta0)
+        fit = climb(np.array(starts), self.model.free("delta", "phi", "beta", "theta"), self.data(np.repeat(self.h_null, m, 0), np.repeat(prior, m, 0)), self.h, self.beta0)
         rank = np.where((fit["code"] == 0) | (np.arange(m) == 0), fit["ll"], -np.inf)
         best = int(np.argmax(rank))
         return plain, {k: v[best : best + 1] for k, v in fit.items()}
@@ -271,12 +308,14 @@ class Feature:
         """Population fits of variants z [S, N, 2], then joint ones of those whose ratio passes the gate."""
         h0 = np.stack([(1 - z[..., 0]) * (1 - z[..., 1]), 0 * z[..., 0], z[..., 0] * z[..., 1]], 2)
         h0[..., 1] = 1 - h0[..., 0] - h0[..., 2]
-        free = np.array([1, 0, 0, 1, 1], bool)
+        free = self.model.free("pi", "beta", "theta")
         start = np.tile(np.concatenate([[0.0], plain["p"][0, 1:]]), (len(ids), 1))
         one = climb(start, free, self.data(h0), self.h, self.beta0)
         out = {"p": one["p"], "lr": 2 * (one["ll"] - plain["ll"][0]), "log_bf": one["log_bf"] - plain["log_bf"][0], "itr": one["itr"], "code": one["code"], "joint": np.zeros(len(ids), bool)}
         post = evaluate(one["p"], self.data(h0), self.h, self.beta0, True)[2]
         out["r2_fsnp"] = np.full(len(ids), np.nan)
+        if self.model.as_only:
+            gate = -math.inf  # the counts can't decide
         at = np.flatnonzero(out["lr"] > gate) if joint is not None else np.zeros(0, int)
         if len(at):
             prior = diplotypes(z[at][:, :, None, :], self.x[None])
@@ -285,7 +324,7 @@ class Feature:
                     prior[i, :, self.ids.index(ids[a])] = own(z[a])
             start = np.concatenate([one["p"][at, :1], np.tile(joint["p"][0, 1:], (len(at), 1))], 1)
             d = self.data(h0[at], prior)
-            two = climb(start, np.ones(5, bool), d, self.h, self.beta0)
+            two = climb(start, self.model.free(*NAMES), d, self.h, self.beta0)
             out["p"][at], out["lr"][at], out["log_bf"][at] = two["p"], 2 * (two["ll"] - joint["ll"][0]), two["log_bf"] - joint["log_bf"][0]
             out["itr"][at], out["code"][at], out["joint"][at] = two["itr"], two["code"], True
             _, _, full, states = evaluate(two["p"], d, self.h, self.beta0, True)
@@ -299,7 +338,7 @@ class Feature:
     def imprint(self, joint: dict) -> dict:
         h0 = np.tile(np.array([0.0, 1.0, 0.0]), (1, len(self.y), 1))
         start = np.concatenate([[[logit(0.9)]], joint["p"][:, 1:]], 1)
-        fit = climb(start, np.ones(5, bool), self.data(h0, imprinted(self.x)[None]), self.h, self.beta0)
+        fit = climb(start, self.model.free(*NAMES), self.data(h0, imprinted(self.x)[None]), self.h, self.beta0)
         return fit | {"lr": 2 * (fit["ll"] - joint["ll"])}
 
 
@@ -353,7 +392,7 @@ def _params(p: np.ndarray) -> list[float]:
     return [*map(float, expit(p[:3])), float(p[3]), float(np.exp(p[4]))]
 
 
-def null_fit(block: DataFrame, h: Hyper | None = None, imprint: bool = False) -> DataFrame:
+def null_fit(block: DataFrame, h: Hyper | None = None, imprint: bool = False, model: Model | None = None) -> DataFrame:
     """Null models of each feature: ``population``, and ``joint`` (and ``imprint``) where it has feature variants."""
     h = h or Hyper()
 
@@ -361,7 +400,7 @@ def null_fit(block: DataFrame, h: Hyper | None = None, imprint: bool = False) ->
         for df in batches:
             rows = []
             for _, r in df.iterrows():
-                f = Feature(r, h)
+                f = Feature(r, h, model)
                 plain, joint = f.nulls()
                 fits = [("population", plain)] + ([("joint", joint)] if joint else []) + ([("imprint", f.imprint(joint))] if imprint and joint else [])
                 rows += [(int(r["feature_ix"]), m, *_params(x["p"][0]), float(x["ll"][0]), float(x["log_bf"][0]), int(x["itr"][0]), int(x["code"][0])) for m, x in fits]
@@ -373,18 +412,21 @@ def null_fit(block: DataFrame, h: Hyper | None = None, imprint: bool = False) ->
 ALT_SCHEMA = "feature_ix long, variant_ix long, lr double, pi double, delta double, phi double, beta double, theta double, log_bf double, itr int, itr_null int, code long, joint boolean, n_feature int, r2_fsnp double, r2_rsnp double, haplotypes array<double>"
 
 
-def alt_fit(tested: DataFrame, priors: DataFrame, block: DataFrame, nulls: DataFrame, significant: float | None = None, chunk: int = 64, h: Hyper | None = None, every: bool = False) -> DataFrame:
+def alt_fit(tested: DataFrame, priors: DataFrame, block: DataFrame, nulls: DataFrame, significant: float | None = None, chunk: int = 64, h: Hyper | None = None, every: bool = False, model: Model | None = None, totals: DataFrame | None = None) -> DataFrame:
     """A row a tested pair, fitted in chunks of a feature's variants; a feature's block goes once to each chunk.
 
     The joint model is for ratios whose tail is below ``significant`` over the feature's tested variants (all positive
-    ratios without it), or for ``every`` pair.
+    ratios without it), or for ``every`` pair. ``totals`` (feature_ix, _n) counts the tested variants where ``tested``
+    has some of them only.
     """
     h = h or Hyper()
     z = priors.groupBy("variant_ix").agg(F.array_sort(F.collect_list(F.struct("sample_ix", "z1", "z2"))).alias("z"))
     z = z.select("variant_ix", F.flatten(F.transform("z", lambda r: F.array(r["z1"], r["z2"]))).alias("z"))
     key = F.pmod(F.xxhash64("variant_ix"), F.greatest(F.lit(1), F.ceil(F.col("_n") / chunk)))
     n = tested.groupBy("feature_ix").agg(F.count("*").alias("_n"))
-    t = tested.select("feature_ix", "variant_ix").join(n, "feature_ix").withColumn("chunk", key).join(z, "variant_ix").select("feature_ix", "chunk", "variant_ix", "z", "_n")
+    t = tested.select("feature_ix", "variant_ix").join(n, "feature_ix").withColumn("chunk", key)
+    t = t if totals is None else t.drop("_n").join(totals, "feature_ix")
+    t = t.join(z, "variant_ix").select("feature_ix", "chunk", "variant_ix", "z", "_n")
     m = nulls.groupBy("feature_ix").agg(*(F.max(F.when(F.col("model") == k, F.struct("pi", "delta", "phi", "beta", "theta", "loglik", "log_bf", "itr", "code"))).alias(k) for k in ("population", "joint")))
     chunks = t.select(F.col("feature_ix").alias("_f"), F.col("chunk").alias("_c")).distinct()
     b = block.join(m, "feature_ix").join(chunks, F.col("feature_ix") == F.col("_f"))
@@ -399,7 +441,7 @@ def alt_fit(tested: DataFrame, priors: DataFrame, block: DataFrame, nulls: DataF
         if not len(left) or not len(right):
             return pd.DataFrame(columns=names)
         r = right.iloc[0]
-        f = Feature(r, h)
+        f = Feature(r, h, model)
         plain, joint = back(r["population"]), back(r["joint"])
         left = left.sort_values("variant_ix")
         ids = [int(v) for v in left["variant_ix"]]

@@ -110,6 +110,19 @@ def z_prior(ap: Column, h: Column, af: Column, rsq: Column, fix_genotype: bool =
     return S.clamp(z, 0.001, 0.999)
 
 
+def parse_conditional(listed: Column) -> Column:
+    """An array of (variant_id, effect) from ``id:effect,...``; an effect that isn't a number, or none, is null."""
+    parts = F.filter(F.split(listed, ","), lambda v: v != "")
+    return F.transform(parts, lambda v: F.struct(F.substring_index(v, ":", 1).alias("variant_id"), F.try_element_at(F.split(v, ":"), F.lit(2)).try_cast("double").alias("effect")))
+
+
+def weighted_quality(genotypes: DataFrame) -> DataFrame:
+    """``variant_ix af call_rate`` from rows ``variant_ix h1 h2 w``: samples count by their weights, a missing call to neither dose."""
+    d = F.col("h1") + F.col("h2")
+    known = F.sum(F.when(d.isNotNull(), F.col("w")))
+    return genotypes.groupBy("variant_ix").agg((F.sum(F.col("w") * d) / F.nullif(2.0 * known, F.lit(0.0))).alias("af"), (F.coalesce(known, F.lit(0.0)) / F.nullif(F.sum("w"), F.lit(0.0))).alias("call_rate"))
+
+
 def variant_quality(genotypes: DataFrame) -> DataFrame:
     """A row a variant from rows ``variant_ix h1 h2``: frequency, Hardy-Weinberg chi-square, imputation accuracy, call rate."""
     d = F.col("h1") + F.col("h2")

@@ -16,7 +16,12 @@ from ..operators.matrix import permute
 
 @dataclass(frozen=True)
 class Options:
-    """Thresholds and switches of a run; defaults are those of the method."""
+    """Thresholds and switches of a run; defaults are those of the method.
+
+    ``only`` fits the variant of that id alone, ``random_seed`` one tested variant of each feature by a seeded hash;
+    ``n_tested``, the work limit and the joint gate still count all. More tested or feature variants of a feature than
+    ``max_tested`` or ``max_feature`` are an error.
+    """
 
     half_window: int = 540_000_000
     maf: float = 0.05
@@ -30,6 +35,11 @@ class Options:
     permute_seed: int | None = None
     chunk: int = 64
     hyper: Hyper = field(default_factory=Hyper)
+    model: fit.Model = field(default_factory=fit.Model)
+    only: str | None = None
+    random_seed: int | None = None
+    max_tested: int | None = None
+    max_feature: int | None = None
 
 
 def tested_pairs(variants: DataFrame, features: DataFrame, o: Options) -> DataFrame:
@@ -66,11 +76,12 @@ def associations(offsets: DataFrame, variants: DataFrame, features: DataFrame, p
     pairs = tested_pairs(variants, features, o)
     used = fsnps.limit(0) if o.population_only else fsnps
     n = sizes(features, pairs, fsnps, offsets)
+    validate(n, offsets, o)
     out = skipped(n, o)
-    pairs = pairs.join(out.select("feature_ix"), "feature_ix", "left_anti")
+    pairs = chosen(pairs.join(out.select("feature_ix"), "feature_ix", "left_anti"), o)
     block = fit.blocks(O.normalise(offsets), used, priors, as_counts, dk, weights, mixed, plain)
-    nulls = fit.null_fit(block, o.hyper, o.imprint)
-    rows = fit.alt_fit(pairs, priors, block, nulls, o.significant, o.chunk, o.hyper, o.force)
+    nulls = fit.null_fit(block, o.hyper, o.imprint, o.model)
+    rows = fit.alt_fit(pairs, priors, block, nulls, o.significant, o.chunk, o.hyper, o.force, o.model, n.select("feature_ix", F.col("n_tested").alias("_n")))
     full = pairs.select("feature_ix", "variant_ix", "variant_id", "chrom", "pos", "ref", "alt", "af", "hwe", "rsq", "tss").join(rows, ["feature_ix", "variant_ix"]).join(n.select("feature_ix", "n_tested"), "feature_ix")
     full = report.with_q(full)
     if not special:
@@ -113,3 +124,24 @@ def skipped(n: DataFrame, o: Options) -> DataFrame:
     """Of ``sizes`` the features that aren't fitted: beyond the work limit unless forced, without reads, or without tests."""
     much = F.lit(False) if o.force else (F.col("n_feature") + 1) * F.col("n_tested") > o.work_limit
     return n.filter(much | (F.col("tot") <= 0) | (F.col("n_tested") == 0))
+
+
+def validate(n: DataFrame, offsets: DataFrame, o: Options) -> None:
+    """A ``ValueError`` for a run without samples or features, or with more variants of a feature than the options allow."""
+    if offsets.isEmpty():
+        raise ValueError("no samples")
+    if n.isEmpty():
+        raise ValueError("no features")
+    for column, limit in (("n_tested", o.max_tested), ("n_feature", o.max_feature)):
+        if limit is not None and (worst := n.agg(F.max(column)).first()[0]) > limit:
+            raise ValueError(f"{column}: {worst} in a feature, more than {limit}")
+
+
+def chosen(pairs: DataFrame, o: Options) -> DataFrame:
+    """The tested pairs that are fitted: all, those of one variant, or one of each feature by a seeded hash."""
+    if o.only is not None:
+        pairs = pairs.filter(F.col("variant_id") == o.only)
+    if o.random_seed is not None:
+        key = F.struct(F.md5(F.concat_ws(":", F.lit(str(o.random_seed)), "feature_ix", "variant_ix")).alias("h"), *pairs.columns)
+        pairs = pairs.groupBy("feature_ix").agg(F.min(key).alias("_k")).select("_k.*").select(*pairs.columns)
+    return pairs

@@ -29,6 +29,19 @@ def read_numbers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.explode(F.split("value", r"[,\t ]+")).alias("v")).filter("v <> ''").select(F.col("v").cast("double").alias("value"))
 
 
+def dimensions(spark: SparkSession, path: str) -> DataFrame:
+    """One row: ``n_rows``, least and most ``n_columns`` of a text table, and its ``separator``.
+
+    The separator is the first of tab, comma and blank that any row holds; empty lines are no rows, an empty file has none.
+    """
+    d = spark.read.text(path).filter("value <> ''")
+    kinds = {"\t": "t", ",": "c", " ": "b"}
+    d = d.agg(F.count("*").alias("n_rows"), *(f(F.regexp_count("value", F.lit(s))).alias(f"{n}_{k}") for s, k in kinds.items() for f, n in ((F.min, "lo"), (F.max, "hi"))))
+    pick = lambda of, other: F.when(F.col("hi_t") > 0, of("t")).when(F.col("hi_c") > 0, of("c")).when(F.col("hi_b") > 0, of("b")).otherwise(other)
+    size = lambda n: F.when(F.col("n_rows") > 0, pick(lambda k: F.col(f"{n}_{k}"), F.lit(0)) + 1).otherwise(0)
+    return d.select("n_rows", size("lo").alias("n_columns"), size("hi").alias("max_columns"), pick(lambda k: F.lit({v: s for s, v in kinds.items()}[k]), F.lit(None)).alias("separator"))
+
+
 def read_binary(spark: SparkSession, path: str, n_samples: int, by_sample: bool = True) -> DataFrame:
     """``row sample_ix value`` of little-endian doubles: rows of ``n_samples``, or columns of them if not ``by_sample``."""
 
@@ -64,3 +77,9 @@ def write_binary(matrix: DataFrame, path: str) -> int:
 
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", "false").csv(path)
+
+
+def write_by_sample(counts: DataFrame, path: str) -> None:
+    """Allele-specific counts as text, compressed, a folder a sample: variant, reference and alternative reads."""
+    d = counts.select("sample_ix", F.concat_ws("\t", "variant_ix", "as_ref", "as_alt").alias("value"))
+    d.write.mode("overwrite").partitionBy("sample_ix").option("compression", "gzip").text(path)
