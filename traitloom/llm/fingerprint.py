@@ -6,6 +6,11 @@ commute, so the order of paragraphs doesn't matter, and a paragraph is inserted
 its own fingerprint. Read as +1 and -1, the bits of different sentences are independent: the cosine of two
 fingerprints estimates that of the documents' sentence multisets, within about 1 / sqrt(240).
 
+That sees sentences, not how they are dealt to paragraphs. ``with_paragraphs`` hashes whole paragraphs, each to a vector
+of ``WIDE`` lanes of 32 bits, and adds them modulo 2^32: equal sums mean equal multisets of lines, ``added`` and
+``removed`` insert and delete paragraphs, and any number of them wraps without harm. The query's columns are the
+sentence lanes, as likeness needs them.
+
 Built-in functions only. Lanes are packed three to a bigint, 20 bits apart, so 80 sums do for 240 lanes.
 
 Defined cases: a null text is the empty one, whose fingerprint has all lanes 0; two empty texts are alike, an empty
@@ -49,6 +54,41 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     return d.select(*cols, F.struct(lanes(F.col("_h")).alias("lanes"), F.size("_h").alias("n"), F.col("_p").alias("p")).alias(name))
 
 
+#: Lanes of a paragraph's vector (16 for each SHA-512) and the modulus of a lane.
+WIDE = 64
+FULL = 0xFFFFFFFF
+
+
+def with_paragraphs(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add ``name``: a struct of ``sums``, the ``WIDE`` lanes over all lines of the text, and their number ``p``.
+
+    A null text is the empty one, which is one empty line; a last line end begins another one.
+    """
+    cols = df.columns
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    digest = lambda s: F.concat(*(F.sha2(F.concat(F.lit(f"{i}:"), s), 512) for i in range(WIDE // 16)))
+    d = df.select(*cols, F.transform(lines, digest).alias("_h"))
+    lane = lambda h: F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda i: F.conv(F.substring(h, 1 + 8 * i, F.lit(8)), 16, 10).cast("bigint"))
+    none = F.array_repeat(F.lit(0).cast("bigint"), WIDE)
+    sums = F.aggregate("_h", none, lambda a, h: F.zip_with(a, lane(h), lambda x, y: (x + y).bitwiseAND(F.lit(FULL))))
+    return d.select(*cols, F.struct(sums.alias("sums"), F.size("_h").alias("p")).alias(name))
+
+
+def added(a: Column, b: Column) -> Column:
+    """What ``with_paragraphs`` gives for the lines of both."""
+    return F.struct(F.zip_with(a["sums"], b["sums"], lambda x, y: (x + y).bitwiseAND(F.lit(FULL))).alias("sums"), (a["p"] + b["p"]).alias("p"))
+
+
+def removed(a: Column, b: Column) -> Column:
+    """What ``with_paragraphs`` gives once the lines of ``b``, which are among those of ``a``, go."""
+    return F.struct(F.zip_with(a["sums"], b["sums"], lambda x, y: (x - y).bitwiseAND(F.lit(FULL))).alias("sums"), (a["p"] - b["p"]).alias("p"))
+
+
+def same_paragraphs(a: Column, b: Column) -> Column:
+    """Whether two texts have the same multiset of lines."""
+    return (a["p"] == b["p"]) & (a["sums"] == b["sums"])
+
+
 def text_of(f: Column) -> Column:
     """The fingerprint as a string."""
     return F.concat_ws(":", f["n"].cast("string"), f["p"].cast("string"), F.array_join(F.transform(f["lanes"], lambda v: F.lower(F.lpad(F.hex(v), 15, "0"))), ""))
