@@ -1,6 +1,10 @@
 """From documents to packed training sequences, stage by stage.
 
 Stage functions take ``(spark, docs, sf_dir)``; all but the last return the columns of documents.
+
+Defined cases: null and empty texts and texts of any length go through the stages, empty ones have no share of the mix
+and so don't reach the packing; rows that repeat are near copies of each other, one stays; null ids are ids like
+others; without labels nothing is toxic; empty tables give an empty table; other columns are dropped at the first stage.
 """
 
 from __future__ import annotations
