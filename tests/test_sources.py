@@ -133,6 +133,9 @@ def test_association_run_finds_the_planted_variant(spark):
     assert got[1]["pi"] > 0.55 and math.isfinite(got[1]["log_bf"])
     assert len(run()) == 4
     assert run(work_limit=3) == {}
+    one = run(only="v1", model=fit.Model(fixed=("theta",)))
+    assert set(one) == {1} and one[1]["n_tested"] == 4 and one[1]["theta"] == pytest.approx(1.02 / 0.2)
+    assert len(run(random_seed=3)) == 1
     whole = lambda **k: pipeline.full_report(offsets, variants, features.union(spark.createDataFrame([(1, "2", 5)], features.schema)), priors, reads, fsnps, pipeline.Options(half_window=1000, **k)).collect()
     rows = whole(imprint=True, population_only=False)
     assert sorted(r["variant_id"] for r in rows) == ["AI", "SKIPPED", "v0", "v1", "v2", "v3"]
