@@ -20,7 +20,6 @@ from .oracle import VIEWS, lbeta, lgamma, r, sql
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 HALF = 3000
-NEAR = 300
 MAF, HWE, RSQ = 0.3, S.chisq_quantile(1e-8), 0.7
 PI, DELTA, PHI = 0.6, 0.01, 0.5
 rd = S.rounded

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .queries import DELTA, EXONIC, FEAT, HWE, MOMENTS, NEAR, ORACLE, PHI, PI, PRI, QUAL, QUERIES, G, I, L, O, P, R, S, Study, exonic, kept, lbeta, lgamma, priors, query, r, rd, sql, tested
+from .queries import DELTA, EXONIC, FEAT, HWE, MOMENTS, ORACLE, PHI, PI, PRI, QUAL, QUERIES, TESTED, G, I, L, O, P, R, S, Study, exonic, kept, lbeta, lgamma, priors, query, r, rd, sql, tested
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -346,7 +346,7 @@ def e_input(s: Study) -> tuple[DataFrame, DataFrame]:
     n = O.normalise(s.offsets())
     beta = O.moment_init(n).select("feature_ix", "beta")
     z = priors(s).select("variant_ix", "sample_ix", "z1", "z2")
-    base = tested(s, NEAR).select("feature_ix", "variant_ix").join(n, "feature_ix").join(z, ["variant_ix", "sample_ix"]).join(beta, "feature_ix").withColumn("theta", F.lit(THETA))
+    base = tested(s).select("feature_ix", "variant_ix").join(n, "feature_ix").join(z, ["variant_ix", "sample_ix"]).join(beta, "feature_ix").withColumn("theta", F.lit(THETA))
     x = kept(s).select("feature_ix", F.col("variant_ix").alias("feature_variant")).join(z.select(F.col("variant_ix").alias("feature_variant"), "sample_ix", F.col("z1").alias("x1"), F.col("z2").alias("x2")), "feature_variant")
     x = x.join(s.as_counts().withColumnRenamed("variant_ix", "feature_variant"), ["feature_variant", "sample_ix"])
     pairs = base.select("feature_ix", "variant_ix", "sample_ix", "k", "z1", "z2", "theta").join(x, ["feature_ix", "sample_ix"]).withColumn("same", F.col("variant_ix") == F.col("feature_variant"))
@@ -360,7 +360,7 @@ def stepped(s: Study) -> DataFrame:
 AA, BB = weight_sql(str(PI), str(DELTA), str(PHI))
 ESTEP = {
     "moments": MOMENTS,
-    "near": f"SELECT f.feature_ix, g.variant_ix FROM good g JOIN features f ON g.chrom = f.chrom AND g.pos BETWEEN f.tss - {NEAR} AND f.tss + {NEAR}",
+    "near": TESTED,
     "base": f"SELECT n.feature_ix, t.variant_ix, n.sample_ix, y, k, z1, z2, beta, {THETA}::DOUBLE AS theta FROM near t JOIN norm n USING (feature_ix) JOIN priors p ON p.variant_ix = t.variant_ix AND p.sample_ix = n.sample_ix JOIN moments m ON m.feature_ix = n.feature_ix",
     "st10": f"SELECT *, {AA} AS a, {BB} AS b FROM {STATES}",
     "pr": f"""SELECT b.feature_ix, b.variant_ix, b.sample_ix, x.variant_ix AS fv, st.j, st.c1 + st.c2 AS g, CASE st.c1 + st.c2 WHEN 0 THEN (1 - b.z1) * (1 - b.z2) WHEN 2 THEN b.z1 * b.z2 ELSE 1 - (1 - b.z1) * (1 - b.z2) - b.z1 * b.z2 END AS own,
