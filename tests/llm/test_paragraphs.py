@@ -3,24 +3,31 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from traitloom.llm import fingerprint as fp
 
 
 def plain(text):
-    out = [0] * fp.WIDE
+    """Lane sums of the lines, two lanes of 30 bits a number, and the number of lines."""
     lines = (text or "").split("\n")
+    low, high = [0] * fp.WIDE, [0] * fp.WIDE
+    known = {}
     for line in lines:
-        h = "".join(hashlib.sha512(f"{i}:{line}".encode()).hexdigest() for i in range(fp.WIDE // 16))
-        out = [(a + int(h[8 * i : 8 * i + 8], 16)) % 2**32 for i, a in enumerate(out)]
-    return out, len(lines)
+        if line not in known:
+            own = hashlib.sha256(line.encode()).hexdigest()
+            parts = [hashlib.sha256(f"{own}:{i}".encode()).hexdigest() for i in range(fp.WIDE // fp.WORDS)]
+            known[line] = [int(h[15 * k : 15 * k + 15], 16) for h in parts for k in range(fp.WORDS)]
+        low = [(a + w % 2**30) % 2**30 for a, w in zip(low, known[line])]
+        high = [(a + w // 2**30) % 2**30 for a, w in zip(high, known[line])]
+    return [a + b * 2**30 for a, b in zip(low, high)], len(lines)
 
 
 def one_row(spark, **texts):
     d = spark.createDataFrame([tuple(texts.values())], ", ".join(f"{k} string" for k in texts))
     for k in texts:
-        d = fp.with_paragraphs(d, k, f"f_{k}")
+        d = fp.with_fingerprint(d, k, f"f_{k}")
     return d
 
 
@@ -28,9 +35,9 @@ def test_sums_are_those_of_plain_python(spark):
     rnd = random.Random(3)
     texts = [None, "", "\n", "é😀", "a\n", "same\n" * 40_000, "x" * 300_000] + ["\n".join(rnd.choice(["a", "b b", "c. d", ""]) for _ in range(rnd.randint(1, 9))) for _ in range(40)]
     df = spark.createDataFrame([(i, t, 7, 8) for i, t in enumerate(texts)], "i long, t string, p int, sums int")
-    got = {r["i"]: (r["f"]["sums"], r["f"]["p"]) for r in fp.with_paragraphs(df, "t", "f").collect()}
+    got = {r["i"]: (r["f"]["sums"], r["f"]["p"]) for r in fp.with_fingerprint(df, "t", "f").collect()}
     assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts]
-    assert fp.with_paragraphs(df.limit(0), "t", "f").count() == 0
+    assert fp.with_fingerprint(df.limit(0), "t", "f").count() == 0
 
 
 def test_equality_sees_paragraphs_not_sentences(spark):
@@ -43,5 +50,23 @@ def test_equality_sees_paragraphs_not_sentences(spark):
 def test_paragraphs_go_in_and_out(spark):
     d = one_row(spark, whole="x\ny\nz\ny", part="y\ny", rest="z\nx")
     w, p, r = (F.col(f"f_{c}") for c in ("whole", "part", "rest"))
-    got = d.select(fp.same_paragraphs(fp.added(p, r), w), fp.same_paragraphs(fp.removed(w, r), p), fp.same_paragraphs(fp.removed(w, p), r), fp.same_paragraphs(fp.added(p, p), w)).first()
+    got = d.select(fp.same_paragraphs(fp.plus(p, r), w), fp.same_paragraphs(fp.minus(w, r), p), fp.same_paragraphs(fp.minus(w, p), r), fp.same_paragraphs(fp.plus(p, p), w)).first()
     assert tuple(got) == (True, True, True, False)
+
+
+def test_whole_fingerprints_go_in_and_out(spark):
+    d = one_row(spark, whole="x. u\ny\nz\ny", part="y\ny", rest="z\nx. u")
+    w, p, r = (F.col(f"f_{c}") for c in ("whole", "part", "rest"))
+    assert tuple(d.select(fp.plus(p, r) == w, fp.minus(w, r) == p, fp.minus(w, p) == r).first()) == (True, True, True)
+
+
+def test_fingerprint_text_tells_paragraphs_apart(spark):
+    d = one_row(spark, a="A. B. C.\nD. E. F.", b="D. B. C.\nA. E. F.", c="D. E. F.\nA. B. C.", g="A. B", h="A. B. ")
+    a, b, c, g, h = d.select(*(fp.text_of(F.col(f"f_{x}")) for x in "abcgh")).first()
+    assert a != b and a == c and g != h
+
+
+def test_counts_of_many_equal_lines_dont_wrap(spark):
+    d = one_row(spark, a="same\n" * 40_000, b="same\n" * 20_000, c="other\n" * 70_000)
+    near, far = d.select(fp.likeness(F.col("f_a"), F.col("f_b")), fp.likeness(F.col("f_a"), F.col("f_c"))).first()
+    assert near == pytest.approx(1.0) and far < 0.3

@@ -1,129 +1,142 @@
 """Document fingerprints by a homomorphic multiset hash.
 
-A paragraph is a line; its wide vector is the sum of its sentences' vectors, 240 bits of a SHA-256 each. A document's
-fingerprint is the lane-wise sum modulo 2^16 over its paragraphs, with the number of sentences and of paragraphs. Sums
-commute, so the order of paragraphs doesn't matter, and a paragraph is inserted or deleted by adding or subtracting
-its own fingerprint. Read as +1 and -1, the bits of different sentences are independent: the cosine of two
-fingerprints estimates that of the documents' sentence multisets, within about 1 / sqrt(240).
-
-That sees sentences, not how they are dealt to paragraphs. ``with_paragraphs`` hashes whole paragraphs, each to a vector
-of ``WIDE`` lanes of 32 bits, and adds them modulo 2^32: equal sums mean equal multisets of lines, ``added`` and
-``removed`` insert and delete paragraphs, and any number of them wraps without harm. The query's columns are the
-sentence lanes, as likeness needs them.
-
-Built-in functions only. Lanes are packed three to a bigint, 20 bits apart, so 80 sums do for 240 lanes.
-
-Defined cases: a null text is the empty one, whose fingerprint has all lanes 0; two empty texts are alike, an empty
-and another one not; ids ascend with null first, rows with one id by text; any length of text; a table of one row has
+A paragraph is a line. Its wide vector has ``2 * WIDE`` lanes of 30 bits, hashed from the whole line; a document's
+``sums`` are the lane-wise sums of its paragraphs' vectors modulo 2^30, with the number ``p`` of paragraphs. Sums
+commute, so equal multisets of paragraphs have equal sums whatever their order, and a paragraph is inserted or deleted
+by adding or subtracting its own fingerprint (``plus``, ``minus``). Full-width lanes of different paragraphs are
+independent: distinct multisets agree in all of them by a chance of 2^-1920.
+
+Such sums tell equal from unequal but not how near two long paragraphs are, so a second part of the fingerprint
+counts, in ``lanes``, bits of the hashes of sentences (240 of each), with their number ``n``; it adds and subtracts
+likewise. Read as +1 and -1, the bits of different sentences are independent: the cosine of two such vectors estimates
+that of the documents' sentence multisets, within about 1 / sqrt(240).
+
+Built-in functions only. Two lanes of 30 bits are packed in a bigint. A text has fewer than 2^30 sentences and lines, so
+that no count of one text wraps, and sums of lanes stay within a bigint until the modulus is taken, once.
+
+Defined cases: a null text is the empty one: one empty paragraph and no sentence; a last line end begins another
+paragraph. Two texts without sentences are alike, one of them and another text not; ids ascend with null first, rows
+with one id by text (the rows that repeat an id are sorted by one task); any length of text; a table of one row has
 itself next; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Numbers of 60 bits in a SHA-256, and those of a paragraph's vector.
 WORDS = 4
-SHIFTS = 20
-ONE = 1 | 1 << 20 | 1 << 40
-LANES = 0xFFFF * ONE
+WIDE = 32
+#: Width of a lane; the second lane of a bigint is this far up.
+BITS = 30
+LOW = (1 << BITS) - 1
+ONE = 1 | 1 << BITS
 SENTENCE = r"\. |\n"
 
 
-def hashes(text: Column) -> Column:
-    """For each sentence ``WORDS`` numbers of 60 bits."""
-    some = F.filter(F.split(text, SENTENCE, -1), lambda s: F.length(s) > 0)
-    digest = F.transform(some, lambda s: F.sha2(s, 256))
-    return F.transform(digest, lambda h: F.array(*(F.conv(F.substring(h, 1 + 15 * k, 15), 16, 10).cast("bigint") for k in range(WORDS))))
-
+def numbers(digest: Column) -> list[Column]:
+    """The ``WORDS`` numbers of 60 bits in the hexadecimal ``digest``."""
+    return [F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("bigint") for k in range(WORDS)]
 
-def lanes(sums: Column) -> Column:
-    """The packed lane sums of the sentences' numbers, modulo 2^16 in each lane."""
-    zero = F.lit(0).cast("bigint")
 
-    def summed(k: int, j: int) -> Column:
-        return F.aggregate(sums, zero, lambda a, w: (a + F.shiftright(w[k], j).bitwiseAND(F.lit(ONE))).bitwiseAND(F.lit(LANES)))
+def sentence_hashes(text: Column) -> Column:
+    """For each sentence its numbers."""
+    some = F.filter(F.split(text, SENTENCE, -1), lambda s: F.length(s) > 0)
+    return F.transform(F.transform(some, lambda s: F.sha2(s, 256)), lambda h: F.array(*numbers(h)))
 
-    return F.array(*(summed(k, j) for k in range(WORDS) for j in range(SHIFTS)))
 
+def paragraph_hashes(text: Column) -> Column:
+    """For each paragraph the ``WIDE`` numbers of its vector, expanded from one hash of the whole line."""
+    own = F.transform(F.split(text, "\n", -1), lambda s: F.sha2(s, 256))
+    parts = F.transform(own, lambda h: F.array(*(F.sha2(F.concat(h, F.lit(f":{i}")), 256) for i in range(WIDE // WORDS))))
+    return F.transform(parts, lambda hs: F.array(*(x for i in range(WIDE // WORDS) for x in numbers(hs[i]))))
 
-def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add ``name``: a struct of ``lanes`` (packed), ``n`` sentences and ``p`` paragraphs."""
-    cols = df.columns
-    d = df.select(*cols, hashes(F.col(text)).alias("_h"), F.size(F.split(text, "\n", -1)).alias("_p"))
-    return d.select(*cols, F.struct(lanes(F.col("_h")).alias("lanes"), F.size("_h").alias("n"), F.col("_p").alias("p")).alias(name))
 
+def lanes(hashes: Column) -> Column:
+    """How many sentences have each bit, two counts to a bigint."""
+    zero = F.lit(0).cast("bigint")
 
-#: Lanes of a paragraph's vector (16 for each SHA-512) and the modulus of a lane.
-WIDE = 64
-FULL = 0xFFFFFFFF
+    def counted(k: int, j: int) -> Column:
+        return F.aggregate(hashes, zero, lambda a, w: a + F.shiftright(w[k], j).bitwiseAND(F.lit(ONE)))
 
+    return F.array(*(counted(k, j) for k in range(WORDS) for j in range(BITS)))
 
-def with_paragraphs(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add ``name``: a struct of ``sums``, the ``WIDE`` lanes over all lines of the text, and their number ``p``.
 
-    A null text is the empty one, which is one empty line; a last line end begins another one.
-    """
-    cols = df.columns
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    digest = lambda s: F.concat(*(F.sha2(F.concat(F.lit(f"{i}:"), s), 512) for i in range(WIDE // 16)))
-    d = df.select(*cols, F.transform(lines, digest).alias("_h"))
-    lane = lambda h: F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda i: F.conv(F.substring(h, 1 + 8 * i, F.lit(8)), 16, 10).cast("bigint"))
-    none = F.array_repeat(F.lit(0).cast("bigint"), WIDE)
-    sums = F.aggregate("_h", none, lambda a, h: F.zip_with(a, lane(h), lambda x, y: (x + y).bitwiseAND(F.lit(FULL))))
-    return d.select(*cols, F.struct(sums.alias("sums"), F.size("_h").alias("p")).alias(name))
+def wide_sums(hashes: Column) -> Column:
+    """The lane sums of the paragraphs' vectors modulo 2^30, two to a bigint."""
+    zero = F.lit(0).cast("bigint")
 
+    def summed(k: int) -> Column:
+        low = F.aggregate(hashes, zero, lambda a, w: a + w[k].bitwiseAND(F.lit(LOW)))
+        high = F.aggregate(hashes, zero, lambda a, w: a + F.shiftright(w[k], BITS))
+        return packed(low, high)
 
-def added(a: Column, b: Column) -> Column:
-    """What ``with_paragraphs`` gives for the lines of both."""
-    return F.struct(F.zip_with(a["sums"], b["sums"], lambda x, y: (x + y).bitwiseAND(F.lit(FULL))).alias("sums"), (a["p"] + b["p"]).alias("p"))
+    return F.array(*(summed(k) for k in range(WIDE)))
 
 
-def removed(a: Column, b: Column) -> Column:
-    """What ``with_paragraphs`` gives once the lines of ``b``, which are among those of ``a``, go."""
-    return F.struct(F.zip_with(a["sums"], b["sums"], lambda x, y: (x - y).bitwiseAND(F.lit(FULL))).alias("sums"), (a["p"] - b["p"]).alias("p"))
+def packed(low: Column, high: Column) -> Column:
+    """Two lanes, each taken modulo 2^30, as one bigint."""
+    return low.bitwiseAND(F.lit(LOW)) + F.shiftleft(high.bitwiseAND(F.lit(LOW)), BITS)
 
 
-def same_paragraphs(a: Column, b: Column) -> Column:
-    """Whether two texts have the same multiset of lines."""
-    return (a["p"] == b["p"]) & (a["sums"] == b["sums"])
+def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add ``name``: a struct of ``sums`` and ``p`` of paragraphs, ``lanes`` and ``n`` of sentences."""
+    cols = df.columns
+    t = F.coalesce(F.col(text), F.lit(""))
+    d = df.select(*cols, sentence_hashes(t).alias("_s"), paragraph_hashes(t).alias("_p"))
+    return d.select(*cols, F.struct(wide_sums(F.col("_p")).alias("sums"), F.size("_p").alias("p"), lanes(F.col("_s")).alias("lanes"), F.size("_s").alias("n")).alias(name))
 
 
 def text_of(f: Column) -> Column:
-    """The fingerprint as a string."""
-    return F.concat_ws(":", f["n"].cast("string"), f["p"].cast("string"), F.array_join(F.transform(f["lanes"], lambda v: F.lower(F.lpad(F.hex(v), 15, "0"))), ""))
+    """The fingerprint as a string: paragraphs, sentences, lane sums, counts."""
+    sums = F.array_join(F.transform(f["sums"], lambda v: F.lower(F.lpad(F.hex(v), 15, "0"))), "")
+    counts = F.array_join(F.transform(f["lanes"], lambda v: F.lower(F.hex(v))), ",")
+    return F.concat_ws(":", f["p"].cast("string"), f["n"].cast("string"), sums, counts)
+
+
+def combined(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """``f`` on the numbers of paragraphs and sentences and, modulo 2^30, on every lane."""
+    both = lambda x, y: packed(f(x.bitwiseAND(F.lit(LOW)), y.bitwiseAND(F.lit(LOW))), f(F.shiftright(x, BITS), F.shiftright(y, BITS)))
+    return F.struct(F.zip_with(a["sums"], b["sums"], both).alias("sums"), f(a["p"], b["p"]).alias("p"), F.zip_with(a["lanes"], b["lanes"], both).alias("lanes"), f(a["n"], b["n"]).alias("n"))
 
 
 def plus(a: Column, b: Column) -> Column:
     """The fingerprint of the union of two multisets of paragraphs."""
-    return F.struct(F.zip_with(a["lanes"], b["lanes"], lambda x, y: (x + y).bitwiseAND(F.lit(LANES))).alias("lanes"), (a["n"] + b["n"]).alias("n"), (a["p"] + b["p"]).alias("p"))
+    return combined(a, b, lambda x, y: x + y)
 
 
 def minus(a: Column, b: Column) -> Column:
-    """The fingerprint after the paragraphs of ``b`` go from ``a``."""
-    guard = F.lit(0x10000 * ONE)
-    return F.struct(F.zip_with(a["lanes"], b["lanes"], lambda x, y: (x + guard - y).bitwiseAND(F.lit(LANES))).alias("lanes"), (a["n"] - b["n"]).alias("n"), (a["p"] - b["p"]).alias("p"))
+    """The fingerprint after the paragraphs of ``b``, which are among those of ``a``, go."""
+    return combined(a, b, lambda x, y: x - y)
+
+
+def same_paragraphs(a: Column, b: Column) -> Column:
+    """Whether two texts have the same multiset of paragraphs."""
+    return (a["p"] == b["p"]) & (a["sums"] == b["sums"])
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: the cosine of the lanes read as sums of +1 and -1."""
+    """0 to 1: the cosine of the counts read as sums of +1 and -1."""
 
     def signed(v: Column, n: Column) -> Column:
-        lane = lambda s: F.pmod(2 * F.shiftright(v, s).bitwiseAND(F.lit(0xFFFF)) - n + 0x8000, F.lit(0x10000)) - 0x8000
-        return F.struct(lane(0).alias("x"), lane(20).alias("y"), lane(40).alias("z"))
+        lane = lambda c: (2 * c - n).cast("double")
+        return F.struct(lane(v.bitwiseAND(F.lit(LOW))).alias("x"), lane(F.shiftright(v, BITS)).alias("y"))
 
-    zero = F.struct(*(F.lit(0).cast("bigint").alias(c) for c in ("xx", "yy", "xy")))
+    zero = F.struct(*(F.lit(0.0).alias(c) for c in ("xx", "yy", "xy")))
 
     def step(t: Column, uv: Column) -> Column:
         u, v = uv["u"], uv["v"]
-        dot = lambda p, q: p["x"] * q["x"] + p["y"] * q["y"] + p["z"] * q["z"]
+        dot = lambda p, q: p["x"] * q["x"] + p["y"] * q["y"]
         return F.struct((t["xx"] + dot(u, u)).alias("xx"), (t["yy"] + dot(v, v)).alias("yy"), (t["xy"] + dot(u, v)).alias("xy"))
 
     pairs = F.zip_with(a["lanes"], b["lanes"], lambda x, y: F.struct(signed(x, a["n"]).alias("u"), signed(y, b["n"]).alias("v")))
 
     def done(t: Column) -> Column:
-        size = F.sqrt(t["xx"].cast("double") * t["yy"].cast("double"))
-        return F.when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), t["xy"].cast("double") / size))).otherwise(F.when((a["n"] == 0) & (b["n"] == 0), 1.0).otherwise(0.0))
+        size = F.sqrt(t["xx"]) * F.sqrt(t["yy"])
+        return F.when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), t["xy"] / size))).otherwise(F.when((a["n"] == 0) & (b["n"] == 0), 1.0).otherwise(0.0))
 
     return F.aggregate(pairs, zero, step, done)
 
@@ -133,7 +146,7 @@ def with_next(df: DataFrame, key: str, tie: str, values: list[str], pieces: int)
 
     Keys are cut into ranges at approximate quantiles, which are keys that occur; the rows of such a key are the first
     of their range, and a second copy of them ends the range before. So each range knows its last row's successor and
-    no task sorts more than a range.
+    no task sorts more than a range; rows that repeat one key are within one range.
     """
     share = [i / pieces for i in range(pieces)]
     got = df.agg(F.min(key).alias("low"), F.percentile_approx(key, share, 100 * pieces).alias("q")).first()  # at most ``pieces`` keys

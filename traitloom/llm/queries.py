@@ -67,23 +67,28 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprint_sql(text: str, name: str) -> str:
-    """``<name>_h`` numbers, then ``<name>`` with lanes, n and p, in DuckDB."""
-    one, mask = fingerprint.ONE, fingerprint.LANES
-    words = ", ".join(f"('0x' || substr(sha256(s), {1 + 15 * k}, 15))::BIGINT" for k in range(fingerprint.WORDS))
-    sums = ", ".join(f"coalesce(list_sum(list_transform(h, lambda w: (w[{k + 1}] >> {j}) & {one})), 0)::BIGINT & {mask}" for k in range(fingerprint.WORDS) for j in range(fingerprint.SHIFTS))
-    return f"""{name}_h AS (SELECT *, list_transform(list_filter(string_split_regex({text}, '\\. |\\n'), lambda s: length(s) > 0), lambda s: [{words}]) AS h, len(string_split({text}, chr(10))) AS p FROM {name}_in),
-{name} AS (SELECT * EXCLUDE (h, p), {{'lanes': [{sums}], 'n': len(h), 'p': p}} AS {name} FROM {name}_h)"""
+    """``<name>_h`` numbers, then ``<name>`` with sums, p, lanes and n, in DuckDB."""
+    fp = fingerprint
+    words = lambda h: ", ".join(f"('0x' || substr({h}, {1 + 15 * k}, 15))::BIGINT" for k in range(fp.WORDS))
+    total = lambda l, e: f"coalesce(list_sum(list_transform({l}, lambda w: {e})), 0)::BIGINT"
+    wide = ", ".join(words(f"sha256(d || ':{i}')") for i in range(fp.WIDE // fp.WORDS))
+    sums = ", ".join(f"({total('ph', f'w[{k + 1}] & {fp.LOW}')} & {fp.LOW}) + (({total('ph', f'w[{k + 1}] >> {fp.BITS}')} & {fp.LOW}) << {fp.BITS})" for k in range(fp.WIDE))
+    lanes = ", ".join(total("sh", f"(w[{k + 1}] >> {j}) & {fp.ONE}") for k in range(fp.WORDS) for j in range(fp.BITS))
+    return f"""{name}_h AS (SELECT *, list_transform(list_transform(list_filter(string_split_regex({text}, '\\. |\\n'), lambda s: length(s) > 0), lambda s: sha256(s)), lambda d: [{words("d")}]) AS sh,
+    list_transform(list_transform(string_split({text}, chr(10)), lambda s: sha256(s)), lambda d: [{wide}]) AS ph FROM {name}_in),
+{name} AS (SELECT * EXCLUDE (sh, ph), {{'sums': [{sums}], 'p': len(ph), 'lanes': [{lanes}], 'n': len(sh)}} AS {name} FROM {name}_h)"""
 
 
 def likeness_sql(a: str, b: str) -> str:
-    signed = lambda f: f"list_transform(flatten(list_transform({f}.lanes, lambda v: [v & 65535, (v >> 20) & 65535, (v >> 40) & 65535])), lambda c: ((2 * c - {f}.n + 32768 + 65536 * 4096) % 65536) - 32768)"
-    dot = lambda x, y: f"list_sum(list_transform(list_zip({signed(x)}, {signed(y)}), lambda q: q[1] * q[2]))::DOUBLE"
-    size = f"sqrt({dot(a, a)} * {dot(b, b)})"
-    return f"round(CASE WHEN {size} > 0 THEN least(1.0, greatest(0.0, {dot(a, b)} / {size})) WHEN {a}.n = 0 AND {b}.n = 0 THEN 1.0 ELSE 0.0 END::DOUBLE, 6) + 0.0"
+    low, bits = fingerprint.LOW, fingerprint.BITS
+    signed = lambda f: f"list_transform(flatten(list_transform({f}.lanes, lambda v: [v & {low}, v >> {bits}])), lambda c: (2 * c - {f}.n)::DOUBLE)"
+    dot = lambda x, y: f"list_sum(list_transform(list_zip({signed(x)}, {signed(y)}), lambda q: q[1] * q[2]))"
+    size = f"sqrt({dot(a, a)}) * sqrt({dot(b, b)})"
+    return f"round(CASE WHEN {size} > 0 THEN least(1.0, greatest(0.0, {dot(a, b)} / ({size}))) WHEN {a}.n = 0 AND {b}.n = 0 THEN 1.0 ELSE 0.0 END::DOUBLE, 6) + 0.0"
 
 
 def hex_sql(f: str) -> str:
-    return f"{f}.n || ':' || {f}.p || ':' || array_to_string(list_transform({f}.lanes, lambda v: printf('%015x', v)), '')"
+    return f"{f}.p || ':' || {f}.n || ':' || array_to_string(list_transform({f}.sums, lambda v: printf('%015x', v)), '') || ':' || array_to_string(list_transform({f}.lanes, lambda v: printf('%x', v)), ',')"
 
 
 ORACLE["op3_fingerprint"] = f"""
