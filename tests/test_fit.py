@@ -109,3 +109,54 @@ def test_posterior_haplotypes_keep_the_dosage():
     h = fit.haplotypes(post, z)
     assert h.sum(1) == pytest.approx(2 * post[:, 2] + post[:, 1])
     assert h[0, 0] >= h[0, 1] and h[1, 0] <= h[1, 1]
+
+
+def plain_phase(h, side):
+    """One sample and feature variant, by enumerating the ordered haplotype pairs of each state."""
+    c = x = 0.51
+    last = -math.inf
+    for _ in range(100):
+        turned = {}
+        for j, (cs, xs) in enumerate(zip(fit.C, fit.X)):
+            for swap in (False, True) if cs[0] != cs[1] or xs[0] != xs[1] else (False,):
+                a, b = (cs[::-1], xs[::-1]) if swap else (cs, xs)
+                w = (1 if a[0] == a[1] else c if a[0] else 1 - c) * (1 if b[0] == b[1] else x if b[0] else 1 - x)
+                turned[j, swap] = (w, a, b)
+        tops = [0.0] * 4
+        for (j, _), (w, a, b) in turned.items():
+            share = h[j] * w / sum(v[0] for k, v in turned.items() if k[0] == j)
+            if a[0] != a[1]:
+                tops[a[0]] += share
+            if b[0] != b[1]:
+                tops[2 + b[0]] += share
+        c, x = tops[1] / (tops[0] + tops[1]), tops[3] / (tops[2] + tops[3])
+        same = c * x + (1 - c) * (1 - x)
+        ll = h[4] * math.log(1 - same) + h[5] * math.log(same)
+        if abs(ll - last) < 1e-8:
+            break
+        last = ll
+    low, het = h[2] + h[6] + h[9], h[1] + h[4] + h[5] + h[8]
+    out = [low + het * x, low + het * (1 - x)]
+    return out[::-1] if (c - 0.5) * side < 0 else out
+
+
+def test_feature_haplotypes_follow_the_phase():
+    rng = np.random.default_rng(5)
+    h = rng.dirichlet(np.full(10, 0.5), (40, 3)) + 1e-9
+    h /= h.sum(2, keepdims=True)
+    z = rng.random((40, 2))
+    got = fit.phased(h, z)
+    want = [[plain_phase(list(h[i, l]), z[i, 0] - z[i, 1]) for l in range(3)] for i in range(40)]
+    assert np.allclose(got, want, atol=1e-6)
+    dose = h[..., fit.X.sum(1) == 1].sum(2) + 2 * h[..., fit.X.sum(1) == 2].sum(2)
+    assert np.allclose(got.sum(2), dose)
+
+
+def test_sure_phase_and_homozygotes():
+    h = np.zeros((4, 1, 10))
+    h[0, 0, 5] = h[1, 0, 4] = h[2, 0, 9] = h[3, 0, 0] = 1
+    z = np.array([[0.9, 0.1]] * 4)
+    got = fit.phased(h, z)[:, 0]
+    assert got[0, 0] > 0.99 and got[0, 1] < 0.01 and got[1].tolist() == [0.5, 0.5]
+    assert np.allclose(fit.phased(h, z[:, ::-1])[0, 0], got[0, ::-1])
+    assert got[2].tolist() == [1, 1] and got[3].tolist() == [0, 0]

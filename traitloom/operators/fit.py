@@ -255,6 +255,12 @@ def own(z: np.ndarray) -> np.ndarray:
     return out
 
 
+def genotypes(z: np.ndarray) -> np.ndarray:
+    """Prior of 0, 1 and 2 alternative alleles [..., 3] given the haplotypes' probabilities [..., 2]."""
+    none, two = (1 - z[..., 0]) * (1 - z[..., 1]), z[..., 0] * z[..., 1]
+    return np.stack([none, 1 - none - two, two], -1)
+
+
 def imprinted(x: np.ndarray) -> np.ndarray:
     out = np.zeros((*x.shape[:-1], 10))
     het = x[..., 0] * (1 - x[..., 1]) + x[..., 1] * (1 - x[..., 0])
@@ -306,8 +312,7 @@ class Feature:
 
     def alternatives(self, ids: list[int], z: np.ndarray, plain: dict, joint: dict | None, gate: float) -> dict:
         """Population fits of variants z [S, N, 2], then joint ones of those whose ratio passes the gate."""
-        h0 = np.stack([(1 - z[..., 0]) * (1 - z[..., 1]), 0 * z[..., 0], z[..., 0] * z[..., 1]], 2)
-        h0[..., 1] = 1 - h0[..., 0] - h0[..., 2]
+        h0 = genotypes(z)
         free = self.model.free("pi", "beta", "theta")
         start = np.tile(np.concatenate([[0.0], plain["p"][0, 1:]]), (len(ids), 1))
         one = climb(start, free, self.data(h0), self.h, self.beta0)
@@ -318,10 +323,7 @@ class Feature:
             gate = -math.inf  # the counts can't decide
         at = np.flatnonzero(out["lr"] > gate) if joint is not None else np.zeros(0, int)
         if len(at):
-            prior = diplotypes(z[at][:, :, None, :], self.x[None])
-            for i, a in enumerate(at):
-                if ids[a] in self.ids:
-                    prior[i, :, self.ids.index(ids[a])] = own(z[a])
+            prior = self.diplotypes([ids[a] for a in at], z[at])
             start = np.concatenate([one["p"][at, :1], np.tile(joint["p"][0, 1:], (len(at), 1))], 1)
             d = self.data(h0[at], prior)
             two = climb(start, self.model.free(*NAMES), d, self.h, self.beta0)
@@ -335,6 +337,14 @@ class Feature:
         out["r2_rsnp"], out["post"] = r2(h0, post), post
         return out
 
+    def diplotypes(self, ids: list[int], z: np.ndarray) -> np.ndarray:
+        """Priors [S, N, L, 10] of variants z [S, N, 2] with each feature variant, which may be the same one."""
+        prior = diplotypes(z[:, :, None, :], self.x[None])
+        for i, v in enumerate(ids):
+            if v in self.ids:
+                prior[i, :, self.ids.index(v)] = own(z[i])
+        return prior
+
     def imprint(self, joint: dict) -> dict:
         h0 = np.tile(np.array([0.0, 1.0, 0.0]), (1, len(self.y), 1))
         start = np.concatenate([[[logit(0.9)]], joint["p"][:, 1:]], 1)
@@ -463,6 +473,68 @@ def haplotypes(post: np.ndarray, z: np.ndarray) -> np.ndarray:
     return np.stack([np.where(first, high, low), np.where(first, low, high)], 1)
 
 
+#: Start, most steps and tolerance of the phase of feature variants.
+PHASE, PHASE_STEPS, PHASE_TOL = 0.51, 100, 1e-8
+FEATURE_HAPLOTYPES = "feature_ix long, variant_ix long, feature_variant long, sample_ix long, z1 double, z2 double"
+
+
+def phased(states: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Allele probabilities [N, L, 2] of feature variants from diplotype posteriors [N, L, 10], in the order of z [N, 2].
+
+    In a heterozygote the first haplotype has the alternative allele with probability c (tested) and x (feature variant).
+    Double heterozygotes alone tell of them, and of c * x + (1 - c) * (1 - x) only: of the best pairs EM takes one. It starts both at ``PHASE``, so that where all
+    double heterozygotes are in trans it stays at one half, without a phase.
+    """
+    h = states / states.sum(2, keepdims=True)
+    trans, cis = h[..., 4], h[..., 5]
+    hets_c, hets_x, both = h[..., 3:7].sum(2), h[..., [1, 4, 5, 8]].sum(2), h[..., [2, 6, 9]].sum(2)
+    c, x = np.full_like(trans, PHASE), np.full_like(trans, PHASE)
+    last, live = np.full_like(trans, -np.inf), np.ones(trans.shape, bool)
+    over = lambda a, b: np.divide(a, b, out=np.zeros_like(a), where=b > 0)
+    for _ in range(PHASE_STEPS):
+        same = c * x + (1 - c) * (1 - x)
+        t, s = over(trans, 1 - same), over(cis, same)
+        c1 = np.where(live & (hets_c > 0), c * over(h[..., 3] + h[..., 6] + t * (1 - x) + s * x, hets_c), c)
+        x1 = np.where(live & (hets_x > 0), x * over(h[..., 1] + h[..., 8] + t * (1 - c) + s * c, hets_x), x)
+        c, x = c1, x1
+        same = c * x + (1 - c) * (1 - x)
+        ll = trans * np.log(np.where(same < 1, 1 - same, 1)) + cis * np.log(np.where(same > 0, same, 1))
+        live &= ~(np.abs(ll - last) < PHASE_TOL)
+        last = ll
+        if not live.any():
+            break
+    first, second = both + hets_x * x, both + hets_x * (1 - x)
+    side = (z[:, 0] - z[:, 1])[:, None]
+    turn = (hets_c > 0) & ((c - 0.5) * side < 0)
+    return np.stack([np.where(turn, second, first), np.where(turn, first, second)], 2)
+
+
+def feature_haplotypes(fits: DataFrame, priors: DataFrame, block: DataFrame, h: Hyper | None = None, model: Model | None = None) -> DataFrame:
+    """Posterior haplotypes of the feature variants at each joint fit of ``fits`` (rows of ``alt_fit``).
+
+    Rows of ``fits`` without a joint model and features without feature variants give none. A row of the work holds one
+    fit and its feature's block.
+    """
+    h = h or Hyper()
+    z = priors.groupBy("variant_ix").agg(F.array_sort(F.collect_list(F.struct("sample_ix", "z1", "z2"))).alias("z"))
+    z = z.select("variant_ix", F.flatten(F.transform("z", lambda r: F.array(r["z1"], r["z2"]))).alias("z"))
+    d = fits.filter("joint").select("feature_ix", "variant_ix", "pi", "delta", "phi", "beta", "theta", "haplotypes")
+    d = d.join(z, "variant_ix").join(block, "feature_ix")
+
+    def run(batches):
+        for df in batches:
+            for _, r in df.iterrows():
+                f = Feature(r, h, model)
+                v, own_z = int(r["variant_ix"]), np.array(r["z"], float).reshape(1, -1, 2)
+                p = np.array([[logit(r["pi"]), logit(r["delta"]), logit(r["phi"]), r["beta"], math.log(r["theta"])]])
+                states = evaluate(p, f.data(genotypes(own_z), f.diplotypes([v], own_z)), h, f.beta0, True)[3][0]
+                out = phased(states, np.array(r["haplotypes"], float).reshape(-1, 2))
+                n, l = out.shape[:2]
+                yield pd.DataFrame({"feature_ix": int(r["feature_ix"]), "variant_ix": v, "feature_variant": np.tile(f.ids, n).astype("int64"), "sample_ix": np.repeat(np.array(r["sample_ix"], "int64"), l), "z1": out[..., 0].ravel(), "z2": out[..., 1].ravel()})
+
+    return d.mapInPandas(run, FEATURE_HAPLOTYPES)
+
+
 GLM_SCHEMA = "feature_ix long, coef array<double>, theta double, loglik double, itr int, samples array<long>, dk array<double>"
 
 

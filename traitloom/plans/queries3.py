@@ -54,6 +54,16 @@ def posterior_haps(s):
     return d.groupBy("feature_ix", "variant_ix", F.floor(F.col("i") / 2).alias("sample_ix")).agg(F.max(F.when(F.col("i") % 2 == 0, F.col("z"))).alias("z1"), F.max(F.when(F.col("i") % 2 == 1, F.col("z"))).alias("z2"))
 
 
+@query()
+def posterior_feature_haps(s):
+    """The other half: haplotypes of the feature variants at each feature's best joint fit."""
+    from pyspark.sql import Window
+
+    best = F.row_number().over(Window.partitionBy("feature_ix").orderBy(F.desc("lr"), "variant_ix"))
+    lead = fitted(s).filter("joint").withColumn("_rn", best).filter("_rn = 1").drop("_rn")
+    return fit.feature_haplotypes(lead, priors(s), block(s))
+
+
 @query()
 def assoc_report(s):
     """The full report: 25 columns, a row a tested pair."""
