@@ -38,7 +38,7 @@ def test_source_pushes_filters_and_passes_over_payloads(spark):
     warc.write(pages(spark), path, compression="none", per_file=3)
     df = warc.read(spark, path)
     assert df.count() == 9
-    some = df.filter((F.col("warc_type") == "revisit") & F.col("target_uri").startswith("http://a"))
+    some = warc.read(spark, path, where="warc_type = 'revisit' and startswith(target_uri, 'http://a')")
     plan = some._jdf.queryExecution().toString()
     assert "WARC" in plan.upper()
     rows = some.collect()
@@ -48,7 +48,7 @@ def test_source_pushes_filters_and_passes_over_payloads(spark):
 
 
 def test_reader_decides_on_headers_alone():
-    reader = warc.WarcReader({"path": "file:///nowhere"})
+    reader = warc.FilteredReader({"path": "file:///nowhere"})
     left = list(reader.pushFilters([warc.EqualTo(("warc_type",), "response"), warc.GreaterThan(("content_length",), 10), warc.EqualTo(("payload",), b"x")]))
     assert len(left) == 1
     assert reader.wanted({"warc-type": "response", "content-length": "11"})
@@ -56,6 +56,15 @@ def test_reader_decides_on_headers_alone():
     assert not reader.wanted({"content-length": "11"})
 
 
+def test_filters_of_one_query_leave_the_next_alone(spark):
+    path = common.scratch(spark, "w")
+    warc.write(pages(spark), path)
+    df = warc.read(spark, path)
+    assert [df.filter("warc_type = 'revisit'").count(), df.count(), df.filter("warc_type = 'none'").count(), df.count()] == [3, 9, 0, 9]
+    some = warc.read(spark, path, where="warc_type = 'response'")
+    assert [some.count(), some.filter("target_uri = 'http://b'").count(), some.count()] == [6, 2, 6]
+
+
 def test_foreign_and_broken_records(spark, tmp_path):
     http = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nhello"
     rec = lambda kind, block, *lines: b"\r\n".join([b"WARC/1.0", b"WARC-Type: " + kind, *lines, b"", b""]) + block + b"\r\n\r\n"
@@ -69,7 +78,7 @@ def test_foreign_and_broken_records(spark, tmp_path):
     got = [(r["warc_type"], r["payload_length"], r["content_length"], bytes(r["payload"])) for r in df.collect()]
     assert got == [("response", 5, len(http), b"hello"), ("response", 0, 15, b""), ("resource", 5, 5, b"plain"), ("metadata", 0, None, b""), ("response", None, len(http), b"hello")]
     assert df.filter(F.col("payload_length") == 5).count() == 2
-    assert warc.read(spark, f"file://{tmp_path}/x.warc", payload=False).filter(F.col("payload_length") < 5).count() == 2
+    assert warc.read(spark, f"file://{tmp_path}/x.warc", payload=False, where="payload_length < 5").count() == 2
 
 
 def test_empty_table(spark):

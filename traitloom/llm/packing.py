@@ -46,7 +46,7 @@ def whole(path: str):
 
 
 #: A run of white space from this length on is left to the tokenizers library: the faster one gives up on long ones.
-LONG_RUN = re.compile(r"\s{10000}")
+LONG_RUN = re.compile(r"\s{400}")
 
 
 def ids_of(text: str, vocab: tuple) -> list[int]:

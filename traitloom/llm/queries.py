@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, jaccard, mixing, native, packing, pii, secrets, topk, toxicity, urls, warc
+from . import common, fingerprint, jaccard, mixing, native, packing, pii, prefix_trie, secrets, token_files, topk, toxicity, urls, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -254,6 +254,54 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 1
 """
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(common.table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(common.table(spark, sf_dir, "conversations"))).drop("first_row", "last_row")
+
+
+CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END)), 4294967295::BIGINT)"
+ORACLE["op12_prefix_trie"] = f"""
+WITH o AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), t AS (
+  SELECT conv_id, length(text)::BIGINT AS chars, sha256(strlen(role) || ':' || role || text)[:32] AS digest, turn FROM o
+), p AS (
+  SELECT conv_id, chars, digest, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS p FROM t
+), h AS (
+  SELECT conv_id, ({CRC32.format(x="conv_id::VARCHAR")}) % 6 AS h FROM p GROUP BY conv_id
+), r AS (
+  SELECT h.conv_id, p, digest, chars FROM h JOIN p ON p.conv_id = h.conv_id - h.conv_id % 100 AND p <= h
+  UNION ALL
+  SELECT h.conv_id, p, digest, chars FROM h JOIN p ON p.conv_id = h.conv_id AND p > h
+), l AS (
+  SELECT h.conv_id, list(digest ORDER BY p) FILTER (WHERE p IS NOT NULL) AS k, list(chars ORDER BY p) FILTER (WHERE p IS NOT NULL) AS c FROM h LEFT JOIN r USING (conv_id) GROUP BY h.conv_id
+), m AS (
+  SELECT conv_id, d, coalesce(len(k), 0) AS size, array_to_string(coalesce(k, [])[1:d], '') AS node, CASE WHEN d > 0 THEN array_to_string(k[1:d - 1], '') END AS parent, CASE WHEN d > 0 THEN c[d] ELSE 0 END AS chars
+  FROM l, LATERAL (SELECT unnest(range(coalesce(len(k), 0) + 1)) AS d)
+), n AS (
+  SELECT node, any_value(parent) AS parent, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = d), '')) AS ends_sha256 FROM m GROUP BY node
+), k AS (
+  SELECT n.*, coalesce(x.kids, 0) AS n_children FROM n LEFT JOIN (SELECT parent, count(*) AS kids FROM n WHERE parent IS NOT NULL GROUP BY parent) x ON n.node = x.parent
+), s AS (
+  SELECT node[:32 * d] AS top, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens
+  FROM k, LATERAL (SELECT unnest(range(depth + 1)) AS d) GROUP BY 1
+)
+SELECT k.conv_id, k.depth, q.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves, s.saved_tokens, k.ends_sha256
+FROM k JOIN s ON k.node = s.top LEFT JOIN k q ON k.parent = q.node
+"""
+
+
+@query
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -84,7 +84,11 @@ class Files(InputPartition):
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc").load(path)``; options ``payload`` (true) and ``partition_bytes`` (64 MB)."""
+    """``spark.read.format("warc").load(path)``; options ``payload`` (true), ``partition_bytes`` (64 MB) and ``pushdown``.
+
+    With ``pushdown`` filters on headers are decided by the reader. Spark keeps what it pushed with the loaded table, also
+    for a later query without filters, so every query on that table must have one; ``read`` sees to this.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -94,7 +98,8 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(dict(self.options))
+        options = dict(self.options)
+        return (FilteredReader if options.get("pushdown", "false").lower() == "true" else WarcReader)(options)
 
 
 class WarcReader(DataSourceReader):
@@ -104,14 +109,6 @@ class WarcReader(DataSourceReader):
         self.goal = int(options.get("partition_bytes", 64 << 20))
         self.filters: list[tuple[str, str, object]] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        ops = {EqualTo: "=", In: "in", StringStartsWith: "starts", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", IsNotNull: "some"}
-        for f in filters:
-            if type(f) in ops and len(f.attribute) == 1 and f.attribute[0] in HEADERS:
-                self.filters.append((HEADERS[f.attribute[0]], ops[type(f)], (f.attribute[0] in NUMBERS, getattr(f, "value", None))))
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
@@ -179,6 +176,16 @@ class WarcReader(DataSourceReader):
             yield batch()
 
 
+class FilteredReader(WarcReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        ops = {EqualTo: "=", In: "in", StringStartsWith: "starts", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", IsNotNull: "some"}
+        for f in filters:
+            if type(f) in ops and len(f.attribute) == 1 and f.attribute[0] in HEADERS:
+                self.filters.append((HEADERS[f.attribute[0]], ops[type(f)], (f.attribute[0] in NUMBERS, getattr(f, "value", None))))
+            else:
+                yield f
+
+
 def integer(x: str | None) -> int | None:
     return int(x) if x and re.fullmatch(r"[+-]?[0-9]{1,18}", x) else None
 
@@ -219,12 +226,18 @@ def skip(stream: io.BufferedReader, n: int) -> None:
         n -= got
 
 
-def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Archives as rows. Turns on the session's ``spark.sql.python.filterPushdown.enabled``, without which Spark hands no
-    filters to sources in Python; it must still be on when the rows are asked for."""
+def read(spark: SparkSession, path: str, payload: bool = True, where: str | None = None) -> DataFrame:
+    """Archives as rows, those that ``where`` keeps. Its conditions on headers are decided before the block.
+
+    With ``where`` this turns on the session's ``spark.sql.python.filterPushdown.enabled``, without which Spark hands no
+    filters to sources in Python; it must still be on when the rows are asked for.
+    """
     spark.dataSource.register(WarcSource)
+    rows = spark.read.format("warc").option("payload", str(payload).lower())
+    if where is None:
+        return rows.load(path)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return rows.option("pushdown", "true").load(path).filter(where)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -237,8 +250,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     write(pages, path)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?[0-9]+)>$", 1)
     page = lambda c: F.when(number(c) != "", number(c)).cast("long")
-    full = read(spark, path).filter(F.col("warc_type") == "response")
+    full = read(spark, path, where="warc_type = 'response'")
     full = full.select(page("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "target_uri")
-    again = read(spark, path, payload=False).filter(F.col("warc_type") == "revisit")
+    again = read(spark, path, payload=False, where="warc_type = 'revisit'")
     again = again.select(page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.substring("payload_digest", 6, 40).alias("payload_digest"), F.lit("revisit").alias("record_type"), page("refers_to").alias("refers_to"), "target_uri")
     return full.unionByName(again)
