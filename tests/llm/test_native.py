@@ -225,3 +225,65 @@ def test_mining_keeps_every_rule_that_no_shorter_one_implies(spark):
     assert len([t for t in single if t.startswith("p:") and t[2:].isalpha() and len(t) == 4]) == 300
     assert not [(a, b) for a in mined for b in mined if set(a.tokens) < set(b.tokens)]
     assert {r["verdict"] for r in urls.judge(pages.filter("page_id < 1200 or page_id >= 2400"), mined, []).collect()} == {"block"}
+
+
+WORST = {
+    "assign": ["password" * 125_000, "password" + " " * 1_000_000, "token:" + " " * 999_990 + "!", "secret=" + "a" * 1_000_000],
+    "access": ["AKIA" * 250_000, "AKIAX " * 160_000],
+    "hex": ["0123456789abcdef" * 62_500, "0123456789abcdef0123456 " * 40_000],
+    "github": ["ghp_" * 250_000, "ghp_" + "a" * 35 + "-"],
+    "slack": ["xoxb-" * 200_000, "xoxb-abc " * 110_000],
+    "jwt": ["eyJ" * 333_000, "eyJ." * 250_000, "eyJabcde." * 110_000, "a" * 1_000_000 + ".eyJabcde.abcde", "eyJaaaaa.bbbb." * 70_000],
+    "pem": ["-" * 1_000_000, "-----BEGIN " * 90_000, "-----BEGIN " + "A" * 1_000_000, "-----BEGIN " + "PRIVATE " * 125_000],
+}
+
+
+@pytest.mark.parametrize("rule", sorted(WORST))
+def test_every_secret_rule_is_linear_in_the_text(spark, rule):
+    """A million characters of what each rule finds hardest; quadratic time would be hours."""
+    import time
+
+    df = spark.createDataFrame(list(enumerate(WORST[rule])), "doc_id long, text string").repartition(4).cache()
+    df.count()
+    began = time.time()
+    got = {r["doc_id"]: r[rule] for r in secrets.scan(df).collect()}
+    assert time.time() - began < 60
+    pattern, group, least = secrets.RULES[rule]
+    for i, t in enumerate(WORST[rule]):
+        if rule != "jwt" or i:
+            want = [m.span() for m in re.finditer(pattern, t) if len(m[group]) >= least]
+            assert [(s["start"], s["end"]) for s in got[i]] == want
+
+
+def test_tokens_in_three_parts_are_those_of_the_plain_pattern(spark):
+    rnd = random.Random(9)
+    rows = [(i, "".join(rnd.choice(["eyJ", "a", "abcde", ".", "-", " ", "_x", "eyJabcdef.ghijkl.mnopq"]) for _ in range(rnd.randint(1, 30)))) for i in range(500)]
+    want = {i: [m.span() for m in re.finditer(secrets.RULES["jwt"][0], t)] for i, t in rows}
+    assert sum(map(len, want.values())) > 50
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: [(s["start"], s["end"]) for s in r["jwt"]] for r in got} == want
+    assert all(s["text"] == rows[r["doc_id"]][1][s["start"] : s["end"]] for r in got for s in r["jwt"])
+
+
+HELPERS = ["_row", "_text", "_spans", "_kept", "_cut", "_new", "_k_text", "a.b", *(f"_s_{k}" for k in pii.KINDS), *pii.KINDS, *(f"_{c}_{k}" for c in "mpge" for k in pii.KINDS)]
+
+
+def test_redaction_passes_columns_of_any_name(spark):
+    names = ["doc_id", "text", "n_chars", *HELPERS]
+    row = (1, "mail a@b.co", 11, *(f"value of {c}" for c in HELPERS))
+    df = spark.createDataFrame([row], ", ".join(f"`{c}` {'long' if c in ('doc_id', 'n_chars') else 'string'}" for c in names))
+    out = pii.redact(df)
+    assert out.columns == names
+    assert tuple(out.first()) == (1, "mail <email>", 12, *row[3:])
+    assert pii.detect(df, ["doc_id", "a.b", "_row", "_text"]).columns[:4] == ["doc_id", "a.b", "_row", "_text"]
+
+
+def test_scores_and_mixes_take_columns_of_their_own_names(spark):
+    from traitloom.llm import mixing, toxicity
+
+    docs = spark.createDataFrame([(1, "a b", "s", 0.5, 9, "x"), (2, "c", "t", 0.25, 9, "y")], "doc_id long, text string, source string, score double, size long, target string")
+    s = toxicity.score(docs, toxicity.fit([("a", 1), ("b", 0)]), ["doc_id", "score", "size"])
+    assert s.columns == ["doc_id", "size", "score"] and s.filter("score between 0 and 1").count() == 2
+    m = mixing.mix(docs, carry=("size", "target", "score"))
+    assert m.columns == ["doc_id", "source", "size", "source_size", "target", "taken", "score"]
+    assert sorted((r["doc_id"], r["size"]) for r in m.collect()) == [(1, 2), (2, 1)]

@@ -49,10 +49,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 
 
 def mix(docs: DataFrame, carry: tuple[str, ...] = (), weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """One row a document: ``doc_id source size source_size target taken`` and the columns of ``carry``.
+    """One row a document: ``doc_id source size source_size target taken`` and the columns of ``carry``; of these, such as
+    have one of those names give way.
 
     ``taken`` counts the words that the mix takes of it: whole epochs, then those before the cut of the last one.
     """
+    carry = tuple(c for c in carry if c not in ("doc_id", "source", "size", "source_size", "target", "taken"))
     sized = docs.select("doc_id", "source", common.words_in(F.col("text")).alias("size"), *(F.col(c).alias(f"_c_{c}") for c in carry))
     if not carry:
         sized = common.materialize(sized, "sizes")

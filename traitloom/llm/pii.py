@@ -93,16 +93,15 @@ def scored(kind: str, pieces: Column, s: Column) -> Column:
 
 
 def spans(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """``keep`` and a column ``_s_<kind>`` for each kind: an array of (start, end, score)."""
-    d = docs.select(*(F.col(c).alias(f"_k_{c}") for c in keep), F.col(text).alias("_text"))
-    kept = [f"_k_{c}" for c in keep]
+    """``_row``, a struct of the columns ``keep``, and for each kind ``_s_<kind>``: an array of (start, end, score)."""
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row"), F.col(text).alias("_text"))
     guards = {"email": F.contains("_text", F.lit("@")), "phone": F.contains("_text", F.lit("+")), "ssn": F.contains("_text", F.lit("-"))}
     m = native.matches(d, "_text", BASE | MORE, guards)
-    m = m.select(*kept, "_text", *(F.filter(k, partial(valid, k)).alias(k) for k in KINDS))
+    m = m.select("_row", "_text", *(F.filter(k, partial(valid, k)).alias(k) for k in KINDS))
     some = reduce(or_, (F.size(k) > 0 for k in KINDS))
-    m = m.select(*kept, *KINDS, F.when(some, native.cut(F.col("_text"))).alias("_cut"))
-    m = m.select(*kept, *(F.transform(k, partial(scored, k, F.col("_cut"))).alias(k) for k in KINDS))
-    return m.select(*(F.col(f"_k_{c}").alias(c) for c in keep), *((F.col(k) if k in BASE else F.filter(k, lambda s: s["score"] >= LEAST)).alias(f"_s_{k}") for k in KINDS))
+    m = m.select("_row", *KINDS, F.when(some, native.cut(F.col("_text"))).alias("_cut"))
+    m = m.select("_row", *(F.transform(k, partial(scored, k, F.col("_cut"))).alias(k) for k in KINDS))
+    return m.select("_row", *((F.col(k) if k in BASE else F.filter(k, lambda s: s["score"] >= LEAST)).alias(f"_s_{k}") for k in KINDS))
 
 
 def detect(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -110,7 +109,7 @@ def detect(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     keep = ["doc_id"] if keep is None else keep
     if clash := set(keep) & set(KINDS):
         raise ValueError(f"columns named like kinds: {sorted(clash)}")
-    return spans(docs, keep, "text").select(*keep, *(F.col(f"_s_{k}").alias(k) for k in KINDS))
+    return spans(docs, keep, "text").select(*(F.col("_row")[c].alias(c) for c in keep), *(F.col(f"_s_{k}").alias(k) for k in KINDS))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -125,7 +124,7 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.transform(f"_s_{k}", lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("i"), s["end"].alias("end"), F.lit(f"<{k}>").alias("tag")))
 
     every = F.array_sort(F.concat(*(tagged(i, k) for i, k in enumerate(KINDS))))
-    d = d.select(*cols, every.alias("_spans"))
+    d = d.select("_row", every.alias("_spans"))
 
     # the spans that begin after the last one kept, each with the end of that one
     def step(at: Column, s: Column) -> Column:
@@ -135,10 +134,10 @@ def redact(docs: DataFrame) -> DataFrame:
 
     kind = "struct<from:bigint,to:bigint,end:bigint,tag:string>"
     kept = F.filter(native.folded(F.col("_spans"), F.lit(0).cast("bigint"), kind, step), lambda x: x.isNotNull())
-    some = F.size("_spans") > 0
-    d = d.select(*cols, F.when(some, kept).alias("_kept"), F.when(some, native.cut(F.col("text"))).alias("_cut"))
+    some, whole = F.size("_spans") > 0, F.col("_row")["text"]
+    d = d.select("_row", F.when(some, kept).alias("_kept"), F.when(some, native.cut(whole)).alias("_cut"))
     before = F.array_join(F.transform("_kept", lambda x: F.concat(native.within(F.col("_cut"), x["from"], x["to"]), x["tag"])), "")
-    rest = native.within(F.col("_cut"), F.element_at("_kept", -1)["end"], F.length("text").cast("bigint"))
-    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.concat(before, rest))
-    d = d.withColumn("text", text).select(*cols)
-    return d.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cols else d
+    rest = native.within(F.col("_cut"), F.element_at("_kept", -1)["end"], F.length(whole).cast("bigint"))
+    d = d.select("_row", F.when(F.col("_kept").isNull(), whole).otherwise(F.concat(before, rest)).alias("_new"))
+    new = {"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}
+    return d.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in cols))

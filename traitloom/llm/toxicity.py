@@ -142,8 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_chars:
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Add ``score`` (double, 0 to 1) to the columns ``keep`` of ``docs``."""
-    keep = ["doc_id"] if keep is None else keep
+    """Add ``score`` (double, 0 to 1) to the columns ``keep`` of ``docs``; a column of that name gives way."""
+    keep = ["doc_id"] if keep is None else [c for c in keep if c != "score"]
     schema = docs.select(*keep).schema.add("score", "double")
 
     def run(batches):
