@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import struct
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import doubles, store
+
 
 def read_table(spark: SparkSession, path: str, value: str = "y") -> DataFrame:
     """``feature_id sample_ix value`` from tab-separated rows: an id, then a number a sample."""
@@ -42,37 +40,23 @@ def dimensions(spark: SparkSession, path: str) -> DataFrame:
     return d.select("n_rows", size("lo").alias("n_columns"), size("hi").alias("max_columns"), pick(lambda k: F.lit({v: s for s, v in kinds.items()}[k]), F.lit(None)).alias("separator"))
 
 
-def read_binary(spark: SparkSession, path: str, n_samples: int, by_sample: bool = True) -> DataFrame:
+def read_binary(spark: SparkSession, path: str, n_samples: int, by_sample: bool = True, rows: list[int] | None = None) -> DataFrame:
     """``row sample_ix value`` of little-endian doubles: rows of ``n_samples``, or columns of them if not ``by_sample``."""
-
-    def run(batches):
-        for df in batches:
-            for raw in df["content"]:
-                a = np.frombuffer(raw, "<f8")
-                if len(a) % n_samples:
-                    raise ValueError("the file doesn't hold whole rows")
-                a = a.reshape(-1, n_samples)
-                for at in range(0, len(a), 4096):
-                    part = a[at : at + 4096]
-                    rows = np.arange(at, at + len(part)).repeat(n_samples)
-                    yield pd.DataFrame({"row": rows, "sample_ix": np.tile(np.arange(n_samples), len(part)), "value": part.ravel()})
-
-    d = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row long, sample_ix long, value double")
+    d = doubles.long_form(doubles.read(spark, path, n_samples, rows))
     return d if by_sample else d.withColumnRenamed("row", "column")
 
 
 def write_binary(matrix: DataFrame, path: str) -> int:
-    """Doubles of rows ``row sample_ix value`` into one local file, row by row; returns their number.
-
-    For exchange with other tools: rows come to the driver one partition at a time.
-    """
-    d = matrix.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("sample_ix", "value"))).alias("v")).orderBy("row").select(F.transform("v", lambda r: r["value"]).alias("v"))
-    n = 0
-    with open(path, "wb") as f:
-        for r in d.toLocalIterator():
-            f.write(struct.pack(f"<{len(r['v'])}d", *r["v"]))
-            n += len(r["v"])
-    return n
+    """Doubles of ``row sample_ix value`` into one file, row by row, by way of parts beside it; returns their number."""
+    spark = matrix.sparkSession
+    rows = doubles.gathered(matrix)
+    columns = rows.agg(F.max(F.size("values"))).first()[0]
+    parts = store.scratch(spark, "doubles")
+    if columns:
+        doubles.write(rows, parts, columns)
+        return doubles.join_parts(spark, parts, path) // 8
+    open(path, "wb").close()
+    return 0
 
 
 def write_table(df: DataFrame, path: str) -> None:

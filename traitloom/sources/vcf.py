@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import genotype as G
+from . import tabix
 
 FIXED = ["chrom", "pos", "variant_id", "ref", "alt", "qual", "filter", "info", "format"]
 
@@ -21,18 +22,22 @@ def sample_names(spark: SparkSession, path: str) -> list[str]:
     return list(head[0]["f"][9:]) if head else []
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """A row a variant: the fixed columns, parsed INFO, and ``cells`` as an array in sample order."""
+def records(spark: SparkSession, path: str, region: tuple[str, int, int] | None = None) -> DataFrame:
+    """A row a variant: the fixed columns, parsed INFO, and ``cells`` as an array in sample order.
+
+    With a region (sequence, first and last position), those that overlap it, read by the index beside each file.
+    """
     f = F.split("value", "\t")
-    d = lines(spark, path).filter(~F.startswith("value", F.lit("#")) & (F.col("value") != "")).select(f.alias("f"))
+    d = lines(spark, path) if region is None else tabix.read(spark, path, region)
+    d = d.filter(~F.startswith("value", F.lit("#")) & (F.col("value") != "")).select(f.alias("f"))
     fixed = [F.get("f", F.lit(i)).try_cast("bigint" if c == "pos" else "string").alias(c) for i, c in enumerate(FIXED)]
     d = d.select(*fixed, F.slice("f", F.lit(10), F.greatest(F.lit(0), F.size("f") - 9)).alias("cells"))
     return d.withColumn("parsed", G.parse_info(F.col("info")))
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
+def scan(spark: SparkSession, path: str, region: tuple[str, int, int] | None = None) -> DataFrame:
     """A row a variant and sample: calls, likelihoods, allelic probabilities and read counts by the order of precedence."""
-    d = records(spark, path).select("chrom", "pos", "variant_id", "ref", "alt", "format", F.col("parsed.rsq").alias("rsq"), F.col("parsed.af").alias("af"), F.posexplode("cells").alias("sample_ix", "cell"))
+    d = records(spark, path, region).select("chrom", "pos", "variant_id", "ref", "alt", "format", F.col("parsed.rsq").alias("rsq"), F.col("parsed.af").alias("af"), F.posexplode("cells").alias("sample_ix", "cell"))
     f, c = F.col("format"), F.col("cell")
     gt, gl, gp, ds, ap, ct = (G.field(f, c, *k) for k in (("GT",), ("GL",), ("GP", "PP"), ("DS",), ("AP", "BF"), ("AS",)))
     d = d.select("*", G.hard_call(gt, 0).alias("h1"), G.hard_call(gt, 1).alias("h2"), F.coalesce(G.probabilities(gp), G.likelihoods(gl)).alias("gl"), ds.try_cast("double").alias("ds"), G.allelic(ap, 0).alias("p1"), G.allelic(ap, 1).alias("p2"), G.numbers(ct).alias("ct"), gt.isNotNull().alias("has_gt"))
