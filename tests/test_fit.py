@@ -36,6 +36,33 @@ def test_special_functions():
     assert fit.digamma(x) == pytest.approx([(math.lgamma(v + d) - math.lgamma(v - d)) / (2 * d) for v, d in zip(x, e, strict=True)], rel=1e-4)
 
 
+def test_second_and_third_derivatives_of_log_gamma():
+    x = np.array([1e-5, 0.1, 1.0, 2.5, 17.0, 1e4])
+    e = 1e-4 * x
+    assert fit.trigamma(x) == pytest.approx((fit.digamma(x + e) - fit.digamma(x - e)) / (2 * e), rel=1e-6)
+    assert fit.psi2(x) == pytest.approx((fit.trigamma(x + e) - fit.trigamma(x - e)) / (2 * e), rel=1e-6)
+    assert fit.trigamma(np.array([1.0]))[0] == pytest.approx(math.pi**2 / 6, rel=1e-10) and fit.psi2(np.array([1.0]))[0] == pytest.approx(-2 * 1.2020569031595942, rel=1e-10)
+
+
+@pytest.mark.parametrize("model", [fit.Model(), fit.Model(as_only=True), fit.Model(trans=True), fit.Model(update=False), fit.Model(update=False, as_only=True)])
+@pytest.mark.parametrize("reads", ["all", "some", "none"])
+def test_hessian_is_that_of_the_gradient(model, reads):
+    f, z = feature()
+    f.model = model
+    f.reads = f.reads * {"all": 1, "some": np.random.default_rng(3).random(f.reads.shape[:2])[..., None] < 0.4, "none": 0}[reads]
+    h0, prior = fit.genotypes(z[:2]), f.diplotypes([0, 1], z[:2])  # the second is a feature variant itself
+    w = np.random.default_rng(4).uniform(0.5, 2, len(f.y))
+    for p0, q0 in ((h0, prior), (h0, None)):
+        d = fit.Data(f.y, f.k, f.dk, w, p0, q0, *((f.reads, f.kx) if q0 is not None else ()), model=model)
+        p = np.array([[0.4, -3.0, 0.2, 4.0, 1.2], [-1.0, -2.0, -0.5, 3.5, 0.3]])
+        _, g, hess = fit.evaluate(p, d, f.h, f.beta0, second=True)
+        for i in range(5):
+            e = 1e-5 * np.eye(5)[i]
+            up, down = fit.evaluate(p + e, d, f.h, f.beta0), fit.evaluate(p - e, d, f.h, f.beta0)
+            assert g[:, i] == pytest.approx((up[0] - down[0]) / 2e-5, rel=1e-4, abs=1e-4)
+            assert hess[:, i] == pytest.approx((up[1] - down[1]) / 2e-5, rel=1e-5, abs=1e-4)
+
+
 def test_gradient_is_that_of_the_likelihood():
     f, z = feature()
     prior = fit.diplotypes(z[:1][:, :, None, :], f.x[None])

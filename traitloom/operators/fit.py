@@ -2,8 +2,9 @@
 
 Parameters of a fit: logit pi (effect), logit delta (genotyping error), logit phi (reference bias), beta (log mean),
 log theta (dispersion). The marginal log-likelihood over genotypes and diplotypes, with its priors, is climbed by
-Newton steps: the gradient is the posterior mean of the complete-data gradient (the E-step), the Hessian its
-differences; steps that don't climb are halved. Each variant converges on its own and then stands still.
+Newton steps. The gradient is the posterior mean of the complete-data gradient (the E-step); the Hessian is the mean of
+the complete-data one and the posterior covariance of the gradient. Steps that don't climb are halved. Each variant
+converges on its own and then stands still.
 """
 
 from __future__ import annotations
@@ -31,20 +32,53 @@ RESTARTS = [(None, 0.1), (None, 0.9), (0.5, 0.1), (0.5, 0.9), (0.5, 0.5)]
 NAMES = ("pi", "delta", "phi", "beta", "theta")
 
 
-def lgamma(x: np.ndarray) -> np.ndarray:
+def gammas(x: np.ndarray, order: int = 2) -> tuple[np.ndarray, ...]:
+    """log-gamma and its first ``order`` derivatives (0 to 3) for positive x.
+
+    x is moved up by 8; the product of the eight numbers between, with its derivatives, takes the place of as many
+    logarithms and quotients.
+    """
     y = x + 8.0
-    shift = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7)
-    r = 1 / (y * y)
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / y - np.log(shift)
+    p, p1 = np.array(x, float), np.ones_like(y)
+    p2 = p3 = np.zeros_like(y)
+    for i in range(1, 8):
+        f = x + i
+        if order > 2:
+            p3 = p3 * f + 3 * p2
+        if order > 1:
+            p2 = p2 * f + 2 * p1
+        if order > 0:
+            p1 = p1 * f + p
+        p = p * f
+    log, v = np.log(y), 1 / y
+    r = v * v
+    out = [(y - 0.5) * log - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) * v - np.log(p)]
+    if order > 0:
+        q = p1 / p
+        out.append(log - 0.5 * v - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r / 240))) - q)
+    if order > 1:
+        q2 = p2 / p
+        out.append(v + r / 2 + r * v * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r / 30))) + q * q - q2)
+    if order > 2:
+        out.append(-r - r * v - r * r * (1 / 2 - r * (1 / 6 - r * (1 / 6 - 3 * r / 10))) - (2 * q**3 - 3 * q * q2 + p3 / p))
+    return tuple(out)
+
+
+def lgamma(x: np.ndarray) -> np.ndarray:
+    return gammas(x, 0)[0]
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
-    y = x + 8.0
-    r = 1 / (y * y)
-    out = np.log(y) - 0.5 / y - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r / 240)))
-    for i in range(8):
-        out = out - 1 / (x + i)
-    return out
+    return gammas(x, 1)[1]
+
+
+def trigamma(x: np.ndarray) -> np.ndarray:
+    return gammas(x, 2)[2]
+
+
+def psi2(x: np.ndarray) -> np.ndarray:
+    """The third derivative of log-gamma."""
+    return gammas(x, 3)[3]
 
 
 def expit(x):
@@ -81,7 +115,11 @@ class Model:
 @dataclass
 class Data:
     """``y k dk w``: samples; ``h0``: [S, N, 3] priors; ``prior``: [S, N, L, 10]; ``reads``: [N, L, 2]; ``kx``: [N, L],
-    the offset of the sample that a feature variant's reads come from (not the same as ``k`` once they are permuted)."""
+    the offset of the sample that a feature variant's reads come from (not the same as ``k`` once they are permuted).
+
+    Of samples and feature variants those K with reads have a likelihood that the parameters change; the others add to each
+    genotype what their prior says, once for all.
+    """
 
     y: np.ndarray
     k: np.ndarray
@@ -92,87 +130,177 @@ class Data:
     reads: np.ndarray | None = None
     kx: np.ndarray | None = None
     model: Model = field(default_factory=Model)
+    known: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __post_init__(self) -> None:
+        if self.prior is None:
+            return
+        self.n, self.l = np.nonzero(self.reads.sum(2) > 0)
+        self.some, self.first = np.unique(self.n, return_index=True)
+        self.base = self.k[self.n] if self.kx is None else self.kx[self.n, self.l]
+        if self.known is None:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                lh0 = np.log(self.h0)
+                t = np.where(self.prior > 0, np.log(self.prior) - lh0[:, :, None, GENO], -np.inf)
+            quiet = np.ones(self.reads.shape[:2], bool)
+            quiet[self.n, self.l] = False
+            self.known = t[:, self.n, self.l], (by_genotype(t)[0] * quiet[None, :, :, None]).sum(2)
+
+    def by_sample(self, x: np.ndarray) -> np.ndarray:
+        """Sums [S, N, ...] over the K entries of each sample."""
+        out = np.zeros((len(x), len(self.y), *x.shape[2:]))
+        if len(self.n):
+            out[:, self.some] = np.add.reduceat(x, self.first, axis=1)
+        return out
 
     def take(self, at: np.ndarray) -> Data:
-        return Data(self.y, self.k, self.dk, self.w, self.h0[at], None if self.prior is None else self.prior[at], self.reads, self.kx, self.model)
+        if self.prior is None:
+            return Data(self.y, self.k, self.dk, self.w, self.h0[at], None, None, None, self.model)
+        return Data(self.y, self.k, self.dk, self.w, self.h0[at], self.prior[at], self.reads, self.kx, self.model, tuple(x[at] for x in self.known))
+
+
+def by_genotype(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logs of the sums over the states of each genotype [..., 3], and the states' shares of them, from logs [..., 10].
+
+    A genotype without states says nothing: 0.
+    """
+    ls, share = np.zeros((*t.shape[:-1], 3)), np.zeros_like(t)
+    for x in range(3):
+        part = t[..., GENO == x]
+        top = part.max(-1, keepdims=True)
+        top = np.where(np.isfinite(top), top, 0)
+        e = np.exp(part - top)
+        total = e.sum(-1, keepdims=True)
+        there = total > 0
+        ls[..., x] = np.where(there, np.log(np.where(there, total, 1)) + top, 0)[..., 0]
+        share[..., GENO == x] = e / np.where(there, total, 1)
+    return ls, share
 
 
-def evaluate(p: np.ndarray, d: Data, h: Hyper, beta0: float, full: bool = False):
-    """Log-likelihood [S] and gradient [S, 5] at p [S, 5]; with ``full`` also the posteriors."""
+@dataclass
+class Allelic:
+    """Expected reads of the states, 4 * theta * k times ``a`` and ``b`` [S, 10], with derivatives by logit pi, logit
+    delta, logit phi and log theta: ``ga gb`` [S, 10, 4] and ``gga ggb`` [S, 10, 4, 4]."""
+
+    a: np.ndarray
+    b: np.ndarray
+    ga: np.ndarray
+    gb: np.ndarray
+    gga: np.ndarray
+    ggb: np.ndarray
+
+
+def allelic(pi: np.ndarray, delta: np.ndarray, phi: np.ndarray, trans: bool) -> Allelic:
+    """``pi delta phi``: [S, 1]."""
+    share = np.full_like(pi, 0.5) if trans else pi
+    move = 0 * pi if trans else pi * (1 - pi)
+    sign_c, sign_x = np.where(C == 1, 1, -1)[None], np.where(X == 1, 1, -1)[None]  # [1, 10, 2]
+    hap = np.where(C[None] == 1, share[:, :, None], 1 - share[:, :, None])
+    err = np.where(X[None] == 1, delta[:, :, None], 1 - delta[:, :, None])
+    d1 = (delta * (1 - delta))[:, :, None]
+    h = [hap, sign_c * move[:, :, None], sign_c * (move * (1 - 2 * pi))[:, :, None]]
+    e = [err, sign_x * d1, sign_x * d1 * (1 - 2 * delta)[:, :, None]]
+    lo, up = [1 - phi, -phi * (1 - phi), -phi * (1 - phi) * (1 - 2 * phi)], [phi, phi * (1 - phi), phi * (1 - phi) * (1 - 2 * phi)]
+    right = [1 - err, -e[1], -e[2]]
+
+    def table(last: list, factor: list):
+        """Value, gradient and second derivatives: products of a derivative in each of pi, delta and phi."""
+        f = {(i, j): 4 * (h[i] * last[j]).sum(2) for i in range(3) for j in range(3) if i + j <= 2}
+        at = lambda i, j, k: f[i, j] * factor[k]
+        v, g = at(0, 0, 0), [at(1, 0, 0), at(0, 1, 0), at(0, 0, 1)]
+        hh = [[at(2, 0, 0), at(1, 1, 0), at(1, 0, 1)], [at(1, 1, 0), at(0, 2, 0), at(0, 1, 1)], [at(1, 0, 1), at(0, 1, 1), at(0, 0, 2)]]
+        grad = np.stack([*g, v], 2)  # log theta scales all
+        second = np.stack([np.stack([*hh[i], g[i]], 2) for i in range(3)] + [grad], 2)
+        return v, grad, second
+
+    a, ga, gga = table(e, lo)
+    b, gb, ggb = table(right, up)
+    return Allelic(a, b, ga, gb, gga, ggb)
+
+
+#: Where the parameters of the allelic reads stand among all.
+ALLELIC = np.array([0, 1, 2, 4])
+
+
+def evaluate(p: np.ndarray, d: Data, h: Hyper, beta0: float, full: bool = False, second: bool = False):
+    """Log-likelihood [S] and gradient [S, 5] at p [S, 5]; with ``second`` also the Hessian [S, 5, 5], with ``full`` the
+    posteriors of genotypes and diplotypes."""
     pi, delta, phi = (expit(p[:, i])[:, None] for i in range(3))
     beta, theta = p[:, 3][:, None], np.exp(p[:, 4])[:, None]
-    s, n = len(p), len(d.y)
+    s = len(p)
     dose = np.stack([2 * (1 - pi), np.ones_like(pi), 2 * pi], 2)  # [S, 1, 3]
-    slope = 2 * pi * (1 - pi)
-    ddose = np.stack([-slope, np.zeros_like(pi), slope], 2)
+    ratio = np.stack([-pi, np.zeros_like(pi), 1 - pi], 2)  # of log dose by logit pi
     y = d.y[None, :, None]
     size = (theta * d.k)[:, :, None] * dose
     mean = (np.exp(beta) * d.k * d.dk)[:, :, None] * dose
-    nb = lgamma(size + y) - lgamma(y + 1) - lgamma(size) + y * np.log(mean) + size * np.log(size) - (y + size) * np.log(mean + size)
-    by_size = size * (digamma(size + y) - digamma(size) + np.log(size) + 1 - np.log(mean + size) - (y + size) / (mean + size))
-    by_mean = y - mean * (y + size) / (mean + size)
-    if d.model.as_only:
-        nb, by_size, by_mean = np.zeros_like(nb), np.zeros_like(by_size), np.zeros_like(by_mean)
+    both = mean + size
+    over = (y + size) / both
+    more, less = gammas(size + y, 1 + second), gammas(size, 1 + second)
+    nb = more[0] - lgamma(y + 1) - less[0] + y * np.log(mean) + size * np.log(size) - (y + size) * np.log(both)
+    by_size = size * (more[1] - less[1] + np.log(size) + 1 - np.log(both) - over)
+    by_mean = y - mean * over
+    counted = 0.0 if d.model.as_only else 1.0
+    nb, by_size, by_mean = counted * nb, counted * by_size, counted * by_mean
     with np.errstate(divide="ignore"):
-        lh0 = np.log(d.h0)
-    g = lh0 + nb
-    inner = None
+        g = np.log(d.h0) + nb
+    inner = ls = None
     if d.prior is not None:
-        share = np.full_like(pi, 0.5) if d.model.trans else pi
-        hap = np.where(C[None] == 1, share[:, :, None], 1 - share[:, :, None])  # [S, 10, 2]
-        dhap = np.where(C[None] == 1, 1, -1) * (0 * pi if d.model.trans else pi * (1 - pi))[:, :, None]
-        err = np.where(X[None] == 1, delta[:, :, None], 1 - delta[:, :, None])
-        derr = np.where(X[None] == 1, 1, -1) * (delta * (1 - delta))[:, :, None]
-        lo, up = 1 - phi, phi
-        a, b = 4 * (hap * err).sum(2) * lo, 4 * (hap * (1 - err)).sum(2) * up  # [S, 10]
-        grads = [
-            (4 * (dhap * err).sum(2) * lo, 4 * (dhap * (1 - err)).sum(2) * up),
-            (4 * (hap * derr).sum(2) * lo, -4 * (hap * derr).sum(2) * up),
-            (-a * phi, b * (1 - phi)),
-        ]
-        base = theta[:, :, None, None] * (d.k[:, None] if d.kx is None else d.kx)[None, :, :, None]  # [S, N, L or 1, 1]
-        aa, bb = base * a[:, None, None, :], base * b[:, None, None, :]
-        r, q = d.reads[None, :, :, :1], d.reads[None, :, :, 1:]
-        lb = lambda u, v: lgamma(u) + lgamma(v) - lgamma(u + v)
-        bbl = -np.log(r + q + 1) - lb(r + 1, q + 1) + lb(r + aa, q + bb) - lb(aa, bb)
-        both = digamma(aa + bb) - digamma(r + q + aa + bb)
-        da, db = digamma(r + aa) - digamma(aa) + both, digamma(q + bb) - digamma(bb) + both
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = np.log(d.prior) - lh0[:, :, None, GENO] + bbl
-        t = np.where(d.prior > 0, t, -np.inf)
-        ls = np.full((*t.shape[:3], 3), -np.inf)
-        inner = np.zeros_like(t)
-        for x in range(3):
-            part = t[..., GENO == x]
-            top = part.max(3, keepdims=True)
-            top = np.where(np.isfinite(top), top, 0)
-            e = np.exp(part - top)
-            total = e.sum(3, keepdims=True)
-            with np.errstate(divide="ignore"):
-                ls[..., x] = (np.log(total) + top)[..., 0]
-            inner[..., GENO == x] = e / np.where(total > 0, total, 1)
-        ls = np.where(np.isfinite(ls), ls, 0)  # a genotype without states says nothing
-        g = g + ls.sum(2)
+        v = allelic(pi, delta, phi, d.model.trans)
+        base = theta * d.base  # [S, K]
+        aa, bb = base[:, :, None] * v.a[:, None], base[:, :, None] * v.b[:, None]
+        r, q = (d.reads[d.n, d.l, i][None, :, None] for i in range(2))
+        gr, gq, gn, ga, gb, gab = (gammas(x, 1 + second) for x in (r + aa, q + bb, r + q + aa + bb, aa, bb, aa + bb))
+        always = -np.log(r + q + 1) - (lgamma(r + 1) + lgamma(q + 1) - lgamma(r + q + 2))
+        bbl = always + gr[0] + gq[0] - gn[0] - ga[0] - gb[0] + gab[0]
+        da, db = gr[1] - ga[1] + gab[1] - gn[1], gq[1] - gb[1] + gab[1] - gn[1]
+        ls, inner = by_genotype(d.known[0] + bbl)
+        g = g + d.known[1] + d.by_sample(ls)
     top = g.max(2, keepdims=True)
     if d.model.update:
         ll_i = (top + np.log(np.exp(g - top).sum(2, keepdims=True)))[..., 0]
         post = np.exp(g - ll_i[..., None])
     else:
         post = d.h0 * np.ones_like(g)
-        ll_i = (post * nb).sum(2) + (0 if inner is None else (d.prior * bbl).sum((2, 3)))
+        ll_i = (post * nb).sum(2) + (0 if inner is None else d.by_sample((d.prior[:, d.n, d.l] * bbl).sum(2)))
     wp = post * d.w[None, :, None]
-    out = np.zeros((s, 5))
-    ratio = ddose / np.maximum(dose, 1e-300)
-    out[:, 0] = (wp * (by_size + by_mean) * ratio).sum((1, 2))
-    out[:, 3] = (wp * by_mean).sum((1, 2))
-    out[:, 4] = (wp * by_size).sum((1, 2))
-    states = None
+    out, hess = np.zeros((s, 5)), np.zeros((s, 5, 5))
+    moves = np.zeros((*g.shape, 5))  # complete-data gradient of each sample and genotype
+    moves[..., 0], moves[..., 3], moves[..., 4] = (by_size + by_mean) * ratio, by_mean, by_size
+    if second:
+        ss = by_size + counted * size * size * (more[2] - less[2] + 1 / size - 1 / both - (mean - y) / (both * both))
+        mm, sm = -counted * mean * (y + size) * size / (both * both), -counted * mean * size * (mean - y) / (both * both)
+        total = lambda x: (wp * x).sum((1, 2))
+        curve = np.where(np.array([1, 0, 1]) == 1, -pi * (1 - pi), 0.0)[:, None, :]
+        for i, j, x in ((0, 0, (by_size + by_mean) * curve + ratio * ratio * (ss + 2 * sm + mm)), (0, 3, ratio * (sm + mm)), (0, 4, ratio * (ss + sm)), (3, 3, mm), (3, 4, sm), (4, 4, ss)):
+            hess[:, i, j] = total(x)
+            hess[:, j, i] = hess[:, i, j]
     if inner is not None:
-        states = inner * post[:, :, None, :][..., GENO] if d.model.update else d.prior
-        ws = states * d.w[None, :, None, None]
-        for i, (ga, gb) in enumerate(grads):
-            out[:, i] += (ws * base * (da * ga[:, None, None, :] + db * gb[:, None, None, :])).sum((1, 2, 3))
-        out[:, 4] += (ws * (da * aa + db * bb)).sum((1, 2, 3))
+        held = inner * post[:, d.n][..., GENO] if d.model.update else d.prior[:, d.n, d.l]
+        ws = held * d.w[d.n][None, :, None]
+        alpha, gamma = da * base[:, :, None], db * base[:, :, None]
+        la, lb = (ws * alpha).sum(1), (ws * gamma).sum(1)  # [S, 10]
+        out[:, ALLELIC] += np.einsum("sc,sci->si", la, v.ga) + np.einsum("sc,sci->si", lb, v.gb)
+        if second:
+            square = (base * base)[:, :, None]
+            mixed = gab[2] - gn[2]
+            noise = d.model.update  # of the posterior: it adds the gradient's spread
+            kaa, kab, kbb = ((ws * x).sum(1) for x in ((gr[2] - ga[2] + mixed) * square + noise * alpha * alpha, mixed * square + noise * alpha * gamma, (gq[2] - gb[2] + mixed) * square + noise * gamma * gamma))
+            cross = np.einsum("sc,sci,scj->sij", kab, v.ga, v.gb)
+            add = np.einsum("sc,sci,scj->sij", kaa, v.ga, v.ga) + np.einsum("sc,sci,scj->sij", kbb, v.gb, v.gb) + cross + cross.transpose(0, 2, 1)
+            add += np.einsum("sc,scij->sij", la, v.gga) + np.einsum("sc,scij->sij", lb, v.ggb)
+            if noise:
+                for x in range(3):
+                    at = GENO == x
+                    m = (inner[..., at] * alpha[..., at]) @ v.ga[:, at] + (inner[..., at] * gamma[..., at]) @ v.gb[:, at]  # [S, K, 4]
+                    add -= np.einsum("sk,ski,skj->sij", wp[:, d.n, x], m, m)
+                    moves[:, :, x, ALLELIC] += d.by_sample(m)
+            hess[np.ix_(range(s), ALLELIC, ALLELIC)] += add
+    out[:, 0] += (wp * (by_size + by_mean) * ratio).sum((1, 2))
+    out[:, 3] += (wp * by_mean).sum((1, 2))
+    out[:, 4] += (wp * by_size).sum((1, 2))
+    if second and d.model.update:
+        centre = np.einsum("sng,sngi->sni", post, moves)
+        hess += np.einsum("sng,sngi,sngj->sij", wp, moves, moves) - np.einsum("n,sni,snj->sij", d.w, centre, centre)
     ll = (ll_i * d.w).sum(1)
     pi, delta, phi, beta, theta = pi[:, 0], delta[:, 0], phi[:, 0], beta[:, 0], theta[:, 0]
     const = h.kappa / 2 * math.log(h.omega / 2) - math.lgamma(h.kappa / 2) - 0.5 * math.log(2 * math.pi) - 0.5 * math.log(h.sigma2)
@@ -182,8 +310,30 @@ def evaluate(p: np.ndarray, d: Data, h: Hyper, beta0: float, full: bool = False)
     out[:, 1] += (h.adelta - 1) * (1 - delta) - (h.bdelta - 1) * delta
     out[:, 2] += (h.abphi - 1) * (1 - 2 * phi)
     out[:, 3] += -theta * (beta - beta0) / h.sigma2
-    out[:, 4] += 0.5 - 0.5 * theta * (beta - beta0) ** 2 / h.sigma2 + (h.kappa / 2 - 1) - h.omega / 2 * theta
-    return (ll, out, post, states) if full else (ll, out)
+    away = 0.5 * theta * (beta - beta0) ** 2 / h.sigma2
+    out[:, 4] += 0.5 - away + (h.kappa / 2 - 1) - h.omega / 2 * theta
+    if second:
+        hess[:, 0, 0] -= 2 * (h.abpi - 1) * pi * (1 - pi)
+        hess[:, 1, 1] -= (h.adelta + h.bdelta - 2) * delta * (1 - delta)
+        hess[:, 2, 2] -= 2 * (h.abphi - 1) * phi * (1 - phi)
+        hess[:, 3, 3] -= theta / h.sigma2
+        hess[:, 3, 4] -= theta * (beta - beta0) / h.sigma2
+        hess[:, 4, 3] -= theta * (beta - beta0) / h.sigma2
+        hess[:, 4, 4] -= away + h.omega / 2 * theta
+        return ll, out, hess
+    if not full:
+        return ll, out
+    return ll, out, post, None if inner is None else states_of(d, inner, post)
+
+
+def states_of(d: Data, inner: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """Posteriors of the diplotypes [S, N, L, 10]: with reads ``inner``, else the prior's shares, of each genotype's posterior."""
+    if not d.model.update:
+        return d.prior
+    with np.errstate(divide="ignore"):
+        share = by_genotype(np.log(d.prior))[1]
+    share[:, d.n, d.l] = inner
+    return share * post[:, :, None, :][..., GENO]
 
 
 def climb(start: np.ndarray, free: np.ndarray, d: Data, h: Hyper, beta0: float) -> dict[str, np.ndarray]:
@@ -198,38 +348,33 @@ def climb(start: np.ndarray, free: np.ndarray, d: Data, h: Hyper, beta0: float)
         at = np.flatnonzero(~done)
         if not len(at):
             break
-        sub = d.take(at)
-        eps = 1e-4
-        hs = np.zeros((len(at), len(idx), len(idx)))
-        for c, i in enumerate(idx):
-            q = p[at].copy()
-            q[:, i] += eps
-            hs[:, :, c] = (evaluate(q, sub, h, beta0)[1][:, idx] - g[at][:, idx]) / eps
-        hs = (hs + hs.transpose(0, 2, 1)) / 2
+        sub = d if len(at) == s else d.take(at)
+        hs = evaluate(p[at], sub, h, beta0, second=True)[2][:, idx[:, None], idx]
         hess[np.ix_(at, idx, idx)] = hs
         val, vec = np.linalg.eigh(hs)
         val = -np.maximum(np.abs(val), 1e-3)
         move = -np.einsum("sij,sj->si", vec, np.einsum("sji,sj->si", vec, g[at][:, idx]) / val)
         move = np.clip(move, -3, 3)
-        size = np.ones(len(at))
-        left = np.ones(len(at), bool)
+        size, left = 1.0, np.arange(len(at))  # those that haven't climbed yet
         for _ in range(30):
-            q = p[at].copy()
-            q[:, idx] += size[:, None] * move
+            q = p[at[left]].copy()
+            q[:, idx] += size * move[left]
             q = np.clip(q, BOX[:, 0], BOX[:, 1])
-            nl, ng = evaluate(q, sub, h, beta0)
-            good = left & (nl >= ll[at] - 1e-12) & np.isfinite(nl)
-            last[at[good]] = np.abs(nl[good] - ll[at[good]])
-            p[at[good]], ll[at[good]], g[at[good]] = q[good], nl[good], ng[good]
-            left &= ~good
-            if not left.any():
+            nl, ng = evaluate(q, sub if len(left) == len(at) else sub.take(left), h, beta0)
+            good = (nl >= ll[at[left]] - 1e-12) & np.isfinite(nl)
+            up = at[left[good]]
+            last[up] = np.abs(nl[good] - ll[up])
+            p[up], ll[up], g[up] = q[good], nl[good], ng[good]
+            left = left[~good]
+            if not len(left):
                 break
-            size[left] /= 2
+            size /= 2
         itr[at] = step
         edge = (np.abs(p[at] - BOX[:, 0]) < 1e-9) | (np.abs(p[at] - BOX[:, 1]) < 1e-9)
         flat = (np.abs(g[at]) < GRAD_TOL) | edge | ~free
-        last[at[left]] = 0.0
-        done[at] = ((last[at] < TOL) & flat.all(1)) | left
+        stuck = np.isin(np.arange(len(at)), left)
+        last[at[stuck]] = 0.0
+        done[at] = ((last[at] < TOL) & flat.all(1)) | stuck
     bad = (np.abs(g) >= GRAD_TOL) & free & (p > BOX[:, 0] + 1e-9) & (p < BOX[:, 1] - 1e-9)
     code = np.where(last < TOL, 0, 1_000_000) + bad @ np.array([10_000, 1_000, 100, 10, 1])
     if not d.model.update:
@@ -416,7 +561,13 @@ def null_fit(block: DataFrame, h: Hyper | None = None, imprint: bool = False, mo
                 rows += [(int(r["feature_ix"]), m, *_params(x["p"][0]), float(x["ll"][0]), float(x["log_bf"][0]), int(x["itr"][0]), int(x["code"][0])) for m, x in fits]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in NULL_SCHEMA.split(", ")])
 
-    return block.repartition("feature_ix").mapInPandas(run, NULL_SCHEMA)
+    return spread(block, "feature_ix").mapInPandas(run, NULL_SCHEMA)
+
+
+def spread(d: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows out by ``keys`` to a fixed number of tasks: a fit takes seconds a row, so few bytes are no reason for few tasks."""
+    spark = d.sparkSession
+    return d.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
 
 
 ALT_SCHEMA = "feature_ix long, variant_ix long, lr double, pi double, delta double, phi double, beta double, theta double, log_bf double, itr int, itr_null int, code long, joint boolean, n_feature int, r2_fsnp double, r2_rsnp double, haplotypes array<double>"
@@ -461,7 +612,7 @@ def alt_fit(tested: DataFrame, priors: DataFrame, block: DataFrame, nulls: DataF
         n0 = (joint or plain)["itr"]
         return pd.DataFrame([(int(r["feature_ix"]), v, float(o["lr"][i]), *_params(o["p"][i]), float(o["log_bf"][i]), int(o["itr"][i]), int(n0), int(o["code"][i]), bool(o["joint"][i]), len(f.ids), float(o["r2_fsnp"][i]), float(o["r2_rsnp"][i]), haplotypes(o["post"][i], zs[i]).ravel().tolist()) for i, v in enumerate(ids)], columns=names)
 
-    return t.groupBy("feature_ix", "chunk").cogroup(b.groupBy("_f", "_c")).applyInPandas(run, ALT_SCHEMA)
+    return spread(t, "feature_ix", "chunk").groupBy("feature_ix", "chunk").cogroup(spread(b, "_f", "_c").groupBy("_f", "_c")).applyInPandas(run, ALT_SCHEMA)
 
 
 def haplotypes(post: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -532,7 +683,7 @@ def feature_haplotypes(fits: DataFrame, priors: DataFrame, block: DataFrame, h:
                 n, l = out.shape[:2]
                 yield pd.DataFrame({"feature_ix": int(r["feature_ix"]), "variant_ix": v, "feature_variant": np.tile(f.ids, n).astype("int64"), "sample_ix": np.repeat(np.array(r["sample_ix"], "int64"), l), "z1": out[..., 0].ravel(), "z2": out[..., 1].ravel()})
 
-    return d.mapInPandas(run, FEATURE_HAPLOTYPES)
+    return spread(d, "feature_ix").mapInPandas(run, FEATURE_HAPLOTYPES)
 
 
 GLM_SCHEMA = "feature_ix long, coef array<double>, theta double, loglik double, itr int, samples array<long>, dk array<double>"
@@ -594,7 +745,7 @@ def glm_fit(normed: DataFrame, covariates: DataFrame, columns: list[str]) -> Dat
                 rows.append((int(i), [float(coef[0]), *map(float, coef[1:] / scale)], theta, ll, itr, [int(r["sample_ix"]) for r in s], (dk / dk.mean()).tolist()))
             yield pd.DataFrame(rows, columns=names)
 
-    return d.mapInPandas(run, GLM_SCHEMA)
+    return spread(d, "feature_ix").mapInPandas(run, GLM_SCHEMA)
 
 
 def factor(glm_rows: DataFrame) -> DataFrame:
