@@ -3,7 +3,7 @@ import os
 import pytest
 from oracle import connect, same
 
-from traitloom.plans.queries4 import ORACLE, QUERIES
+from traitloom.plans.queries5 import ORACLE, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

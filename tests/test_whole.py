@@ -4,7 +4,7 @@ import pytest
 
 from traitloom.plans import pipeline, queries
 from traitloom.plans.queries import Study
-from traitloom.plans.queries4 import QUERIES
+from traitloom.plans.queries5 import QUERIES
 
 SF = "/root/testdata/sf0.001"
 

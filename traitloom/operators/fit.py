@@ -727,9 +727,23 @@ def glm(y: np.ndarray, k: np.ndarray, x: np.ndarray, w: np.ndarray | None = None
     return p[:-1], math.exp(p[-1]), float(value), itr
 
 
-def glm_fit(normed: DataFrame, covariates: DataFrame, columns: list[str]) -> DataFrame:
-    """A row a feature: coefficients, dispersion, and the covariates' factor of each sample with mean one."""
-    d = normed.join(covariates, "sample_ix").groupBy("feature_ix").agg(F.array_sort(F.collect_list(F.struct("sample_ix", F.col("y").cast("double").alias("y"), "k", F.array(*columns).alias("x")))).alias("s"))
+def own_covariate(values: DataFrame) -> DataFrame:
+    """``feature_ix sample_ix x``: log(value + 0.01), centred within the feature, of a value by feature and sample."""
+    d = values.select("feature_ix", "sample_ix", F.ln(F.col("value") + 0.01).alias("x"))
+    mean = d.groupBy("feature_ix").agg(F.avg("x").alias("_m"))
+    return d.join(mean, "feature_ix").select("feature_ix", "sample_ix", (F.col("x") - F.col("_m")).alias("x"))
+
+
+def glm_fit(normed: DataFrame, covariates: DataFrame, columns: list[str], own: DataFrame | None = None) -> DataFrame:
+    """A row a feature: coefficients, dispersion, and the covariates' factor of each sample with mean one.
+
+    ``own`` (feature_ix, sample_ix, x) adds a last column that differs by feature; where it has no row it is 0.
+    """
+    normed = normed.join(covariates, "sample_ix")
+    if own is not None:
+        normed = normed.join(own.select("feature_ix", "sample_ix", F.col("x").alias("_own")), ["feature_ix", "sample_ix"], "left").fillna(0.0, ["_own"])
+        columns = [*columns, "_own"]
+    d = normed.groupBy("feature_ix").agg(F.array_sort(F.collect_list(F.struct("sample_ix", F.col("y").cast("double").alias("y"), "k", F.array(*columns).alias("x")))).alias("s"))
     names = [c.split()[0] for c in GLM_SCHEMA.split(", ")]
 
     def run(batches):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -215,3 +217,91 @@ def conv_code(converged: Column, free: list[Column]) -> Column:
     for i, bad in enumerate(free):
         code = code + F.when(bad, 10 ** (len(free) - 1 - i)).otherwise(0)
     return code.cast("bigint")
+
+
+# --- from cells to priors and roles -----------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Mode:
+    """Where the priors of the haplotypes come from.
+
+    Without a switch they are the cells' allelic probabilities. ``from_error``: the calls, wrong with the probability
+    that the imputation quality leaves. ``fixed``: the calls, never wrong. ``nominal``: no probability is moved off 0 and
+    1. ``population``: the variant's allele frequency for all, and no Hardy-Weinberg filter.
+    """
+
+    from_error: bool = False
+    fixed: bool = False
+    nominal: bool = False
+    population: bool = False
+
+    @property
+    def calls(self) -> bool:
+        return self.from_error or self.fixed
+
+
+def resolved(cells: DataFrame) -> DataFrame:
+    """``cells`` with ``ap1 ap2 dose``: allelic probabilities by the order of precedence, and the dosage.
+
+    Takes ``has_gt h1 h2 gl ds p1 p2 af``: given allelic probabilities first, then genotype probabilities, dosage, calls,
+    and the frequency of the record.
+    """
+    h1, h2 = F.col("h1"), F.col("h2")
+    known = h1.isNotNull() & h2.isNotNull()
+    phased, dosed = gl2ap(F.col("gl"), h1, h2), dose2ap(h1, h2, F.col("ds"))
+
+    def pick(i: int) -> Column:
+        own, gt = F.col(f"p{i}"), F.col("has_gt")
+        return F.when(own.isNotNull(), own).when(gt & F.col("gl").isNotNull(), F.when(known, phased[f"ap{i}"]).otherwise(0.5)).when(gt & F.col("ds").isNotNull(), dosed[i - 1]).when(gt, gt2ap(h1 if i == 1 else h2)).otherwise(F.col("af"))
+
+    dose = F.when(F.col("p1").isNotNull(), F.col("p1") + F.col("p2")).when(F.col("has_gt"), (h1 + h2).cast("double")).otherwise(2 * F.col("af"))
+    return cells.select("*", pick(1).alias("ap1"), pick(2).alias("ap2"), dose.alias("dose"))
+
+
+def quality_of(cells: DataFrame, mode: Mode | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """``variant_ix af hwe ia call_rate`` from rows ``variant_ix sample_ix h1 h2 ap1 ap2 dose``.
+
+    ``weights`` (sample_ix, w) let samples count by their weight; a sample that they don't name counts as one. The
+    Hardy-Weinberg statistic is of the calls in the modes that use them, else of the likelier alleles; it is null without
+    spread, so that such variants pass no filter.
+    """
+    mode = mode or Mode()
+    d = cells.withColumn("w", F.lit(1.0)) if weights is None else cells.join(F.broadcast(weights.select("sample_ix", F.col("w").cast("double").alias("w"))), "sample_ix", "left").fillna(1.0, ["w"])
+    g = F.col("h1") + F.col("h2") if mode.calls else (F.col("ap1") > 0.5).cast("int") + (F.col("ap2") > 0.5).cast("int")
+    g1, g2 = F.col("ap1") * (1 - F.col("ap2")) + F.col("ap2") * (1 - F.col("ap1")), F.col("ap1") * F.col("ap2")
+    w, mean = F.col("w"), 2 * g2 + g1
+    there = lambda x, of: F.sum(F.when(of.isNotNull(), x))
+    a = d.groupBy("variant_ix").agg(
+        F.sum("w").alias("all"), there(w, F.col("dose")).alias("n"), F.sum(w * F.col("dose")).alias("dose"),
+        *(F.coalesce(F.sum(F.when(g == i, w)), F.lit(0.0)).alias(f"n{i}") for i in range(3)),
+        there(w, g2).alias("m"), F.sum(w * mean).alias("t"), F.sum(w * (4 * g2 + g1 - mean * mean)).alias("v"),
+    )
+    n = F.col("n0") + F.col("n1") + F.col("n2")
+    p = (F.col("n1") + 2 * F.col("n2")) / (2 * F.nullif(n, F.lit(0.0)))
+    chi = sum((F.pow(F.col(f"n{i}") - e, 2) / F.nullif(e, F.lit(0.0)) for i, e in enumerate(((1 - p) * (1 - p) * n, 2 * p * (1 - p) * n, p * p * n))), F.lit(0.0))
+    t = F.col("t") / (2 * F.nullif(F.col("m"), F.lit(0.0)))
+    ia = F.when((t <= 0) | (t >= 1), 1.0).otherwise(1 - F.col("v") / F.col("m") / (2 * t * (1 - t)))
+    return a.select("variant_ix", (F.col("dose") / (2 * F.nullif(F.col("n"), F.lit(0.0)))).alias("af"), chi.alias("hwe"), ia.alias("ia"), (F.coalesce("n", F.lit(0.0)) / F.nullif(F.col("all"), F.lit(0.0))).alias("call_rate"))
+
+
+#: Fixed value: how far a probability stays from 0 and 1.
+RELAXED = 0.001
+
+
+def mode_priors(cells: DataFrame, quality: DataFrame, mode: Mode | None = None) -> DataFrame:
+    """``variant_ix sample_ix z1 z2``: the prior that each haplotype has the alternative allele; ``quality`` has af and rsq.
+
+    Where a call or an allelic probability is missing the variant's frequency stands in.
+    """
+    mode = mode or Mode()
+    af = F.col("_af")
+    error = F.lit(0.0) if mode.fixed else af * (1.0 - af) * (1.0 - F.col("_rsq"))
+
+    def z(i: int) -> Column:
+        own = F.when(F.col(f"h{i}") == 0, error).when(F.col(f"h{i}").isNotNull(), 1.0 - error) if mode.calls else F.col(f"ap{i}")
+        own = F.coalesce(own, af)
+        return af if mode.population else own if mode.nominal else S.clamp(own, RELAXED, 1 - RELAXED)
+
+    d = cells.join(quality.select("variant_ix", F.col("af").alias("_af"), F.col("rsq").alias("_rsq")), "variant_ix")
+    return d.select("variant_ix", "sample_ix", z(1).alias("z1"), z(2).alias("z2"))

@@ -45,6 +45,12 @@ def lead(assoc: DataFrame) -> DataFrame:
     return d.filter("_rn = 1").drop("_k", "_best", "_rn")
 
 
+def lead_row(full: DataFrame) -> DataFrame:
+    """Of the rows of a run each feature's lead alone, with the least ``log10_q`` of the feature."""
+    best = full.groupBy("feature_ix").agg(F.min("log10_q").alias("_q"))
+    return lead(full).drop("n_ties").join(best, "feature_ix").withColumn("log10_q", F.col("_q")).select(*full.columns)
+
+
 def passes(assoc: DataFrame, significant: float) -> DataFrame:
     """The rows whose ratio's tail is below ``significant`` over the feature's tested variants: those of the joint model."""
     n = F.count("*").over(Window.partitionBy("feature_ix"))

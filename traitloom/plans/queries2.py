@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .oracle import CHROM
 from .queries import DELTA, EXONIC, FEAT, HWE, MOMENTS, ORACLE, PHI, PI, PRI, QUAL, QUERIES, TESTED, G, I, L, O, P, R, S, Study, exonic, kept, lbeta, lgamma, priors, query, r, rd, sql, tested
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -185,7 +186,13 @@ FRAGS = f"""SELECT a.qname, a.sample_ix, a.chrom, a.pos AS "left", a.pos + abs(a
 FR = {"cut": f"{CUT} FROM (SELECT *, pnext - pos AS d FROM alignments WHERE mate = 1)", "frags": FRAGS}
 
 
-@query(sql('SELECT qname, chrom, "left", "right", cigar, seq FROM frags', **FR))
+# each insert has both mates, so the pair needs no join: mate 1 is cut where mate 2 begins, or a gap lies between them
+PAIRED = f"""SELECT 'r' || rid AS qname, {CHROM.format('l_partkey / 200')} AS chrom, pos1 AS pos, pos2 - pos1 AS d, pos2, ins, cigar, substr(repeat('ACGTTGCA', 12), 1 + l_orderkey % 8, 75) AS seq
+  FROM inserts WHERE l_orderkey % 23 <> 0 AND l_orderkey % 29 <> 0 AND l_quantity >= 10 AND l_linenumber <= 5 AND l_returnflag = 'N' AND abs(ins) BETWEEN 37 AND 10000 AND pos1 <= pos2"""
+
+
+@query(sql(f"""SELECT qname, chrom, pos AS "left", pos + abs(ins) - 1 AS "right", CASE WHEN gap < 0 THEN c2 ELSE cigar END || CASE WHEN gap > 0 THEN gap || 'N' ELSE '' END || cigar AS cigar, CASE WHEN gap < 0 THEN q2 ELSE seq END || seq AS seq
+  FROM (SELECT *, d - ({LEN.format('cigar')}) AS gap FROM ({CUT} FROM ({PAIRED})))"""))
 def mate_pairs(s):
     return R.pair(s.alignments(), Q).select("qname", "chrom", "left", "right", "cigar", "seq")
 

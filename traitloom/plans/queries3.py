@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import fit, matrix
 from ..operators import genotype as G
 from ..operators import offsets as O
+from ..sources import store
 from .queries import FEAT, PRIORS, QUERIES, Study, kept, priors, quality, query, tested
 from .oracle import r, sql
 from .queries2 import ORACLE, B, assoc, rd
@@ -23,19 +24,36 @@ def nb_glm_fit(s):
     return fit.glm_fit(O.normalise(s.offsets()), s.covariates(), ["x1", "x2"])
 
 
+#: Fits that were written, by application, tables and kind.
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def once(s: Study, kind: str, make):
+    """What ``make`` gives, fitted once a session and study and read from then on: minutes of fits serve several queries."""
+    key = (s.spark.sparkContext.applicationId, s.sf_dir, kind)
+    if key not in _written:
+        path = store.scratch(s.spark, kind)
+        make().write.parquet(path)
+        _written[key] = path
+    return s.spark.read.parquet(_written[key])
+
+
+def nulls(s: Study):
+    return once(s, "nulls", lambda: fit.null_fit(block(s), imprint=True))
+
+
+def fitted(s: Study):
+    return once(s, "fits", lambda: fit.alt_fit(tested(s), priors(s), block(s), nulls(s).filter("model <> 'imprint'")))
+
+
 @query()
 def null_fit(s):
-    return fit.null_fit(block(s)).filter("model <> 'imprint'")
+    return nulls(s).filter("model <> 'imprint'")
 
 
 @query()
 def imprint_fit(s):
-    return fit.null_fit(block(s), imprint=True).filter("model = 'imprint'")
-
-
-def fitted(s: Study):
-    b = block(s)
-    return fit.alt_fit(tested(s), priors(s), b, fit.null_fit(b))
+    return nulls(s).filter("model = 'imprint'")
 
 
 @query()

@@ -41,14 +41,8 @@ def scan(spark: SparkSession, path: str, region: tuple[str, int, int] | None = N
     f, c = F.col("format"), F.col("cell")
     gt, gl, gp, ds, ap, ct = (G.field(f, c, *k) for k in (("GT",), ("GL",), ("GP", "PP"), ("DS",), ("AP", "BF"), ("AS",)))
     d = d.select("*", G.hard_call(gt, 0).alias("h1"), G.hard_call(gt, 1).alias("h2"), F.coalesce(G.probabilities(gp), G.likelihoods(gl)).alias("gl"), ds.try_cast("double").alias("ds"), G.allelic(ap, 0).alias("p1"), G.allelic(ap, 1).alias("p2"), G.numbers(ct).alias("ct"), gt.isNotNull().alias("has_gt"))
-    h1, h2 = F.col("h1"), F.col("h2")
-    fixed = G.gl2ap(F.col("gl"), h1, h2)
-    dosed = G.dose2ap(h1, h2, F.col("ds"))
-    known = h1.isNotNull() & h2.isNotNull()
-    pick = lambda i, own: F.when(F.col(own).isNotNull(), F.col(own)).when(F.col("has_gt") & F.col("gl").isNotNull(), F.when(known, fixed[f"ap{i}"]).otherwise(0.5)).when(F.col("has_gt") & F.col("ds").isNotNull(), dosed[i - 1]).when(F.col("has_gt"), G.gt2ap(h1 if i == 1 else h2)).otherwise(F.col("af"))
-    dose = F.when(F.col("p1").isNotNull(), F.col("p1") + F.col("p2")).when(F.col("has_gt"), (h1 + h2).cast("double")).otherwise(2 * F.col("af"))
     count = lambda i: F.coalesce(F.try_element_at("ct", F.lit(i)), F.lit(0.0)).cast("bigint")
-    return d.select("chrom", "pos", "variant_id", "ref", "alt", "rsq", "af", F.col("sample_ix").cast("bigint").alias("sample_ix"), "h1", "h2", "gl", pick(1, "p1").alias("ap1"), pick(2, "p2").alias("ap2"), dose.alias("dose"), count(1).alias("as_ref"), count(2).alias("as_alt"))
+    return G.resolved(d).select("chrom", "pos", "variant_id", "ref", "alt", "rsq", "af", F.col("sample_ix").cast("bigint").alias("sample_ix"), "h1", "h2", "gl", "ap1", "ap2", "dose", count(1).alias("as_ref"), count(2).alias("as_alt"))
 
 
 def posterior_cell(z1: str = "z1", z2: str = "z2") -> "F.Column":
@@ -60,10 +54,15 @@ def posterior_cell(z1: str = "z1", z2: str = "z2") -> "F.Column":
 
 
 def write_posterior(cells: DataFrame, path: str) -> None:
-    """One gzip text record a variant from rows ``chrom pos variant_id ref alt sample_ix z1 z2 as_ref as_alt``."""
-    row = cells.withColumn("cell", posterior_cell()).groupBy("chrom", "pos", "variant_id", "ref", "alt").agg(F.array_sort(F.collect_list(F.struct("sample_ix", "cell"))).alias("s"))
-    text = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "variant_id", "ref", "alt", F.lit("."), F.lit("."), F.lit("."), F.lit("GT:GP:AP:AS"), F.array_join(F.transform("s", lambda r: r["cell"]), "\t"))
-    row.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos").select(text.alias("value")).write.option("compression", "gzip").mode("append").text(path)
+    """One gzip text record a variant from rows ``chrom pos variant_id ref alt sample_ix z1 z2 as_ref as_alt``.
+
+    With columns ``filter`` and ``info`` a record for each of their values, else they are a dot.
+    """
+    more = [c for c in ("filter", "info") if c in cells.columns]
+    by = ["chrom", "pos", "variant_id", "ref", "alt", *more]
+    row = cells.withColumn("cell", posterior_cell()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("sample_ix", "cell"))).alias("s"))
+    text = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "variant_id", "ref", "alt", F.lit("."), *(F.col(c) if c in more else F.lit(".") for c in ("filter", "info")), F.lit("GT:GP:AP:AS"), F.array_join(F.transform("s", lambda r: r["cell"]), "\t"))
+    row.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos", *more).select(text.alias("value")).write.option("compression", "gzip").mode("append").text(path)
 
 
 def append_counts(spark: SparkSession, path: str, counts: DataFrame, out: str) -> None:
