@@ -235,7 +235,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels: a page whose document has quality 0 or is toxic is bad."""
     pages = common.table(spark, sf_dir, "pages")
     bad = common.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return urls.judge(pages, urls.mine(pages, bad))
+    return urls.judge(pages, urls.mined(pages, bad))
 
 
 @query

@@ -15,7 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -55,8 +55,9 @@ def tokens() -> Column:
     return F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, segments, keys, mark)))
 
 
-def mine(pages: DataFrame, labels: DataFrame, max_pages: int = 50_000, support: float = 0.002, confidence: float = 0.6, lift: float = 2.0) -> list[Rule]:
-    """Rules from labelled pages (``labels``: page_id, bad); the sample has about ``max_pages`` of them, by a hash of the id.
+def mined(pages: DataFrame, labels: DataFrame, max_pages: int = 50_000, support: float = 0.002, confidence: float = 0.6, lift: float = 2.0) -> DataFrame:
+    """``tokens confidence support``: rules from labelled pages (``labels``: page_id, bad); the sample has about
+    ``max_pages`` of them, by a hash of the id.
 
     All rules that pass support, confidence and lift stay, but for those that a shorter one implies.
     """
@@ -66,43 +67,47 @@ def mine(pages: DataFrame, labels: DataFrame, max_pages: int = 50_000, support:
     items = F.concat(tokens(), F.when(F.col("bad"), F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>")))
     baskets = with_parts(pages.select("page_id", "url").join(known, "page_id")).select(items.alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    good = model.associationRules.filter((F.element_at("consequent", 1) == LABEL) & (F.col("lift") >= lift))
-    return sorted((Rule(tuple(r["tokens"]), float(r["confidence"]), float(r["support"])) for r in minimal(good)), key=lambda r: (-r.confidence, -r.support, r.tokens))
+    return minimal(model.associationRules.filter((F.element_at("consequent", 1) == LABEL) & (F.col("lift") >= lift)))
 
 
-def minimal(rules: DataFrame) -> list[Row]:
-    """``tokens confidence support`` of the rules whose antecedent holds no other one's, shortest first."""
+def mine(*args, **options) -> list[Rule]:
+    """The rules of ``mined`` as a list, the surest first."""
+    found = (Rule(tuple(r["tokens"]), float(r["confidence"]), float(r["support"])) for r in mined(*args, **options).collect())
+    return sorted(found, key=lambda r: (-r.confidence, -r.support, r.tokens))
+
+
+def minimal(rules: DataFrame) -> DataFrame:
+    """``tokens confidence support`` of the rules whose antecedent holds no other one's: by size, shortest first."""
     rest = common.materialize(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
-    out: list[Row] = []
+    out = rest.limit(0)
     while (n := rest.agg(F.min(F.size("tokens"))).first()[0]) is not None:
         level = rest.filter(F.size("tokens") == n)
-        out += level.collect()  # none implies another of them
+        out = out.unionByName(level)  # none implies another of them
         held = rest.select("tokens", F.explode("tokens").alias("t")).join(level.select(F.col("tokens")[0].alias("t"), F.col("tokens").alias("part")), "t")
         held = held.filter(F.size(F.array_except("part", "tokens")) == 0).select("tokens").distinct()
         rest = common.materialize(rest.join(held, "tokens", "left_anti"), "rules")
     return out
 
 
-def hit(rules: list[Rule]) -> Column:
-    """Whether the column ``_tokens`` holds all tokens of some rule: postings of the tokens, counted by rule."""
-    if not rules:
-        return F.lit(False)
-    postings: dict[str, list[int]] = {}
-    for i, r in enumerate(rules):
-        for t in r.tokens:
-            postings.setdefault(t, []).append(i)
-    index = F.create_map(*(x for t, ids in sorted(postings.items()) for x in (F.lit(t), F.array(*map(F.lit, ids)))))
-    found = F.flatten(F.transform("_tokens", lambda t: F.coalesce(F.try_element_at(index, t), F.array().cast("array<int>"))))
-    sizes = F.array(*(F.lit(len(r.tokens)) for r in rules))
-    return F.exists(F.array_distinct(found), lambda i: F.size(F.filter(found, lambda x: x == i)) == F.element_at(sizes, i + 1))
+def matched(d: DataFrame, rules: DataFrame) -> DataFrame:
+    """``_url``: the URLs of ``d`` (``_url _tokens``) that hold all tokens of some rule.
+
+    The inverted index has a row for each rule and token of it; the URLs' tokens join it, and a rule is held whose tokens
+    all came. URLs without a token of any rule end at that join.
+    """
+    index = rules.select(F.array_join(F.array_sort("tokens"), " ").alias("rule"), F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
+    hits = d.select("_url", F.explode("_tokens").alias("token")).join(index, "token").distinct()
+    return hits.groupBy("_url", "rule", "need").agg(F.count("*").alias("n")).filter("n = need").select("_url").distinct()
 
 
-def judge(pages: DataFrame, rules: list[Rule], listed: list[tuple[str, str, str]] | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame | list[Rule], listed: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """``page_id host path rule verdict``: the longest listed rule that fits rules, else the mined ones."""
     listed = LISTED if listed is None else listed
+    if isinstance(rules, list):
+        rules = pages.sparkSession.createDataFrame([(list(r.tokens), r.confidence, r.support) for r in rules], "tokens array<string>, confidence double, support double")
     d = with_parts(pages.select("page_id", "url"))
-    d = d.select("page_id", "host", "path", tokens().alias("_tokens"))
-    d = d.select("page_id", "host", "path", hit(rules).alias("_hit"))
+    hits = matched(d.select(F.col("url").alias("_url"), tokens().alias("_tokens")), rules)
+    d = d.join(hits, F.col("url") == F.col("_url"), "left").select("page_id", "host", "path", F.col("_url").isNotNull().alias("_hit"))
     rule = verdict = None
     for v, h, p in sorted(listed, key=lambda r: -len(r[1] + r[2])):
         fits = ((F.col("host") == h) | F.endswith("host", F.lit(f".{h}"))) & F.startswith("path", F.lit(p))
