@@ -241,6 +241,14 @@ class Mode:
         return self.from_error or self.fixed
 
 
+def phased_pair(g: Column, h1: Column, h2: Column) -> tuple[Column, Column]:
+    """Where ``gl2ap`` comes to rest: the roots of x^2 - (2 g2 + g1) x + g2, in the order of the call; the double root if they aren't real."""
+    mid = g[2] + g[1] / 2.0
+    wide = F.sqrt(F.greatest(mid * mid - g[2], F.lit(0.0)))
+    side = F.when((h1 + h2) != 1, 0.0).when(h1 == 0, -1.0).otherwise(1.0)
+    return mid + side * wide, mid - side * wide
+
+
 def resolved(cells: DataFrame) -> DataFrame:
     """``cells`` with ``ap1 ap2 dose``: allelic probabilities by the order of precedence, and the dosage.
 
@@ -249,11 +257,11 @@ def resolved(cells: DataFrame) -> DataFrame:
     """
     h1, h2 = F.col("h1"), F.col("h2")
     known = h1.isNotNull() & h2.isNotNull()
-    phased, dosed = gl2ap(F.col("gl"), h1, h2), dose2ap(h1, h2, F.col("ds"))
+    phased, dosed = phased_pair(F.col("gl"), h1, h2), dose2ap(h1, h2, F.col("ds"))
 
     def pick(i: int) -> Column:
         own, gt = F.col(f"p{i}"), F.col("has_gt")
-        return F.when(own.isNotNull(), own).when(gt & F.col("gl").isNotNull(), F.when(known, phased[f"ap{i}"]).otherwise(0.5)).when(gt & F.col("ds").isNotNull(), dosed[i - 1]).when(gt, gt2ap(h1 if i == 1 else h2)).otherwise(F.col("af"))
+        return F.when(own.isNotNull(), own).when(gt & F.col("gl").isNotNull(), F.when(known, phased[i - 1]).otherwise(0.5)).when(gt & F.col("ds").isNotNull(), dosed[i - 1]).when(gt, gt2ap(h1 if i == 1 else h2)).otherwise(F.col("af"))
 
     dose = F.when(F.col("p1").isNotNull(), F.col("p1") + F.col("p2")).when(F.col("has_gt"), (h1 + h2).cast("double")).otherwise(2 * F.col("af"))
     return cells.select("*", pick(1).alias("ap1"), pick(2).alias("ap2"), dose.alias("dose"))

@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def by_feature() -> WindowSpec:
     return Window.partitionBy("feature_ix")
@@ -91,11 +93,10 @@ def gram(z: DataFrame) -> DataFrame:
 
 def gc_bins(gc: DataFrame, n_bins: int = 200) -> DataFrame:
     """Bin of a feature by the quantiles (type 7) of its rank in GC, ties by feature."""
-    n = F.count("*").over(Window.partitionBy())
-    ranked = gc.select("feature_ix", "gc", F.row_number().over(Window.orderBy("gc", "feature_ix")).alias("rank"), n.alias("n"))
+    rows, n = ranked(gc.select("feature_ix", "gc"), ["gc", "feature_ix"])
     # rank <= 1 + (n - 1) i / bins  for the largest number of i
-    first = F.ceil((F.col("rank") - 1) * n_bins / F.greatest(F.col("n") - 1, F.lit(1)))
-    return ranked.select("feature_ix", "gc", (F.greatest(first, F.lit(1)).cast("bigint") - 1).alias("bin"))
+    first = F.ceil((F.col("rank") - 1) * n_bins / F.lit(max(n - 1, 1)))
+    return rows.select("feature_ix", "gc", (F.greatest(first, F.lit(1)).cast("bigint") - 1).alias("bin"))
 
 
 def bin_rates(counts: DataFrame, binned: DataFrame) -> DataFrame:
@@ -106,14 +107,17 @@ def bin_rates(counts: DataFrame, binned: DataFrame) -> DataFrame:
 
 
 def spread_ties(xs: DataFrame, x: str = "x", order: str = "ix") -> DataFrame:
-    """Sorted values with runs of equal ones spread evenly between the midpoints to their neighbours."""
-    w = Window.orderBy(x, order)
-    d = xs.withColumn("_new", F.when(F.lag(x).over(w) == F.col(x), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
-    runs = d.groupBy("_run").agg(F.first(x).alias("v"), F.count("*").alias("m"))
-    o = Window.orderBy("_run")
-    runs = runs.select("_run", "v", "m", F.coalesce((F.lag("v").over(o) + F.col("v")) / 2, F.col("v")).alias("a"), F.coalesce((F.lead("v").over(o) + F.col("v")) / 2, F.col("v")).alias("b"))
-    i = F.row_number().over(Window.partitionBy("_run").orderBy(order))
-    return d.join(runs, "_run").select(order, x, F.when(F.col("m") > 1, F.col("a") + (F.col("b") - F.col("a")) / (F.col("m") + 1) * i).otherwise(F.col(x)).alias("spread"))
+    """Sorted values with runs of equal ones spread evenly between the midpoints to their neighbours.
+
+    The neighbours of a run are the values at the ranks before and after it.
+    """
+    rows, _ = ranked(xs.select(order, x), [x, order], "_rank")
+    runs = rows.groupBy(x).agg(F.min("_rank").alias("_first"), F.count("*").alias("_m"))
+    at = lambda name: rows.select(F.col("_rank").alias("_at"), F.col(x).alias(name))
+    runs = runs.join(at("_low"), F.col("_first") - 1 == F.col("_at"), "left").drop("_at").join(at("_high"), F.col("_first") + F.col("_m") == F.col("_at"), "left").drop("_at")
+    runs = runs.select(F.col(x).alias("_x"), "_first", "_m", F.coalesce((F.col("_low") + F.col(x)) / 2, F.col(x)).alias("_a"), F.coalesce((F.col("_high") + F.col(x)) / 2, F.col(x)).alias("_b"))
+    spread = F.when(F.col("_m") > 1, F.col("_a") + (F.col("_b") - F.col("_a")) / (F.col("_m") + 1) * (F.col("_rank") - F.col("_first") + 1)).otherwise(F.col(x))
+    return rows.join(runs, F.col(x).eqNullSafe(F.col("_x"))).select(order, x, spread.alias("spread"))
 
 
 def size_factor(counts: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import genotype as G
 from ..operators import offsets as O
 from ..operators.likelihood import Hyper
 from ..operators.matrix import permute
-from ..sources import vcf
+from ..sources import store, vcf
 
 
 @dataclass(frozen=True)
@@ -126,15 +126,16 @@ def associations(offsets: DataFrame, variants: DataFrame, features: DataFrame, p
     if o.permute_seed is not None:
         offsets, dk, weights = permuted_together(offsets, dk, weights, o.permute_seed)
         mixed = o.permute_seed + 1
-    pairs = tested_pairs(variants, features, o)
+    pairs = store.written(tested_pairs(variants, features, o), "pairs")
     used = fsnps.limit(0) if o.population_only else fsnps
-    n = sizes(features, pairs, fsnps, offsets)
+    n = store.written(sizes(features, pairs, fsnps, offsets), "sizes")
     validate(n, offsets, o)
     out = skipped(n, o)
     pairs = chosen(pairs.join(out.select("feature_ix"), "feature_ix", "left_anti"), o)
-    block = fit.blocks(O.normalise(offsets), used, priors, as_counts, dk, weights, mixed, plain)
-    nulls = fit.null_fit(block, o.hyper, o.imprint, o.model)
+    block = store.written(fit.blocks(O.normalise(offsets), used, priors, as_counts, dk, weights, mixed, plain), "blocks")
+    nulls = store.written(fit.null_fit(block, o.hyper, o.imprint, o.model), "nulls")
     rows = fit.alt_fit(pairs, priors, block, nulls, o.significant, o.chunk, o.hyper, o.force, o.model, n.select("feature_ix", F.col("n_tested").alias("_n")))
+    rows = store.written(rows, "fits")
     full = pairs.select("feature_ix", "variant_ix", "variant_id", "chrom", "pos", "ref", "alt", "af", "hwe", "rsq", "tss").join(rows, ["feature_ix", "variant_ix"]).join(n.select("feature_ix", "n_tested"), "feature_ix")
     full = report.with_q(full)
     if o.lead:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fit, matrix
@@ -25,25 +26,27 @@ def nb_glm_fit(s):
 
 
 #: Fits that were written, by application, tables and kind.
-_written: dict[tuple[str, str, str], str] = {}
+_written: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def once(s: Study, kind: str, make):
     """What ``make`` gives, fitted once a session and study and read from then on: minutes of fits serve several queries."""
     key = (s.spark.sparkContext.applicationId, s.sf_dir, kind)
     if key not in _written:
-        path = store.scratch(s.spark, kind)
-        make().write.parquet(path)
-        _written[key] = path
-    return s.spark.read.parquet(_written[key])
+        _written[key] = store.written(make(), kind)
+    return _written[key]
+
+
+def blocked(s: Study):
+    return once(s, "blocks", lambda: block(s))
 
 
 def nulls(s: Study):
-    return once(s, "nulls", lambda: fit.null_fit(block(s), imprint=True))
+    return once(s, "nulls", lambda: fit.null_fit(blocked(s), imprint=True))
 
 
 def fitted(s: Study):
-    return once(s, "fits", lambda: fit.alt_fit(tested(s), priors(s), block(s), nulls(s).filter("model <> 'imprint'")))
+    return once(s, "fits", lambda: fit.alt_fit(tested(s), priors(s), blocked(s), nulls(s).filter("model <> 'imprint'")))
 
 
 @query()

@@ -12,7 +12,7 @@ from ..operators import likelihood as L
 from ..operators import offsets as O
 from . import checks, pipeline, queries4
 from .oracle import r, sql
-from .queries import FEAT, HALF, HWE, MAF, ORACLE, QUAL, QUERIES, RSQ, Study, good, kept, priors, query, rd, tested
+from .queries import FEAT, HALF, HWE, MAF, ORACLE, QUAL, QUERIES, RSQ, Study, good, kept, priors, quality, query, rd, tested
 from .queries2 import DOSE, GLAP, PARSED, parsed
 from .queries3 import fitted, nulls
 
@@ -188,6 +188,7 @@ def marginal(s: Study, fits: DataFrame, z: DataFrame, null: bool) -> DataFrame:
     x = x.join(s.as_counts().withColumnRenamed("variant_ix", "feature_variant"), ["feature_variant", "sample_ix"])
     names = ["feature_ix", "variant_ix", "sample_ix", "k", "z1", "z2", "theta", "pi", "delta", "phi"]
     pairs = base.filter("joint").select(*names).join(x, ["feature_ix", "sample_ix"]).withColumn("same", F.col("variant_ix") == F.col("feature_variant"))
+    pairs = fit.spread(pairs, "feature_ix", "variant_ix", "sample_ix")
     e = L.e_step(base, pairs, F.col("pi"), F.col("delta"), F.col("phi")).groupBy("feature_ix", "variant_ix").agg(F.sum("loglik").alias("ll"))
     start = n.groupBy("feature_ix").agg(F.ln(F.avg(F.col("y") / F.col("k"))).alias("beta0"))
     d = fits.join(e, ["feature_ix", "variant_ix"]).join(start, "feature_ix")
@@ -246,6 +247,29 @@ def svd_check(s):
     return ray.agg(F.count_if(F.abs(F.col("n2") - F.col("d2") * F.col("d2")) > 1e-6 * F.col("n2")).alias("n_wrong"))
 
 
+def reported(s: Study) -> DataFrame:
+    """A whole run: covariates, imprinting tests, and rows of features that aren't fitted."""
+    v = s.variants().select("variant_ix", "chrom", "pos", "variant_id", "ref", "alt", F.coalesce("rsq", F.lit(1.0)).alias("rsq")).join(quality(s).select("variant_ix", "af", "hwe"), "variant_ix")
+    o = pipeline.Options(half_window=HALF, maf=MAF, rsq=RSQ, work_limit=300, imprint=True)
+    return pipeline.full_report(s.offsets(), v, s.features().select("feature_ix", "chrom", "tss"), priors(s), s.as_counts(), kept(s).select("feature_ix", "variant_ix"), o, covariates=s.covariates())
+
+
+REPORTED = {
+    **FEAT, "nt": "SELECT feature_ix, count(*) AS n_tested FROM tested GROUP BY 1", "nf": "SELECT feature_ix, count(*) AS n_feature FROM kept GROUP BY 1", "yt": "SELECT feature_ix, sum(y) AS tot FROM counts GROUP BY 1",
+    "sz": "SELECT feature_ix, chrom, coalesce(n_tested, 0) AS n_tested, coalesce(n_feature, 0) AS n_feature, coalesce(tot, 0) AS tot FROM features LEFT JOIN nt USING (feature_ix) LEFT JOIN nf USING (feature_ix) LEFT JOIN yt USING (feature_ix)",
+    "sk": "SELECT * FROM sz WHERE (n_feature + 1) * n_tested > 300 OR tot <= 0 OR n_tested = 0",
+}
+
+
+@query(sql(f"""SELECT t.feature_ix, t.variant_id, t.chrom, t.pos, v.ref, v.alt, {r('q.af')} AS af, {r('q.hwe', 4)} AS hwe, {r('coalesce(v.rsq, 1.0)')} AS rsq, n_tested, n_feature FROM tested t JOIN variants v USING (variant_ix) JOIN quality q USING (variant_ix) JOIN sz ON sz.feature_ix = t.feature_ix WHERE t.feature_ix NOT IN (SELECT feature_ix FROM sk)
+  UNION ALL SELECT feature_ix, 'SKIPPED', chrom, -1, 'N', 'N', -1.0, -1.0, -1.0, n_tested, n_feature FROM sk
+  UNION ALL SELECT feature_ix, 'AI', chrom, -1, 'N', 'N', -1.0, -1.0, -1.0, n_tested, n_feature FROM sz WHERE n_feature > 0 AND tot > 0""", **REPORTED))
+def run_report(s):
+    """The rows of a whole run, in the columns that no fit decides."""
+    d = reported(s)
+    return d.select("feature_ix", "variant_id", "chrom", "pos", "ref", "alt", *(rd(F.col(c), n).alias(c) for c, n in (("af", 6), ("hwe", 4), ("rsq", 6))), "n_tested", F.col("n_feature").cast("bigint").alias("n_feature"))
+
+
 @query()
 def lead_fit_report(s):
     """The best variant of each feature by the fitted ratio, with the ties resolved by distance."""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import WriterCommitMessage
 
 
@@ -36,7 +37,32 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='traitloom-')}"
         spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/traitloom-{name}-{uuid.uuid4().hex}"
+    path = f"{where.rstrip('/')}/traitloom-{name}-{uuid.uuid4().hex}"
+    if not _left:
+        atexit.register(_remove, spark)
+    _left.append(path)
+    return path
+
+
+#: Paths that ``scratch`` gave; what is there goes when the driver ends.
+_left: list[str] = []
+
+
+def _remove(spark: SparkSession) -> None:
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _left:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+    except Exception:  # noqa: BLE001 - the JVM has gone before
+        pass
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what it takes is done once, and lost executors don't undo it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @dataclass
