@@ -63,6 +63,47 @@ def test_hessian_is_that_of_the_gradient(model, reads):
             assert hess[:, i] == pytest.approx((up[1] - down[1]) / 2e-5, rel=1e-5, abs=1e-4)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_em_reaches_the_likelihood_that_newton_steps_reach(seed):
+    f, z = feature(seed, effect=0.65)
+    h0, prior = fit.genotypes(z[:2]), f.diplotypes([0, 1], z[:2])
+    d = f.data(h0, prior)
+    start = np.tile(np.array([0.1, f.start[1], 0.1, f.beta0, 1.0]), (2, 1))
+    for free in (f.model.free(*fit.NAMES), f.model.free("pi", "beta", "theta")):
+        a, b = fit.climb(start, free, d, f.h, f.beta0), fit.em(start, free, d, f.h, f.beta0)
+        assert (a["code"] == 0).all() and b["ll"] == pytest.approx(a["ll"], abs=1e-3)
+        assert (b["ll"] <= a["ll"] + 1e-6).all()
+
+
+def test_no_round_of_em_lowers_the_likelihood_and_q_is_its_bound():
+    f, z = feature(5, effect=0.7)
+    d = f.data(fit.genotypes(z[:2]), f.diplotypes([0, 1], z[:2]))
+    p = np.array([[0.2, -2.0, 0.3, f.beta0 - 0.5, 0.0], [1.0, -1.0, -0.3, f.beta0 + 0.5, 3.0]])
+    free = f.model.free(*fit.NAMES)
+    values = [fit.evaluate(p, d, f.h, f.beta0)[0]]
+    for _ in range(15):
+        q = fit.expected(p, d, f.h, f.beta0)
+        (was, slope), own = fit.evaluate(p, q, f.h, f.beta0), fit.evaluate(p, d, f.h, f.beta0)[1]
+        assert slope == pytest.approx(own, abs=1e-6)  # Q touches the likelihood at the point of its posteriors
+        new = fit.climb(p, free, q, f.h, f.beta0, fit.M_STEPS)["p"]
+        now = fit.evaluate(new, q, f.h, f.beta0)[0]
+        values.append(fit.evaluate(new, d, f.h, f.beta0)[0])
+        assert (now >= was - 1e-9).all() and (values[-1] - values[-2] >= now - was - 1e-9).all()
+        p = new
+    assert (np.diff(values, axis=0) >= -1e-9).all()
+
+
+def test_fits_that_stop_early_go_on_by_em(monkeypatch):
+    f, z = feature(1, effect=0.7)
+    d = f.data(fit.genotypes(z[:1]), f.diplotypes([0], z[:1]))
+    start = np.array([[0.1, f.start[1], 0.1, f.beta0, 1.0]])
+    best = fit.climb(start, f.model.free(*fit.NAMES), d, f.h, f.beta0)
+    monkeypatch.setattr(fit, "STEPS", 2)
+    monkeypatch.setattr(fit, "ROUNDS", 2000)
+    went = fit.climb(start, f.model.free(*fit.NAMES), d, f.h, f.beta0, 2)
+    assert went["code"][0] == 0 and went["itr"][0] > 2 and went["ll"][0] == pytest.approx(best["ll"][0], abs=1e-3)
+
+
 def test_gradient_is_that_of_the_likelihood():
     f, z = feature()
     prior = fit.diplotypes(z[:1][:, :, None, :], f.x[None])

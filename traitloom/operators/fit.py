@@ -336,15 +336,66 @@ def states_of(d: Data, inner: np.ndarray, post: np.ndarray) -> np.ndarray:
     return share * post[:, :, None, :][..., GENO]
 
 
-def climb(start: np.ndarray, free: np.ndarray, d: Data, h: Hyper, beta0: float) -> dict[str, np.ndarray]:
-    """The best point from each start [S, 5] over the ``free`` parameters, with log-likelihood, steps, code and Hessian."""
+def expected(p: np.ndarray, d: Data, h: Hyper, beta0: float) -> Data:
+    """The E-step: data whose priors are the posteriors at p. ``evaluate`` on it, without their update, is the mean of the
+    complete-data log-likelihood under them: the function Q of EM."""
+    _, _, post, states = evaluate(p, d, h, beta0, True)
+    return Data(d.y, d.k, d.dk, d.w, post, states, d.reads, d.kx, replace(d.model, update=False))
+
+
+#: Rounds of EM at most, and Newton steps on Q in each.
+ROUNDS, M_STEPS = 231, 3
+
+
+def em(start: np.ndarray, free: np.ndarray, d: Data, h: Hyper, beta0: float) -> dict[str, np.ndarray]:
+    """The same as ``climb`` by expectation and maximisation: no round lowers the likelihood, whatever its curvature.
+
+    Slower near the optimum than Newton steps on the likelihood itself, so ``climb`` asks for it where these stop early.
+    """
+    p = np.clip(start.astype(float), BOX[:, 0], BOX[:, 1])
+    s = len(p)
+    ll, g = evaluate(p, d, h, beta0)
+    itr, last, done = np.zeros(s, int), np.full(s, np.inf), np.zeros(s, bool)
+    for step in range(1, ROUNDS + 1):
+        at = np.flatnonzero(~done)
+        if not len(at):
+            break
+        sub = d.take(at)
+        new = climb(p[at], free, expected(p[at], sub, h, beta0), h, beta0, M_STEPS)["p"]
+        nl, ng = evaluate(new, sub, h, beta0)
+        good = nl >= ll[at] - 1e-12
+        up = at[good]
+        last[at] = np.where(good, np.abs(nl - ll[at]), 0.0)
+        p[up], ll[up], g[up] = new[good], nl[good], ng[good]
+        itr[at] = step
+        edge = (np.abs(p[at] - BOX[:, 0]) < 1e-9) | (np.abs(p[at] - BOX[:, 1]) < 1e-9)
+        done[at] = ((last[at] < TOL) & ((np.abs(g[at]) < GRAD_TOL) | edge | ~free).all(1)) | ~good
+    return ended(p, ll, g, evaluate(p, d, h, beta0, second=True)[2], itr, last, free, d, h, beta0)
+
+
+def ended(p: np.ndarray, ll: np.ndarray, g: np.ndarray, hess: np.ndarray, itr: np.ndarray, last: np.ndarray, free: np.ndarray, d: Data, h: Hyper, beta0: float) -> dict[str, np.ndarray]:
+    """What a fit returns of its last points: with the convergence code and the Laplace factor."""
+    idx = np.flatnonzero(free)
+    bad = (np.abs(g) >= GRAD_TOL) & free & (p > BOX[:, 0] + 1e-9) & (p < BOX[:, 1] - 1e-9)
+    code = np.where(last < TOL, 0, 1_000_000) + bad @ np.array([10_000, 1_000, 100, 10, 1])
+    if not d.model.update:
+        ll = evaluate(p, replace(d, model=replace(d.model, update=True)), h, beta0)[0]
+    _, logdet = np.linalg.slogdet(-hess[np.ix_(range(len(p)), idx, idx)])
+    return {"p": p, "ll": ll, "itr": itr, "code": code, "log_bf": ll - 0.5 * logdet + 0.5 * math.log(2 * math.pi) * len(idx)}
+
+
+def climb(start: np.ndarray, free: np.ndarray, d: Data, h: Hyper, beta0: float, steps: int = STEPS) -> dict[str, np.ndarray]:
+    """The best point from each start [S, 5] over the ``free`` parameters, with log-likelihood, steps, code and Laplace factor.
+
+    Fits that don't converge go on by EM from where they are, if that converges and ends no lower.
+    """
     p = np.clip(start.astype(float), BOX[:, 0], BOX[:, 1])
     s = len(p)
     idx = np.flatnonzero(free)
     ll, g = evaluate(p, d, h, beta0)
     itr, done, last = np.zeros(s, int), np.zeros(s, bool), np.full(s, np.inf)
     hess = np.tile(-np.eye(5), (s, 1, 1))
-    for step in range(1, STEPS + 1):
+    for step in range(1, steps + 1):
         at = np.flatnonzero(~done)
         if not len(at):
             break
@@ -375,12 +426,15 @@ def climb(start: np.ndarray, free: np.ndarray, d: Data, h: Hyper, beta0: float)
         stuck = np.isin(np.arange(len(at)), left)
         last[at[stuck]] = 0.0
         done[at] = ((last[at] < TOL) & flat.all(1)) | stuck
-    bad = (np.abs(g) >= GRAD_TOL) & free & (p > BOX[:, 0] + 1e-9) & (p < BOX[:, 1] - 1e-9)
-    code = np.where(last < TOL, 0, 1_000_000) + bad @ np.array([10_000, 1_000, 100, 10, 1])
-    if not d.model.update:
-        ll = evaluate(p, replace(d, model=replace(d.model, update=True)), h, beta0)[0]
-    _, logdet = np.linalg.slogdet(-hess[np.ix_(range(s), idx, idx)])
-    return {"p": p, "ll": ll, "itr": itr, "code": code, "log_bf": ll - 0.5 * logdet + 0.5 * math.log(2 * math.pi) * len(idx)}
+    out = ended(p, ll, g, hess, itr, last, free, d, h, beta0)
+    left = np.flatnonzero(out["code"] != 0)
+    if len(left) and d.model.update and steps == STEPS:
+        more = em(p[left], free, d.take(left), h, beta0)
+        good = (more["code"] == 0) & (more["ll"] >= out["ll"][left] - 1e-9)
+        more["itr"] = more["itr"] + itr[left]
+        for k in out:
+            out[k][left[good]] = more[k][good]
+    return out
 
 
 def diplotypes(z: np.ndarray, x: np.ndarray) -> np.ndarray:
