@@ -76,9 +76,13 @@ def feature_exons(s):
     return s.features().select("feature_ix", length.alias("eff_len"), F.size("exons").cast("bigint").alias("n_exons"), F.col("exons")[0]["start"].alias("first_start"))
 
 
-@query("SELECT * FROM (VALUES ('atac', 37::BIGINT, 10000::BIGINT), ('rna', 37, 2473537), ('other', 1, 270000000)) t(assay, min_insert, max_insert)")
+@query(sql("""SELECT assay, min_insert, max_insert, count(*) AS n_fragments, count(*) FILTER (WHERE abs(tlen) BETWEEN min_insert AND max_insert) AS n_within
+  FROM (VALUES ('atac', 37::BIGINT, 10000::BIGINT), ('rna', 37, 2473537), ('other', 1, 270000000)) t(assay, min_insert, max_insert), alignments WHERE mate = 1 GROUP BY ALL"""))
 def assay_bounds(s):
-    return s.spark.createDataFrame([(k, a, b) for k, (a, b) in R.INSERTS.items()], "assay string, min_insert long, max_insert long")
+    """Fragments within the insert sizes of each assay."""
+    size = F.abs("tlen")
+    d = s.alignments().filter("mate = 1").agg(F.count("*").alias("n"), *(F.count_if(size.between(*b)).alias(k) for k, b in R.INSERTS.items()))
+    return d.select(F.explode(F.array(*(F.struct(F.lit(k).alias("assay"), F.lit(a).cast("long").alias("min_insert"), F.lit(b).cast("long").alias("max_insert"), F.col("n").alias("n_fragments"), F.col(k).alias("n_within")) for k, (a, b) in R.INSERTS.items()))).alias("x")).select("x.*")
 
 
 # --- counts, offsets, covariates --------------------------------------------------------------------------------

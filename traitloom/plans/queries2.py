@@ -262,9 +262,19 @@ def prior_sql(z1: str, z2: str, x1: str, x2: str) -> str:
     return f"({one} + CASE WHEN st.c1 = st.c2 AND st.x1 = st.x2 THEN 0 ELSE {two} END)"
 
 
-@query(f"SELECT CAST(j AS INT) AS j, CAST(c1 AS VARCHAR) || CAST(c2 AS VARCHAR) AS c, CAST(x1 AS VARCHAR) || CAST(x2 AS VARCHAR) AS x, CAST(c1 + c2 AS INT) AS g, CAST(x1 + x2 AS INT) AS xg FROM {STATES}")
+PHASED = """SELECT a.variant_ix, a.sample_ix, CAST(greatest(2 * a.h1 + b.h1, 2 * a.h2 + b.h2) AS INT) AS first, CAST(least(2 * a.h1 + b.h1, 2 * a.h2 + b.h2) AS INT) AS second FROM genotypes a JOIN genotypes b ON b.variant_ix = a.variant_ix + 1 AND b.sample_ix = a.sample_ix"""
+
+
+@query(sql(f"SELECT variant_ix, sample_ix, CAST(j AS INT) AS j, CAST(c1 + c2 AS INT) AS g, CAST(x1 + x2 AS INT) AS xg FROM ph JOIN {STATES} ON greatest(2 * c1 + x1, 2 * c2 + x2) = first AND least(2 * c1 + x1, 2 * c2 + x2) = second", ph=PHASED))
 def diplotype_states(s):
-    return s.spark.createDataFrame([(j, c, x, sum(map(int, c)), sum(map(int, x))) for j, c, x in G.STATES], "j int, c string, x string, g int, xg int")
+    """The state of each sample's calls at a variant and the next one: haplotypes as an unordered pair."""
+    g = s.genotypes()
+    x = g.select((F.col("variant_ix") - 1).alias("variant_ix"), "sample_ix", F.col("h1").alias("x1"), F.col("h2").alias("x2"))
+    a, b = (2 * F.col(f"h{i}") + F.col(f"x{i}") for i in (1, 2))
+    key = 4 * F.greatest(a, b) + F.least(a, b)
+    known = {4 * max(p, q) + min(p, q): j for j, c, x in G.STATES for p, q in [(2 * int(c[0]) + int(x[0]), 2 * int(c[1]) + int(x[1]))]}
+    j = F.create_map(*(F.lit(v) for kv in known.items() for v in kv))[key]
+    return g.join(x, ["variant_ix", "sample_ix"]).select("variant_ix", "sample_ix", j.alias("j"), (F.col("h1") + F.col("h2")).alias("g"), (F.col("x1") + F.col("x2")).alias("xg"))
 
 
 @query(sql(f"SELECT variant_ix, sample_ix, {r('(1 - z1) * (1 - z2)')} AS p0, {r('1 - (1 - z1) * (1 - z2) - z1 * z2')} AS p1, {r('z1 * z2')} AS p2 FROM priors", **PRI))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import fit, matrix
 from ..operators import genotype as G
 from ..operators import intervals as I
@@ -120,6 +121,13 @@ def feature_variant_options(s):
     return prepared(s, pipeline.Options(feature_maf=0.1, feature_rsq=0.6, min_depth=0.2, read_length=100)).fsnps
 
 
+@query(sql(f"SELECT variant_ix, {r('ln(p / (1 - p))')} AS logit, {r('1 / (1 + exp(-(n1 - n2)))')} AS odds FROM (SELECT variant_ix, least(greatest(af, 1e-7), 1 - 1e-7) AS p, n1, n2 FROM quality)", **QUAL))
+def frequency_logit(s):
+    """The logit of the allele frequency, and the expit of the surplus of heterozygotes over homozygotes of the alternative allele."""
+    q = quality(s)
+    return q.select("variant_ix", rd(S.logit(F.least(F.greatest(F.col("af"), F.lit(1e-7)), F.lit(1 - 1e-7)))).alias("logit"), rd(S.expit((F.col("n1") - F.col("n2")).cast("double"))).alias("odds"))
+
+
 # --- covariates of a feature, trans pairs -----------------------------------------------------------------------
 
 OWN = 'SELECT l_suppkey AS feature_ix, sample_ix, sum(l_quantity)::DOUBLE AS value FROM joined GROUP BY ALL'
