@@ -70,3 +70,25 @@ def test_counts_of_many_equal_lines_dont_wrap(spark):
     d = one_row(spark, a="same\n" * 40_000, b="same\n" * 20_000, c="other\n" * 70_000)
     near, far = d.select(fp.likeness(F.col("f_a"), F.col("f_b")), fp.likeness(F.col("f_a"), F.col("f_c"))).first()
     assert near == pytest.approx(1.0) and far < 0.3
+
+
+@pytest.mark.parametrize("shape", ["unique", "one", "equal", "hot", "hot_first", "hot_last", "several"])
+def test_successors_where_ids_repeat(spark, shape):
+    """An id may have most rows, all rows equal or not, and be the first, the last or between others."""
+    rnd = random.Random(5)
+    word = lambda: rnd.choice("abcdefgh") * rnd.randint(1, 3)
+    rows = {
+        "unique": [(i, word()) for i in range(400)],
+        "one": [(7, word()) for _ in range(300)],
+        "equal": [(7, "same")] * 300 + [(i, word()) for i in range(40)],
+        "hot": [(200, word()) for _ in range(300)] + [(i, word()) for i in range(400)],
+        "hot_first": [(-5, word()) for _ in range(300)] + [(i, word()) for i in range(200)],
+        "hot_last": [(999, word()) for _ in range(300)] + [(i, word()) for i in range(200)],
+        "several": [(i // 100 if i < 500 else i, word()) for i in range(600)],
+    }[shape]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "k long, t string").withColumn("v", F.concat("k", F.lit(":"), "t"))
+    want = sorted(rows)
+    want = sorted((k, t, f"{a}:{b}") for (k, t), (a, b) in zip(want, [*want[1:], want[0]], strict=True))
+    for pieces, least in ((16, 1), (16, 64)):
+        assert sorted(tuple(r) for r in fp.with_next(df, "k", "t", ["v"], pieces, least).select("k", "t", "next_v").collect()) == want

@@ -16,17 +16,20 @@ that no count of one text wraps, and sums of lanes stay within a bigint until th
 
 Defined cases: a null text is the empty one: one empty paragraph and no sentence; a last line end begins another
 paragraph. Two texts without sentences are alike, one of them and another text not; ids ascend with null first, rows
-with one id by text (the rows that repeat an id are sorted by one task); any length of text; a table of one row has
+with one id by text, also where one id has most of the rows; any length of text; a table of one row has
 itself next; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Numbers of 60 bits in a SHA-256, and those of a paragraph's vector.
 WORDS = 4
 WIDE = 32
@@ -141,18 +144,33 @@ def likeness(a: Column, b: Column) -> Column:
     return F.aggregate(pairs, zero, step, done)
 
 
-def with_next(df: DataFrame, key: str, tie: str, values: list[str], pieces: int) -> DataFrame:
+def with_next(df: DataFrame, key: str, tie: str, values: list[str], pieces: int, least: int = 64) -> DataFrame:
     """Add ``next_<v>`` of the row that follows in the order of ``key`` (not null) and ``tie``; the first follows the last.
 
-    Keys are cut into ranges at approximate quantiles, which are keys that occur; the rows of such a key are the first
-    of their range, and a second copy of them ends the range before. So each range knows its last row's successor and
-    no task sorts more than a range; rows that repeat one key are within one range.
+    Keys are cut into at most ``pieces`` ranges of about ``least`` rows or more, at approximate quantiles, which are keys
+    that occur. A key at which two cuts fall has more rows than a range: such keys, fewer than ``pieces``, are sorted
+    apart, over all tasks (``within_keys``), and only the first and the last row of each take their places in the ranges.
     """
     share = [i / pieces for i in range(pieces)]
-    got = df.agg(F.min(key).alias("low"), F.percentile_approx(key, share, 100 * pieces).alias("q")).first()  # at most ``pieces`` keys
+    got = df.agg(F.min(key).alias("low"), F.count(key).alias("rows"), F.percentile_approx(key, share, 100 * pieces).alias("q")).first()  # at most ``pieces`` keys
     if got["low"] is None:
         return df.select("*", *(F.col(v).alias(f"next_{v}") for v in values))
-    bounds = sorted({got["low"], *got["q"]})
+    cuts = [got["low"], *got["q"][:: -(-pieces // max(1, got["rows"] // least))]]
+    heavy = [k for k, times in Counter(cuts[1:]).items() if times > 1]
+    whole = F.lit(0).alias("_end")
+    if not heavy:
+        return in_ranges(df.select("*", whole), key, tie, values, sorted(set(cuts))).drop("_end")
+    among, ends = within_keys(df.filter(F.col(key).isin(heavy)), key, tie, values, pieces)
+    rest = df.filter(~F.col(key).isin(heavy)).select("*", whole).unionByName(ends)
+    return in_ranges(rest, key, tie, values, sorted(set(cuts))).filter("_end <> 1").drop("_end").unionByName(among)
+
+
+def in_ranges(df: DataFrame, key: str, tie: str, values: list[str], bounds: list[int]) -> DataFrame:
+    """``next_<v>`` in the order of ``key``, ``tie`` and ``_end``, a window a range; ranges begin at ``bounds``.
+
+    The rows of a bound are the first of their range, and a second copy of them ends the range before. So each range
+    knows its last row's successor and no task sorts more than a range.
+    """
     n = len(bounds)
     at = F.array(*map(F.lit, bounds))
     powers = [1 << i for i in reversed(range(n.bit_length()))]
@@ -161,11 +179,33 @@ def with_next(df: DataFrame, key: str, tie: str, values: list[str], pieces: int)
     ends = F.when(F.col(key) == bounds[0], F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("g")), F.struct(F.lit(n - 1).alias("b"), F.lit(2).alias("g"))))
     ends = ends.when(F.col(key).isin(bounds[1:]), F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("g")), F.struct((F.col("_b") - 1).alias("b"), F.lit(1).alias("g"))))
     d = d.select(*df.columns, F.explode(ends.otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("g"))))).alias("_at"))
-    w = Window.partitionBy("_at.b").orderBy("_at.g", key, tie)
+    w = Window.partitionBy("_at.b").orderBy("_at.g", key, tie, "_end")
     d = d.select(*df.columns, F.col("_at.g").alias("_g"), *(F.lead(v).over(w).alias(f"next_{v}") for v in values))
     return d.filter("_g = 0").drop("_g")
 
 
+def within_keys(df: DataFrame, key: str, tie: str, values: list[str], pieces: int) -> tuple[DataFrame, DataFrame]:
+    """Of keys with many rows: the rows that aren't the last of their key, with ``next_<v>``, and the outermost rows, with
+    ``_end`` 1 for the first and 2 for the last (also where that is the only one).
+
+    Rows are range-partitioned by key, tie and place in the input, so that even equal rows are spread. The successor of a
+    partition's last row is the first of the next one: one row a partition crosses over.
+    """
+    order = [key, tie, "_row"]
+    d = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(pieces, *order)
+    d = common.materialize(d.withColumn("_part", F.spark_partition_id()), "repeats")
+    seen = d.groupBy(key).agg(F.min(F.struct(tie, "_row"))["_row"].alias("_first"), F.max(F.struct(tie, "_row"))["_row"].alias("_last"))
+    d = d.join(F.broadcast(common.materialize(seen, "outermost")), key)  # a row a key
+    last = F.col("_row") == F.col("_last")
+    ends = d.filter(last | (F.col("_row") == F.col("_first"))).select(*df.columns, F.when(last, 2).otherwise(1).alias("_end"))
+    heads = d.groupBy("_part").agg(F.min_by(F.struct(*values), F.struct(*order)).alias("_v"))
+    heads = heads.select("_part", F.lead("_v").over(Window.orderBy("_part")).alias("_over"))
+    w = Window.partitionBy("_part").orderBy(*order)
+    d = d.select("*", F.lead(F.struct(*values)).over(w).alias("_next")).join(heads, "_part")
+    after = F.coalesce("_next", "_over")
+    return d.filter(~last).select(*df.columns, *(after[v].alias(f"next_{v}") for v in values)), ends
+
+
 def edits(docs: DataFrame) -> DataFrame:
     """Each document with its fingerprint, that of its edited text, and the likeness to it and to the next document.
 
