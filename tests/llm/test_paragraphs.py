@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +73,20 @@ def test_counts_of_many_equal_lines_dont_wrap(spark):
     assert near == pytest.approx(1.0) and far < 0.3
 
 
+def test_bit_counts_are_those_of_plain_python(spark):
+    rnd = random.Random(4)
+    texts = [None, "", "\n", ". . ", "a. b", *("\n".join(str(rnd.random()) for _ in range(n)) for n in (1, 30, 31, 32, 61, 62, 63, 500))]
+
+    def counts(text):
+        hs = [hashlib.sha256(x.encode()).hexdigest() for x in re.split(fp.SENTENCE, text or "") if x]
+        ws = [[int(h[15 * k : 15 * k + 15], 16) for k in range(fp.WORDS)] for h in hs]
+        return [sum((w[k] >> j & 1) + ((w[k] >> j + fp.BITS & 1) << fp.BITS) for w in ws) for k in range(fp.WORDS) for j in range(fp.BITS)], len(hs)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {r["i"]: (r["f"]["lanes"], r["f"]["n"]) for r in fp.with_fingerprint(df, "t", "f").collect()}
+    assert [got[i] for i in range(len(texts))] == [counts(t) for t in texts]
+
+
 @pytest.mark.parametrize("shape", ["unique", "one", "equal", "hot", "hot_first", "hot_last", "several"])
 def test_successors_where_ids_repeat(spark, shape):
     """An id may have most rows, all rows equal or not, and be the first, the last or between others."""

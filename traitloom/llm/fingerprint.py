@@ -37,6 +37,8 @@ WIDE = 32
 BITS = 30
 LOW = (1 << BITS) - 1
 ONE = 1 | 1 << BITS
+#: Width of the fields in which a block's bits are counted; it divides ``BITS``, so that both lanes are cut alike.
+FIELD = 5
 SENTENCE = r"\. |\n"
 
 
@@ -59,13 +61,27 @@ def paragraph_hashes(text: Column) -> Column:
 
 
 def lanes(hashes: Column) -> Column:
-    """How many sentences have each bit, two counts to a bigint."""
+    """How many sentences have each bit, two counts to a bigint.
+
+    Sentences are counted by blocks of as many as a field of ``FIELD`` bits can count: one addition counts every
+    ``FIELD``-th bit of a number, and only the blocks' counts are taken apart bit by bit.
+    """
     zero = F.lit(0).cast("bigint")
+    ones = F.lit(sum(1 << i for i in range(0, 2 * BITS, FIELD)))
+    size = (1 << FIELD) - 1
+    pair = F.lit(size | size << BITS)
+
+    def counted(block: Column, k: int, j: int) -> Column:
+        return F.aggregate(block, zero, lambda a, w: a + F.shiftright(w[k], j).bitwiseAND(ones))
 
-    def counted(k: int, j: int) -> Column:
-        return F.aggregate(hashes, zero, lambda a, w: a + F.shiftright(w[k], j).bitwiseAND(F.lit(ONE)))
+    numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(hashes) - 1) / size)).cast("int"))
+    blocks = F.transform(numbers, lambda c: F.slice(hashes, c * size + 1, size))
+    blocks = F.transform(blocks, lambda b: F.array(*(counted(b, k, j) for k in range(WORDS) for j in range(FIELD))))
 
-    return F.array(*(counted(k, j) for k in range(WORDS) for j in range(BITS)))
+    def total(bs: Column, k: int, j: int) -> Column:
+        return F.aggregate(bs, zero, lambda a, x: a + F.shiftright(x[k * FIELD + j % FIELD], j - j % FIELD).bitwiseAND(pair))
+
+    return F.transform(F.array(blocks), lambda bs: F.array(*(total(bs, k, j) for k in range(WORDS) for j in range(BITS))))[0]
 
 
 def wide_sums(hashes: Column) -> Column:
@@ -95,9 +111,9 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
 
 def text_of(f: Column) -> Column:
     """The fingerprint as a string: paragraphs, sentences, lane sums, counts."""
-    sums = F.array_join(F.transform(f["sums"], lambda v: F.lower(F.lpad(F.hex(v), 15, "0"))), "")
-    counts = F.array_join(F.transform(f["lanes"], lambda v: F.lower(F.hex(v))), ",")
-    return F.concat_ws(":", f["p"].cast("string"), f["n"].cast("string"), sums, counts)
+    sums = F.array_join(F.transform(f["sums"], lambda v: F.lpad(F.hex(v), 15, "0")), "")
+    counts = F.array_join(F.transform(f["lanes"], lambda v: F.hex(v)), ",")
+    return F.concat_ws(":", f["p"].cast("string"), f["n"].cast("string"), F.lower(sums), F.lower(counts))
 
 
 def combined(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
@@ -124,24 +140,23 @@ def same_paragraphs(a: Column, b: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: the cosine of the counts read as sums of +1 and -1."""
 
-    def signed(v: Column, n: Column) -> Column:
-        lane = lambda c: (2 * c - n).cast("double")
-        return F.struct(lane(v.bitwiseAND(F.lit(LOW))).alias("x"), lane(F.shiftright(v, BITS)).alias("y"))
-
-    zero = F.struct(*(F.lit(0.0).alias(c) for c in ("xx", "yy", "xy")))
+    def signed(f: Column) -> Column:
+        lane = lambda c: (2 * c - f["n"]).cast("double")
+        return F.flatten(F.transform(f["lanes"], lambda v: F.array(lane(v.bitwiseAND(F.lit(LOW))), lane(F.shiftright(v, BITS)))))
 
-    def step(t: Column, uv: Column) -> Column:
-        u, v = uv["u"], uv["v"]
-        dot = lambda p, q: p["x"] * q["x"] + p["y"] * q["y"]
-        return F.struct((t["xx"] + dot(u, u)).alias("xx"), (t["yy"] + dot(v, v)).alias("yy"), (t["xy"] + dot(u, v)).alias("xy"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda t, x: t + x)
+    squares = lambda xs: F.aggregate(xs, F.lit(0.0), lambda t, x: t + x * x)
 
-    pairs = F.zip_with(a["lanes"], b["lanes"], lambda x, y: F.struct(signed(x, a["n"]).alias("u"), signed(y, b["n"]).alias("v")))
+    def measured(v: Column) -> Column:
+        return F.struct((F.sqrt(squares(v["a"])) * F.sqrt(squares(v["b"]))).alias("size"), total(F.zip_with(v["a"], v["b"], lambda x, y: x * y)).alias("dot"))
 
-    def done(t: Column) -> Column:
-        size = F.sqrt(t["xx"]) * F.sqrt(t["yy"])
-        return F.when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), t["xy"] / size))).otherwise(F.when((a["n"] == 0) & (b["n"] == 0), 1.0).otherwise(0.0))
+    def cosine(m: Column) -> Column:
+        near = F.least(F.lit(1.0), F.greatest(F.lit(0.0), m["dot"] / m["size"]))
+        return F.when(m["size"] > 0, near).otherwise(F.when((a["n"] == 0) & (b["n"] == 0), 1.0).otherwise(0.0))
 
-    return F.aggregate(pairs, zero, step, done)
+    # arrays and sums are made once, then met by their names
+    both = F.array(F.struct(signed(a).alias("a"), signed(b).alias("b")))
+    return F.transform(F.transform(both, measured), cosine)[0]
 
 
 def with_next(df: DataFrame, key: str, tie: str, values: list[str], pieces: int, least: int = 64) -> DataFrame:
