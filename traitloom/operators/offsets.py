@@ -64,6 +64,22 @@ def zscores(fpm: DataFrame) -> DataFrame:
     return fpm.select("feature_ix", "sample_ix", ((v - F.avg(v).over(by_feature())) / F.nullif(F.stddev_samp(v).over(by_feature()), F.lit(0.0))).alias("z"))
 
 
+def weighted_scale(rows: DataFrame, group: str, x: str, w: str, out: str = "z") -> DataFrame:
+    """Add ``out``: ``x`` by ``group``, less its weighted mean, over its weighted spread (divisor: the sum of weights).
+
+    Null and NaN are no values: they take no part and become 0, as does all of a group that has no spread (below 1e-9
+    of the mean's size) or no weight. A null weight is 0.
+    """
+    whole = Window.partitionBy("_g")
+    v = F.nanvl(F.col(x).cast("double"), F.lit(None).cast("double"))
+    d = rows.select(F.struct(*rows.columns).alias("_row"), F.col(group).alias("_g"), v.alias("_x"), F.when(v.isNotNull(), F.coalesce(F.col(w).cast("double"), F.lit(0.0))).alias("_w"))
+    n = F.nullif(F.sum("_w").over(whole), F.lit(0.0))
+    d = d.withColumn("_d", F.col("_x") - F.sum(F.col("_w") * F.col("_x")).over(whole) / n)
+    d = d.withColumn("_s", F.sqrt(F.sum(F.col("_w") * F.col("_d") * F.col("_d")).over(whole) / n))
+    some = F.col("_d").isNotNull() & (F.col("_s") > 1e-9 * F.greatest(F.lit(1.0), F.abs(F.col("_x") - F.col("_d"))))
+    return d.select("_row.*", F.when(some, F.col("_d") / F.col("_s")).otherwise(0.0).alias(out))
+
+
 def gram(z: DataFrame) -> DataFrame:
     """Sample by sample sums of products over features: each task adds up its features' part, then one sum of parts."""
     rows = z.filter("z is not null").groupBy("feature_ix").agg(F.collect_list("sample_ix").alias("s"), F.collect_list("z").alias("z"))

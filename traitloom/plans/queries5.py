@@ -278,6 +278,21 @@ def run_report(s):
     return d.select("feature_ix", "variant_id", "chrom", "pos", "ref", "alt", *(rd(F.col(c), n).alias(c) for c, n in (("af", 6), ("hwe", 4), ("rsq", 6))), "n_tested", F.col("n_feature").cast("bigint").alias("n_feature"))
 
 
+SCALED = {
+    "lr": "SELECT variant_ix, sample_ix, CASE WHEN as_ref > 0 AND as_alt > 0 THEN ln(as_ref / as_alt::DOUBLE) END AS x, w FROM as_counts JOIN wt USING (sample_ix)",
+    "md": "SELECT *, x - sum(w * x) OVER f / nullif(sum(w) FILTER (WHERE x IS NOT NULL) OVER f, 0) AS d, sum(w) FILTER (WHERE x IS NOT NULL) OVER f AS n FROM lr WINDOW f AS (PARTITION BY variant_ix)",
+    "sd": "SELECT *, sqrt(sum(w * d * d) OVER (PARTITION BY variant_ix) / nullif(n, 0)) AS s FROM md",
+}
+
+
+@query(sql(f"SELECT variant_ix, sample_ix, {r('CASE WHEN d IS NOT NULL AND s > 1e-9 * greatest(1.0, abs(x - d)) THEN d / s ELSE 0.0 END')} AS z FROM sd", wt=WEIGHTS, **SCALED))
+def weighted_scale(s):
+    """Log allelic ratios of each variant, scaled with samples counted by weight; without reads of both alleles there is none."""
+    d = s.as_counts().join(F.broadcast(sample_weights(s)), "sample_ix")  # a row a sample
+    d = d.withColumn("x", F.when((F.col("as_ref") > 0) & (F.col("as_alt") > 0), F.ln(F.col("as_ref") / F.col("as_alt"))))
+    return O.weighted_scale(d, "variant_ix", "x", "w").select("variant_ix", "sample_ix", rd(F.col("z")).alias("z"))
+
+
 @query()
 def lead_fit_report(s):
     """The best variant of each feature by the fitted ratio, with the ties resolved by distance."""

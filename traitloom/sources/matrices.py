@@ -17,8 +17,9 @@ def read_table(spark: SparkSession, path: str, value: str = "y") -> DataFrame:
 
 
 def read_covariates(spark: SparkSession, path: str) -> DataFrame:
-    """An array ``x`` a line, in file order (a line a sample, so one small file)."""
-    rows = [[float(v) for v in r[0].split("\t")] for r in spark.read.text(path).collect() if r[0]]
+    """An array ``x`` a line, in the order of lines, of several files by their paths (a line a sample, so small files)."""
+    files = spark.read.option("wholetext", True).text(path).select("value", "_metadata.file_path").orderBy("file_path").collect()
+    rows = [[float(v) for v in line.split("\t")] for f in files for line in f["value"].splitlines() if line]
     return spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "sample_ix long, x array<double>")
 
 
