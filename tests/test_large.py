@@ -1,5 +1,10 @@
 """What plans do where tables are large, told from estimates and from small tables."""
 
+import pytest
+from pyspark.sql import functions as F
+
+from traitloom.operators import genotype as G
+from traitloom.plans.queries5 import QUERIES
 from traitloom.sources.adapter import Study
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +25,14 @@ def test_variants_are_never_sent_to_the_driver(spark):
     d = s.as_counts().join(s.variants().select("variant_ix", "chrom"), "variant_ix").join(s.records().select("variant_ix", "format"), "variant_ix")
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin [variant_ix") == 2
+
+
+def test_certain_genotypes_have_certain_alleles(spark):
+    d = spark.createDataFrame([([1.0, 0.0, 0.0], 0, 0), ([0.0, 1.0, 0.0], 1, 0), ([0.0, 0.0, 1.0], 1, 1), ([0.2, 0.3, 0.5], None, None)], "g array<double>, h1 int, h2 int")
+    got = [tuple(r["a"]) for r in d.select(G.gl2ap(F.col("g"), F.col("h1"), F.col("h2")).alias("a")).collect()]
+    assert got == [(0, 0), (1, 0), (1, 1), pytest.approx((0.65, 0.65))]
+
+
+def test_all_modes_take_one_pass(spark):
+    plan = QUERIES["prior_modes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lineitem") <= 2 and plan.count("l_partkey") and "Union" not in plan
