@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from traitloom.operators import genotype as G
 from traitloom.plans.queries5 import QUERIES
+from traitloom.sources import bam
 from traitloom.sources.adapter import Study
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +37,19 @@ def test_certain_genotypes_have_certain_alleles(spark):
 def test_all_modes_take_one_pass(spark):
     plan = QUERIES["prior_modes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lineitem") <= 2 and plan.count("l_partkey") and "Union" not in plan
+
+
+def test_positions_beyond_the_index_are_kept(spark, tmp_path):
+    far = (1 << 29) + 5000
+    rows = [(f"r{i}", 99, "chr1", p, 30, "10M", "=", p, 10, "ACGTACGTAC", ["XM:i:1"]) for i, p in enumerate((100, far, far + 50))]
+    d = spark.createDataFrame(rows, "qname string, flag int, chrom string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, tags array<string>")
+    bam.write(d, str(tmp_path / "b"), [("chr1", far + 10**6), *((f"c{i}", 10) for i in range(3000))])
+    assert sorted(r["pos"] for r in bam.read(spark, str(tmp_path / "b")).collect()) == [100, far, far + 50]
+    assert [r["qname"] for r in bam.read(spark, str(tmp_path / "b"), ("chr1", far - 5, far + 20)).collect()] == ["r1"]
+
+
+def test_references_are_joined_not_searched(spark, tmp_path, monkeypatch):
+    d = spark.createDataFrame([("r", 99, "c7", 5, 30, "4M", "=", 5, 4, "ACGT", [])], "qname string, flag int, chrom string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, tags array<string>")
+    monkeypatch.setattr(F, "create_map", None)
+    bam.write(d, str(tmp_path / "b"), [(f"c{i}", 10) for i in range(20)])
+    assert bam.read(spark, str(tmp_path / "b")).first()["chrom"] == "c7"

@@ -17,6 +17,7 @@ import json
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ SCHEMA = "path string, qname string, flag int, chrom string, pos long, mapq int,
 BASES = "=ACMGRSVTWYHKDBN"
 OPS = "MIDNSHP=X"
 PAIRS = np.array([(a + b).encode() for a in BASES for b in BASES], "S2")
-CODES = bytes(BASES.find(chr(c).upper()) if BASES.find(chr(c).upper()) >= 0 else 15 for c in range(256))
+HEX = bytes(ord("0123456789abcdef"[BASES.find(chr(c).upper()) if BASES.find(chr(c).upper()) >= 0 else 15]) for c in range(256))
 FORMS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 HEAD = struct.Struct("<iiiBBHHHiiii")
 
@@ -172,6 +173,7 @@ def tags_of(raw: bytes) -> list[str]:
     return out
 
 
+@lru_cache(1 << 14)
 def tag_bytes(tag: str) -> bytes:
     name, kind, value = tag.split(":", 2)
     head = name.encode("latin-1") + kind.encode()
@@ -191,6 +193,19 @@ def cigar_of(ops: tuple[int, ...]) -> str:
     return "".join(f"{x >> 4}{OPS[x & 15]}" for x in ops) or "*"
 
 
+@lru_cache(1 << 14)
+def cigar_bytes(cigar: str) -> tuple[int, bytes, int]:
+    """Number and bytes of a CIGAR's operations, and the bases of the reference that it covers."""
+    ops, number = [], ""
+    for c in "" if cigar == "*" else cigar:
+        if c.isdigit():
+            number += c
+        else:
+            ops.append(int(number) << 4 | OPS.index(c))
+            number = ""
+    return len(ops), struct.pack(f"<{len(ops)}I", *ops), reach(tuple(ops))
+
+
 def reach(ops: tuple[int, ...]) -> int:
     """Bases of the reference that a CIGAR covers."""
     return sum(x >> 4 for x in ops if x & 15 in (0, 2, 3, 7, 8))
@@ -340,7 +355,7 @@ class BamWriter(DataSourceArrowWriter):
                     at = out.tell() if at is None else at
                     out.write(record, self.whole)
                     if index and ref >= 0:
-                        if (ref, pos) < last:
+                        if (ref, pos) < last or max(after, pos + 1, 1) > bgzf.REACH:  # no index has such positions: readers scan
                             index = None
                         else:
                             index.add(ref, max(0, pos), max(after, pos + 1, 1), at, out.tell())
@@ -357,21 +372,15 @@ class BamWriter(DataSourceArrowWriter):
     def record(r: dict, refs: dict[str, int]) -> tuple[bytes, int, int, int]:
         """A row as a record, its reference and range."""
         name = (r["qname"] or "*").encode("latin-1") + b"\0"
-        ops, number = [], ""
-        for c in "" if r["cigar"] in (None, "*") else r["cigar"]:
-            if c.isdigit():
-                number += c
-            else:
-                ops.append(int(number) << 4 | OPS.index(c))
-                number = ""
-        seq = b"" if r["seq"] in (None, "*") else r["seq"].encode("latin-1").translate(CODES)
-        pairs = np.frombuffer(seq + b"\0" * (len(seq) % 2), np.uint8)
+        n_ops, ops, length = cigar_bytes(r["cigar"] or "*")
+        seq = b"" if r["seq"] in (None, "*") else r["seq"].encode("latin-1").translate(HEX)
+        pairs = bytes.fromhex((seq + b"0" * (len(seq) % 2)).decode())
         ref, pos = refs[r["chrom"] or "*"], (r["pos"] or 0) - 1
         ref2 = ref if r["rnext"] == "=" else refs[r["rnext"] or "*"]
-        after = pos + max(1, reach(tuple(ops)))
-        rest = name + struct.pack(f"<{len(ops)}I", *ops) + (pairs[::2] << 4 | pairs[1::2]).tobytes() + b"\xff" * len(seq) + b"".join(map(tag_bytes, r["tags"] or []))
+        after = pos + max(1, length)
+        rest = name + ops + pairs + b"\xff" * len(seq) + b"".join(map(tag_bytes, r["tags"] or []))
         where = bgzf.bin_of(max(0, pos), max(after, pos + 1, 1)) if ref >= 0 else 4680
-        return HEAD.pack(len(rest) + 32, ref, pos, len(name), r["mapq"] or 0, where, len(ops), r["flag"] or 0, len(seq), ref2, (r["pnext"] or 0) - 1, r["tlen"] or 0) + rest, ref, pos, after
+        return HEAD.pack(len(rest) + 32, ref, pos, len(name), r["mapq"] or 0, where, n_ops, r["flag"] or 0, len(seq), ref2, (r["pnext"] or 0) - 1, r["tlen"] or 0) + rest, ref, pos, after
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store.publish(self.path, messages)
@@ -401,8 +410,8 @@ def write(alignments: DataFrame, path: str, references: Iterable[tuple[str, int]
     spark = alignments.sparkSession
     spark.dataSource.register(BamSource)
     references = list(references)
-    order = F.create_map(*(x for i, (a, _) in enumerate(references) for x in (F.lit(a), F.lit(i)))) if references else F.create_map()
-    d = alignments.withColumn("_ref", F.coalesce(F.try_element_at(order, "chrom"), F.lit(1 << 30)))
+    order = spark.createDataFrame([(a, i) for i, (a, _) in enumerate(references)], "chrom string, _ref int")  # a row a reference
+    d = alignments.join(F.broadcast(order), "chrom", "left").withColumn("_ref", F.coalesce("_ref", F.lit(1 << 30)))
     d = d.repartitionByRange("_ref", "pos").sortWithinPartitions("_ref", "pos")
     names = [c.split()[0] for c in SCHEMA.split(", ")][1:-1]
     d.select(*names).write.format("bam").option("references", json.dumps(references)).option("whole", str(whole).lower()).mode("append").save(path)
