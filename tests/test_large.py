@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from traitloom.operators import genotype as G
+from traitloom.operators import matrix
 from traitloom.plans.queries5 import QUERIES
 from traitloom.sources import bam
 from traitloom.sources.adapter import Study
@@ -53,3 +54,16 @@ def test_references_are_joined_not_searched(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(F, "create_map", None)
     bam.write(d, str(tmp_path / "b"), [(f"c{i}", 10) for i in range(20)])
     assert bam.read(spark, str(tmp_path / "b")).first()["chrom"] == "c7"
+
+
+def test_covariates_compute_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(y):
+        seen.add(1)
+        return y
+
+    rows = [(f, s, (f * 7 + s * s * 3) % 11 + 1, 1.0 + s / 10) for f in range(20) for s in range(5)]
+    d = spark.createDataFrame(rows, "feature_ix long, sample_ix long, y long, k double").withColumn("y", F.udf(noted, "long")("y"))
+    matrix.covariates(d).collect()
+    assert seen.value == len(rows)
