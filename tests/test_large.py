@@ -1,10 +1,12 @@
 """What plans do where tables are large, told from estimates and from small tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from traitloom.operators import fit, matrix
 from traitloom.operators import genotype as G
-from traitloom.operators import matrix
+from traitloom.plans import queries3
 from traitloom.plans.queries5 import QUERIES
 from traitloom.sources import bam
 from traitloom.sources.adapter import Study
@@ -67,3 +69,30 @@ def test_covariates_compute_their_input_once(spark):
     d = spark.createDataFrame(rows, "feature_ix long, sample_ix long, y long, k double").withColumn("y", F.udf(noted, "long")("y"))
     matrix.covariates(d).collect()
     assert seen.value == len(rows)
+
+
+def test_inputs_of_fits_are_written_before_they_meet(spark):
+    plan = queries3.block(Study(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "p_partkey" not in plan
+
+
+def test_customers_are_never_sent_to_the_driver(spark):
+    plan = Study(spark, SF)._lines()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [o_custkey" not in plan and "SortMergeJoin [o_custkey" in plan
+
+
+def test_posterior_haplotypes_need_no_shuffle(spark):
+    d = QUERIES["posterior_haps"](spark, SF)
+    assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+    r = queries3.fitted(Study(spark, SF)).orderBy("feature_ix", "variant_ix").first()
+    got = d.filter((F.col("feature_ix") == r["feature_ix"]) & (F.col("variant_ix") == r["variant_ix"])).orderBy("sample_ix").collect()
+    assert [x for g in got for x in (g["z1"], g["z2"])] == r["haplotypes"] and [g["sample_ix"] for g in got] == list(range(len(got)))
+
+
+def test_few_reads_need_no_log_gamma(monkeypatch):
+    x, n = np.random.default_rng(1).uniform(1e-3, 50, (3, 6, 10)), np.array([0, 1, 2, 5, 16, 40.0])
+    want = [a - b for a, b in zip(fit.gammas(x + n[None, :, None], 2), fit.gammas(x, 2), strict=True)]
+    for a, b in zip(fit.rises(x, n, 2), want, strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-8, atol=1e-8)
+    monkeypatch.setattr(fit, "gammas", None)
+    fit.rises(x[:, :5], n[:5], 2)

@@ -9,17 +9,13 @@ from ..operators import fit, matrix
 from ..operators import genotype as G
 from ..operators import offsets as O
 from ..sources import store
-from .queries import FEAT, PRIORS, QUERIES, Study, kept, priors, quality, query, tested
+from .queries import FEAT, PRIORS, QUERIES, Study, kept, normed, priors, quality, query, tested
 from .oracle import r, sql
 from .queries2 import ORACLE, B, assoc, rd
 
 __all__ = ["ORACLE", "QUERIES"]
 
 
-def block(s: Study):
-    return fit.blocks(O.normalise(s.offsets()), kept(s), priors(s), s.as_counts())
-
-
 @query()
 def nb_glm_fit(s):
     return fit.glm_fit(O.normalise(s.offsets()), s.covariates(), ["x1", "x2"])
@@ -37,6 +33,26 @@ def once(s: Study, kind: str, make):
     return _written[key]
 
 
+class Held(Study):
+    """A study whose tables are written once a session: each join of the fits' inputs is a job of its own.
+
+    In one job the lines' join would run a dozen times side by side, with more sorts at once than tasks have memory for. The
+    tables meet others by shuffles, as they grow with the input.
+    """
+
+    def held(self, kind: str, make):
+        return once(self, f"study-{kind}", make).hint("merge")
+
+
+def held(s: Study) -> Held:
+    return s if isinstance(s, Held) else Held(s.spark, s.sf_dir)
+
+
+def block(s: Study):
+    s = held(s)
+    return fit.blocks(normed(s), kept(s), priors(s), s.as_counts())
+
+
 def blocked(s: Study):
     return once(s, "blocks", lambda: block(s))
 
@@ -46,6 +62,7 @@ def nulls(s: Study):
 
 
 def fitted(s: Study):
+    s = held(s)
     return once(s, "fits", lambda: fit.alt_fit(tested(s), priors(s), blocked(s), nulls(s).filter("model <> 'imprint'")))
 
 
@@ -71,8 +88,8 @@ def em_fit(s):
 
 @query()
 def posterior_haps(s):
-    d = fitted(s).select("feature_ix", "variant_ix", F.posexplode("haplotypes").alias("i", "z"))
-    return d.groupBy("feature_ix", "variant_ix", F.floor(F.col("i") / 2).alias("sample_ix")).agg(F.max(F.when(F.col("i") % 2 == 0, F.col("z"))).alias("z1"), F.max(F.when(F.col("i") % 2 == 1, F.col("z"))).alias("z2"))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("haplotypes") / 2).cast("int") - 1), lambda i: F.struct(i.cast("bigint").alias("sample_ix"), F.get("haplotypes", 2 * i).alias("z1"), F.get("haplotypes", 2 * i + 1).alias("z2")))
+    return fitted(s).filter(F.size("haplotypes") > 1).select("feature_ix", "variant_ix", F.explode(pairs).alias("h")).select("feature_ix", "variant_ix", "h.*")
 
 
 @query()
@@ -82,7 +99,7 @@ def posterior_feature_haps(s):
 
     best = F.row_number().over(Window.partitionBy("feature_ix").orderBy(F.desc("lr"), "variant_ix"))
     lead = fitted(s).filter("joint").withColumn("_rn", best).filter("_rn = 1").drop("_rn")
-    return fit.feature_haplotypes(lead, priors(s), block(s))
+    return fit.feature_haplotypes(lead, priors(held(s)), blocked(s))
 
 
 @query()
@@ -90,6 +107,7 @@ def assoc_report(s):
     """The full report: 25 columns, a row a tested pair."""
     from ..operators import report
 
+    s = held(s)
     v = s.variants().select("variant_ix", "ref", "alt").join(quality(s).select("variant_ix", "af", "hwe"), "variant_ix")
     rsq = s.variants().select("variant_ix", F.coalesce("rsq", F.lit(1.0)).alias("rsq"))
     d = tested(s).join(fitted(s), ["feature_ix", "variant_ix"]).join(v, "variant_ix").join(rsq, "variant_ix").join(s.features().select("feature_ix", "feature_id"), "feature_ix")
