@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from traitloom.operators import fit, matrix
+from traitloom.operators import fit, intervals, matrix
 from traitloom.operators import genotype as G
 from traitloom.plans import queries3
 from traitloom.plans.queries5 import QUERIES
@@ -96,3 +96,10 @@ def test_few_reads_need_no_log_gamma(monkeypatch):
         np.testing.assert_allclose(a, b, rtol=1e-8, atol=1e-8)
     monkeypatch.setattr(fit, "gammas", None)
     fit.rises(x[:, :5], n[:5], 2)
+
+
+def test_trans_pairs_of_one_bin_are_dealt_to_many_tasks(spark):
+    v = spark.createDataFrame([(i, "c1", 10 * i) for i in range(2000)], "variant_ix long, chrom string, pos long")
+    f = spark.createDataFrame([(j, "c2", 5) for j in range(20)], "feature_ix long, chrom string, tss long")
+    n = [r["count"] for r in intervals.outside(v, f, 100).select("feature_ix", "variant_ix").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(n) == 40_000 and len(n) >= 8 and max(n) < 20_000
