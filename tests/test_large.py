@@ -103,3 +103,8 @@ def test_trans_pairs_of_one_bin_are_dealt_to_many_tasks(spark):
     f = spark.createDataFrame([(j, "c2", 5) for j in range(20)], "feature_ix long, chrom string, tss long")
     n = [r["count"] for r in intervals.outside(v, f, 100).select("feature_ix", "variant_ix").groupBy(F.spark_partition_id()).count().collect()]
     assert sum(n) == 40_000 and len(n) >= 8 and max(n) < 20_000
+
+
+@pytest.mark.parametrize("name", ["frag_overlap_semi", "frag_overlap_anti", "frag_tally", "as_dosage"])
+def test_fragments_are_paired_once(spark, name):
+    assert "Window" not in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()

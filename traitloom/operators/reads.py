@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import store
 from .intervals import bins
 
 MISSING = 10_000_000
@@ -154,11 +155,24 @@ def allele_counts(cover: DataFrame, *more: str) -> DataFrame:
 
 def expected_dosage(cover: DataFrame) -> DataFrame:
     """Each covering block counts one over the number of its fragment's blocks that hold a marker."""
+    cover = store.written(cover.select("qname", "block", "chrom", "pos", "variant_id"), "cover")  # pairing and blocks once
     n = cover.groupBy("qname").agg(F.count_distinct("block").alias("_n"))
     return cover.join(n, "qname").groupBy("chrom", "pos", "variant_id").agg(F.sum(1.0 / F.col("_n")).alias("ds"))
 
 
 def overlapping(fragments: DataFrame, markers: DataFrame, anti: bool = False, width: int = 512) -> DataFrame:
-    """Fragments with a countable marker in a matching block, or those without."""
-    hit = covered(fragments, markers, width).select("qname").distinct()
-    return fragments.join(hit, "qname", "left_anti" if anti else "left_semi")
+    """Fragments with a countable marker in a matching block, or those without. They are paired once and written."""
+    fragments = store.written(fragments, "fragments")
+    return fragments.join(touched(fragments, markers, width), "qname", "left_anti" if anti else "left_semi")
+
+
+def touched(fragments: DataFrame, markers: DataFrame, width: int = 512) -> DataFrame:
+    """``qname`` of the fragments with a countable marker in a matching block, each once."""
+    return covered(fragments, markers, width).select("qname").distinct()
+
+
+def overlap_tally(fragments: DataFrame, markers: DataFrame, width: int = 512) -> DataFrame:
+    """How many ``fragments`` there are, and how many are ``overlapping``. They are paired once and written."""
+    fragments = store.written(fragments.select("qname", "sample_ix", "chrom", "left", "cigar", "seq"), "fragments")
+    hit = touched(fragments, markers, width).withColumn("hit", F.lit(1))
+    return fragments.select("qname").join(hit, "qname", "left").agg(F.count("*").alias("fragments"), F.count("hit").alias("overlapping"))
