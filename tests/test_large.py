@@ -108,3 +108,22 @@ def test_trans_pairs_of_one_bin_are_dealt_to_many_tasks(spark):
 @pytest.mark.parametrize("name", ["frag_overlap_semi", "frag_overlap_anti", "frag_tally", "as_dosage"])
 def test_fragments_are_paired_once(spark, name):
     assert "Window" not in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["nb_glm_fit_own", "nb_glm_check"])
+def test_covariate_fits_read_lines_once(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
+
+
+def test_a_covariate_fit_takes_one_pass_a_step(monkeypatch):
+    rnd, calls, plain = np.random.default_rng(2), [], fit.gammas
+    x = np.column_stack([np.ones(40), rnd.normal(size=(40, 3))])
+    y, k = rnd.negative_binomial(4, 0.2, 40).astype(float), rnd.uniform(0.7, 1.3, 40)
+    monkeypatch.setattr(fit, "gammas", lambda *a: calls.append(1) or plain(*a))
+    coef, theta, ll, itr = fit.glm(y, k, x)
+    assert len(calls) < 4 * itr + 6  # without numerical derivatives
+    mean = k * np.exp(x @ coef)
+    slope = x.T @ (y - mean * (y + theta) / (mean + theta))
+    slope[1:] -= coef[1:] / 1e4
+    assert np.abs(slope).max() < 1e-5
