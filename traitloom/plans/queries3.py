@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import fit, matrix
 from ..operators import genotype as G
 from ..operators import offsets as O
-from ..sources import store
-from .queries import FEAT, PRIORS, QUERIES, Study, kept, normed, priors, quality, query, tested
+from .queries import FEAT, PRIORS, QUERIES, Study, held, kept, normed, once, priors, quality, query, tested
 from .oracle import r, sql
 from .queries2 import ORACLE, B, assoc, rd
 
@@ -21,33 +20,6 @@ def nb_glm_fit(s):
     return fit.glm_fit(O.normalise(s.offsets()), s.covariates(), ["x1", "x2"])
 
 
-#: Fits that were written, by application, tables and kind.
-_written: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def once(s: Study, kind: str, make):
-    """What ``make`` gives, fitted once a session and study and read from then on: minutes of fits serve several queries."""
-    key = (s.spark.sparkContext.applicationId, s.sf_dir, kind)
-    if key not in _written:
-        _written[key] = store.written(make(), kind)
-    return _written[key]
-
-
-class Held(Study):
-    """A study whose tables are written once a session: each join of the fits' inputs is a job of its own.
-
-    In one job the lines' join would run a dozen times side by side, with more sorts at once than tasks have memory for. The
-    tables meet others by shuffles, as they grow with the input.
-    """
-
-    def held(self, kind: str, make):
-        return once(self, f"study-{kind}", make).hint("merge")
-
-
-def held(s: Study) -> Held:
-    return s if isinstance(s, Held) else Held(s.spark, s.sf_dir)
-
-
 def block(s: Study):
     s = held(s)
     return fit.blocks(normed(s), kept(s), priors(s), s.as_counts())
