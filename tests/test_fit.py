@@ -228,3 +228,51 @@ def test_sure_phase_and_homozygotes():
     assert got[0, 0] > 0.99 and got[0, 1] < 0.01 and got[1].tolist() == [0.5, 0.5]
     assert np.allclose(fit.phased(h, z[:, ::-1])[0, 0], got[0, ::-1])
     assert got[2].tolist() == [1, 1] and got[3].tolist() == [0, 0]
+
+
+def many(n=5):
+    out = []
+    for seed in range(n):
+        f, z = feature(seed, n=20 + seed, m=2 + seed % 2, effect=0.5 + seed / 20)
+        if seed == 1:
+            f.reads[:] = 0  # feature variants without reads
+        if seed == 2:
+            f.reads[:2] *= 40  # more reads than a product is for
+        if seed == 3:
+            f.ids, f.x, f.reads = [], f.x[:, :0], f.reads[:, :0]
+        out.append(f)
+    return out
+
+
+@pytest.mark.parametrize("model", [fit.Model(), fit.Model(as_only=True), fit.Model(fixed=("delta",))])
+def test_null_models_climb_together_as_alone(model, monkeypatch):
+    features, steps, plain = many(), [], fit.evaluate
+    for f in features:
+        f.model = model
+    alone = [f.nulls() for f in features]
+    tilted = [f.imprint(j) if j else None for f, (_, j) in zip(features, alone, strict=True)]
+    monkeypatch.setattr(fit, "evaluate", lambda *a, **k: steps.append(1) or plain(*a, **k))
+    together = fit.null_models(features)
+    assert len(steps) < 120  # not a pass a feature
+    some = [i for i, (_, j) in enumerate(together) if j]
+    mixed = fit.imprint_models([features[i] for i in some], [alone[i][1] for i in some])
+    assert [j is None for _, j in together] == [False, False, False, True, False]
+    for (p, j), (a, b) in zip(together, alone, strict=True):
+        assert p["ll"] == pytest.approx(a["ll"], abs=1e-8) and (j is None or j["ll"] == pytest.approx(b["ll"], abs=1e-8))
+    for i, x in zip(some, mixed, strict=True):
+        assert x["lr"] == pytest.approx(tilted[i]["lr"], abs=1e-7)
+
+
+def test_null_models_are_those_of_all_states():
+    """With ten states and three genotypes, as for tested variants, at pi one half: the same likelihood and slopes."""
+    for f in [many()[i] for i in (0, 2, 4)]:
+        f.w = np.random.default_rng(6).uniform(0.5, 2, len(f.y))
+        half = np.full((1, len(f.y), len(f.ids), 2), 0.5)
+        whole = f.data(np.tile(np.array([0.25, 0.5, 0.25]), (1, len(f.y), 1)), fit.diplotypes(half, f.x[None]))
+        own = f.data(f.alike, fit.genotypes(f.x)[None], (3, 4, 6))
+        p = np.array([[0.0, -2.0, 0.3, f.beta0 + 0.2, 1.0]])
+        a, b, c = (fit.evaluate(p, d, f.h, f.beta0, second=True) for d in (whole, own, fit.Alike([own], np.array([f.beta0]))))
+        for x in (b, c):
+            assert x[0] == pytest.approx(a[0], abs=1e-8)
+            assert x[1][:, 1:] == pytest.approx(a[1][:, 1:], abs=1e-7)
+            assert x[2][:, 1:, 1:] == pytest.approx(a[2][:, 1:, 1:], abs=1e-6)

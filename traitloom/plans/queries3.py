@@ -30,22 +30,22 @@ def blocked(s: Study):
 
 
 def nulls(s: Study):
-    return once(s, "nulls", lambda: fit.null_fit(blocked(s), imprint=True))
+    return once(s, "nulls", lambda: fit.null_fit(blocked(s)))
 
 
 def fitted(s: Study):
     s = held(s)
-    return once(s, "fits", lambda: fit.alt_fit(tested(s), priors(s), blocked(s), nulls(s).filter("model <> 'imprint'")))
+    return once(s, "fits", lambda: fit.alt_fit(tested(s), priors(s), blocked(s), nulls(s)))
 
 
 @query()
 def null_fit(s):
-    return nulls(s).filter("model <> 'imprint'")
+    return nulls(s)
 
 
 @query()
 def imprint_fit(s):
-    return nulls(s).filter("model = 'imprint'")
+    return once(s, "imprints", lambda: fit.imprint_fit(blocked(s), nulls(s)))
 
 
 @query()
