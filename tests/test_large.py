@@ -127,3 +127,11 @@ def test_a_covariate_fit_takes_one_pass_a_step(monkeypatch):
     slope = x.T @ (y - mean * (y + theta) / (mean + theta))
     slope[1:] -= coef[1:] / 1e4
     assert np.abs(slope).max() < 1e-5
+
+
+def test_a_whole_run_reads_lines_once(spark, monkeypatch):
+    from traitloom.plans import queries5
+
+    calls, plain = [], Study._lines
+    monkeypatch.setattr(Study, "_lines", lambda s: calls.append(1) or plain(s))
+    assert queries5.reported(Study(spark, SF)).count() and len(calls) <= 1
