@@ -174,3 +174,47 @@ def test_long_form_and_one_file(spark, tmp_path):
     assert [tuple(r) for r in matrices.read_binary(spark, f"{tmp_path}/x.bin", 4, rows=[3]).orderBy("sample_ix").collect()] == [(3, c, 30.0 + c) for c in range(4)]
     assert {r["column"] for r in matrices.read_binary(spark, f"{tmp_path}/x.bin", 9, by_sample=False).collect()} == {0, 1, 2, 3}
     assert matrices.write_binary(cells.limit(0), f"{tmp_path}/none.bin") == 0
+
+
+def test_records_are_encoded_and_decoded_by_columns(tmp_path, monkeypatch):
+    """Many rows take few passes: no row is decoded on its own, and what repeats is decoded once a batch."""
+    import json
+
+    import pyarrow as pa
+    import pyspark
+
+    class Task:
+        def partitionId(self):  # noqa: N802
+            return 0
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(Task))
+    n = 3000
+    names = [c.split()[0] for c in bam.SCHEMA.split(", ")][1:-1]
+    rows = [
+        ["", "r\xe9ad"][i % 500 == 3] + f"q{i}" for i in range(n)
+    ], [99 if i % 2 else 147 for i in range(n)], [None if i % 700 == 9 else "chr1" for i in range(n)], [None if i % 700 == 9 else 10 * i + 1 for i in range(n)], [i % 61 for i in range(n)], [None if i % 11 == 0 else f"{1 + i % 3}M2N1I" for i in range(n)], [("=", "*", "chr2", None)[i % 4] for i in range(n)], [i for i in range(n)], [i - 50 for i in range(n)], [None if i % 13 == 0 else "ACGTN"[: i % 6] or "*" for i in range(n)], [None if i % 17 == 0 else [f"NM:i:{i % 3}", f"XZ:Z:v{i % 2}", "XB:B:c,1,-2"][: i % 4] for i in range(n)]
+    types = {"flag": pa.int32(), "pos": pa.int64(), "mapq": pa.int32(), "pnext": pa.int64(), "tlen": pa.int64(), "tags": pa.list_(pa.string())}
+    table = pa.table({c: pa.array(v, types.get(c, pa.string())) for c, v in zip(names, rows, strict=True)})
+    w = bam.BamWriter({"path": str(tmp_path / "x"), "references": json.dumps([["chr1", 10**6], ["chr2", 10**6]])})
+    w.commit([w.write(iter([table.slice(0, 1000).to_batches()[0], *table.slice(1000).to_batches()]))])
+    calls, plain = [], bam.tags_of
+    monkeypatch.setattr(bam, "tags_of", lambda raw: calls.append(1) or plain(raw))
+    r = bam.BamReader({"path": str(tmp_path / "x")})
+    got = pa.Table.from_batches([b for s in r.partitions() for b in r.read(s)]).to_pydict()
+    assert len(calls) < 60
+    refs = [c or "*" for c in rows[2]]
+    want = {"qname": rows[0], "flag": rows[1], "chrom": refs, "pos": [p or 0 for p in rows[3]], "mapq": rows[4], "cigar": [c or "*" for c in rows[5]], "pnext": rows[7], "tlen": rows[8], "seq": [x or "*" for x in rows[9]], "tags": [t or [] for t in rows[10]]}
+    for c, v in want.items():
+        assert got[c] == v, c
+    assert got["rnext"] == [("=" if a in ("=", b) and b != "*" else "*" if a in (None, "*", "=") else a) for a, b in zip(rows[6], refs, strict=True)]
+
+
+def test_many_bins_are_those_of_each(tmp_path):
+    import numpy as np
+
+    from traitloom.sources import bgzf
+
+    rnd = np.random.default_rng(1)
+    begin = rnd.integers(0, 1 << 29, 500)
+    end = np.minimum(begin + rnd.integers(1, 1 << 20, 500), 1 << 29)
+    assert bgzf.bins_at(begin, end).tolist() == [bgzf.bin_of(int(a), int(b)) for a, b in zip(begin, end, strict=True)]

@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -32,10 +33,11 @@ SCHEMA = "path string, qname string, flag int, chrom string, pos long, mapq int,
 #: Letters of the base codes and of the CIGAR operations.
 BASES = "=ACMGRSVTWYHKDBN"
 OPS = "MIDNSHP=X"
-PAIRS = np.array([(a + b).encode() for a in BASES for b in BASES], "S2")
+LETTERS = np.array([[ord(a), ord(b)] for a in BASES for b in BASES], np.uint8)
 HEX = bytes(ord("0123456789abcdef"[BASES.find(chr(c).upper()) if BASES.find(chr(c).upper()) >= 0 else 15]) for c in range(256))
 FORMS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 HEAD = struct.Struct("<iiiBBHHHiiii")
+FIXED = np.dtype([("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("ops", "<u2"), ("flag", "<u2"), ("seq", "<i4"), ("ref2", "<i4"), ("pos2", "<i4"), ("tlen", "<i4")])
 
 
 def header(blocks: bgzf.Reader) -> tuple[list[str], list[int], int]:
@@ -206,6 +208,36 @@ def cigar_bytes(cigar: str) -> tuple[int, bytes, int]:
     return len(ops), struct.pack(f"<{len(ops)}I", *ops), reach(tuple(ops))
 
 
+@lru_cache(1 << 14)
+def seq_bytes(seq: str) -> tuple[bytes, int]:
+    """A sequence's codes, two a byte, and qualities that aren't known; its length."""
+    if seq == "*":
+        return b"", 0
+    codes = seq.encode("latin-1").translate(HEX)
+    return bytes.fromhex((codes + b"0" * (len(codes) % 2)).decode()) + b"\xff" * len(codes), len(codes)
+
+
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers of each range, one range after the other."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def text(data: np.ndarray, count: np.ndarray) -> pa.Array:
+    """Strings of ``count`` bytes each (Latin-1)."""
+    to = np.concatenate([[0], np.cumsum(count)])
+    if len(data) and data.max() > 127:
+        raw = data.tobytes()
+        return pa.array([raw[a:b].decode("latin-1") for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)], pa.string())
+    return pa.LargeStringArray.from_buffers(len(count), pa.py_buffer(to.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string())
+
+
+def distinct(buffer: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The different pieces of a buffer, and which of them each range is: CIGARs and tags repeat."""
+    found: dict[bytes, int] = {}
+    which = [found.setdefault(buffer[a:b], len(found)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+    return list(found), np.array(which, np.int64)
+
+
 def reach(ops: tuple[int, ...]) -> int:
     """Bases of the reference that a CIGAR covers."""
     return sum(x >> 4 for x in ops if x & 15 in (0, 2, 3, 7, 8))
@@ -293,31 +325,29 @@ class BamReader(DataSourceReader):
             chrom, first, last = self.region
             good &= (ref == (names.index(chrom) if chrom in names else -2)) & (pos < last)
         rows = np.flatnonzero(good)
-        name, ops, seq = col(12, "u1"), col(16, "<u2"), col(20, "<i4")
-        out: dict[str, list] = {c: [] for c in ("qname", "cigar", "seq", "tags")}
-        kept = []
-        for i in rows.tolist():
-            p = int(at[i]) + 36
-            q = p + int(name[i])
-            cigar = struct.unpack_from(f"<{ops[i]}I", buffer, q)
-            if self.region and int(pos[i]) + max(1, reach(cigar)) < self.region[1]:
-                continue
-            kept.append(i)
-            out["qname"].append(buffer[p : q - 1].decode("latin-1"))
-            out["cigar"].append(cigar_of(cigar))
-            q += 4 * int(ops[i])
-            n = int(seq[i])
-            out["seq"].append(PAIRS[np.frombuffer(buffer, np.uint8, (n + 1) // 2, q)].tobytes()[:n].decode() if n else "*")
-            end = int(at[i]) + 4 + int.from_bytes(buffer[at[i] : at[i] + 4], "little")
-            out["tags"].append(tags_of(buffer[q + (n + 1) // 2 + n : end]))
-        k = np.array(kept, np.int64)
-        chrom_of = np.array([*names, "*"], object)
-        ref, ref2 = ref[k], col(24, "<i4")[k]
-        rnext = np.where((ref2 == ref) & (ref2 >= 0), "=", chrom_of[ref2])
-        mate = np.where(flag[k] & 128, 2, 1).astype(np.int32)
+        name, ops, seq, size = col(12, "u1").astype(np.int64), col(16, "<u2").astype(np.int64), col(20, "<i4").astype(np.int64), col(0, "<i4").astype(np.int64)
+        begin = at + 36 + name
+        cigars, which = distinct(buffer, begin[rows], begin[rows] + 4 * ops[rows])
+        cigars = [struct.unpack(f"<{len(x) // 4}I", x) for x in cigars]
+        if self.region:
+            near = pos[rows] + np.array([max(1, reach(x)) for x in cigars], np.int64)[which] >= self.region[1]
+            rows, which = rows[near], which[near]
+        packed, n = begin[rows] + 4 * ops[rows], seq[rows]
+        half = (n + 1) // 2
+        whole = np.frombuffer(buffer, np.uint8)
+        letters = LETTERS[whole[ranges(packed, half)]].ravel()
+        odd = np.cumsum(2 * half)[n % 2 == 1] - 1
+        bases = pc.if_else(pa.array(n == 0), "*", text(np.delete(letters, odd) if len(odd) else letters, n))
+        tags, tagged = distinct(buffer, packed + half + n, at[rows] + 4 + size[rows])
+        names_ = pa.array([*names, "*"], pa.string())
+        ref, ref2 = ref[rows], col(24, "<i4")[rows]
+        chrom = names_.take(pa.array(np.where(ref < 0, len(names), ref)))
+        rnext = pc.if_else(pa.array((ref2 == ref) & (ref2 >= 0)), "=", names_.take(pa.array(np.where(ref2 < 0, len(names), ref2))))
+        mate = np.where(flag[rows] & 128, 2, 1).astype(np.int32)
         columns = [
-            pa.array([path] * len(k), pa.string()), pa.array(out["qname"], pa.string()), pa.array(flag[k]), pa.array(chrom_of[ref], pa.string()), pa.array(pos[k] + 1), pa.array(col(13, "u1")[k].astype(np.int32)), pa.array(out["cigar"], pa.string()),
-            pa.array(rnext.astype(object), pa.string()), pa.array(col(28, "<i4")[k].astype(np.int64) + 1), pa.array(col(32, "<i4")[k].astype(np.int64)), pa.array(out["seq"], pa.string()), pa.array(out["tags"], pa.list_(pa.string())), pa.array(mate),
+            pa.repeat(pa.scalar(path, pa.string()), len(rows)), text(whole[ranges(at[rows] + 36, name[rows] - 1)], name[rows] - 1), pa.array(flag[rows]), chrom, pa.array(pos[rows] + 1), pa.array(col(13, "u1")[rows].astype(np.int32)),
+            pa.array([cigar_of(x) for x in cigars], pa.string()).take(pa.array(which)), rnext, pa.array(col(28, "<i4")[rows].astype(np.int64) + 1), pa.array(col(32, "<i4")[rows].astype(np.int64)), bases,
+            pa.array([tags_of(x) for x in tags], pa.list_(pa.string())).take(pa.array(tagged)), pa.array(mate),
         ]
         return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
@@ -347,19 +377,18 @@ class BamWriter(DataSourceArrowWriter):
             out.write(head, whole=False)
             out.flush()
             for b in iterator:
-                for r in b.to_pylist():
-                    record, ref, pos, after = self.record(r, refs)
+                for record, ref, begin, end, where in self.encoded(b, refs):
                     at = out.tell() if len(out.buffer) + len(record) <= bgzf.MOST else None
                     if at is None and self.whole and out.buffer:
                         out.flush()
                     at = out.tell() if at is None else at
                     out.write(record, self.whole)
                     if index and ref >= 0:
-                        if (ref, pos) < last or max(after, pos + 1, 1) > bgzf.REACH:  # no index has such positions: readers scan
+                        if (ref, begin) < last or end > bgzf.REACH:  # no index has such positions: readers scan
                             index = None
                         else:
-                            index.add(ref, max(0, pos), max(after, pos + 1, 1), at, out.tell())
-                            last = (ref, pos)
+                            index.add(ref, begin, end, at, out.tell(), where)
+                            last = (ref, begin)
                     n += 1
             out.close()
         if index:
@@ -369,18 +398,35 @@ class BamWriter(DataSourceArrowWriter):
         return store.Part(task, names, n)
 
     @staticmethod
-    def record(r: dict, refs: dict[str, int]) -> tuple[bytes, int, int, int]:
-        """A row as a record, its reference and range."""
-        name = (r["qname"] or "*").encode("latin-1") + b"\0"
-        n_ops, ops, length = cigar_bytes(r["cigar"] or "*")
-        seq = b"" if r["seq"] in (None, "*") else r["seq"].encode("latin-1").translate(HEX)
-        pairs = bytes.fromhex((seq + b"0" * (len(seq) % 2)).decode())
-        ref, pos = refs[r["chrom"] or "*"], (r["pos"] or 0) - 1
-        ref2 = ref if r["rnext"] == "=" else refs[r["rnext"] or "*"]
-        after = pos + max(1, length)
-        rest = name + ops + pairs + b"\xff" * len(seq) + b"".join(map(tag_bytes, r["tags"] or []))
-        where = bgzf.bin_of(max(0, pos), max(after, pos + 1, 1)) if ref >= 0 else 4680
-        return HEAD.pack(len(rest) + 32, ref, pos, len(name), r["mapq"] or 0, where, n_ops, r["flag"] or 0, len(seq), ref2, (r["pnext"] or 0) - 1, r["tlen"] or 0) + rest, ref, pos, after
+    def encoded(b: pa.RecordBatch, refs: dict[str, int]) -> Iterator[tuple[bytes, int, int, int, int]]:
+        """Rows as records, with the reference, the range of positions and its bin."""
+        col = lambda c: b.column(b.schema.get_field_index(c))
+        number = lambda c: pc.fill_null(col(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        strings = lambda c: [v or "*" for v in col(c).to_pylist()]
+        ref = [refs[v] for v in strings("chrom")]
+        ref2 = [r if v == "=" else refs[v] for r, v in zip(ref, strings("rnext"), strict=True)]
+        names = [v.encode("latin-1") + b"\0" for v in strings("qname")]
+        cigars, bases = [cigar_bytes(v) for v in strings("cigar")], [seq_bytes(v) for v in strings("seq")]
+        tags = [tag_bytes(v) for v in col("tags").flatten().to_pylist()]
+        to = np.cumsum(pc.fill_null(pc.list_value_length(col("tags")), 0).to_numpy(zero_copy_only=False)).tolist()
+        rest = [b"".join((x, c[1], q[0], *tags[i:j])) for x, c, q, i, j in zip(names, cigars, bases, [0, *to[:-1]], to, strict=True)]
+        pos = number("pos") - 1
+        after = pos + np.maximum(1, np.array([c[2] for c in cigars], np.int64))
+        begin, end = np.maximum(0, pos), np.maximum(np.maximum(after, pos + 1), 1)
+        where = np.where(np.array(ref, np.int64) >= 0, bgzf.bins_at(begin, end), 4680)
+        head = np.zeros(len(rest), FIXED)
+        for field, v in (
+            ("size", [len(x) + 32 for x in rest]), ("ref", ref), ("pos", pos), ("name", [len(x) for x in names]), ("mapq", number("mapq")), ("bin", np.where(where < 1 << 16, where, 0)), ("ops", [c[0] for c in cigars]),
+            ("flag", number("flag")), ("seq", [q[1] for q in bases]), ("ref2", ref2), ("pos2", number("pnext") - 1), ("tlen", number("tlen")),
+        ):
+            v = np.asarray(v, np.int64)
+            info = np.iinfo(FIXED[field])
+            if len(v) and (v.min() < info.min or v.max() > info.max):
+                raise ValueError(f"{field}: beyond what a record holds")
+            head[field] = v
+        heads = head.tobytes()
+        for i, (x, *place) in enumerate(zip(rest, ref, begin.tolist(), end.tolist(), where.tolist(), strict=True)):
+            yield heads[36 * i : 36 * i + 36] + x, *place
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store.publish(self.path, messages)
