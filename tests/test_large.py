@@ -135,3 +135,13 @@ def test_a_whole_run_reads_lines_once(spark, monkeypatch):
     calls, plain = [], Study._lines
     monkeypatch.setattr(Study, "_lines", lambda s: calls.append(1) or plain(s))
     assert queries5.reported(Study(spark, SF)).count() and len(calls) <= 1
+
+
+def test_written_trans_pairs_are_compressed(spark, tmp_path):
+    v = spark.range(600).selectExpr("id as variant_ix", "'c1' as chrom", "10 * id as pos")
+    f = spark.range(4200).selectExpr("7 * id as feature_ix", "'c2' as chrom", "5L as tss")
+    intervals.outside(v, f, 100, 4).select("feature_ix", "variant_ix").write.parquet(str(tmp_path / "p"))
+    size = sum(p.stat().st_size for p in (tmp_path / "p").glob("*.parquet"))
+    d = spark.read.parquet(str(tmp_path / "p"))
+    assert d.count() == 600 * 4200 and d.distinct().count() == 600 * 4200
+    assert size < 0.7 * 600 * 4200  # bytes a pair; 1.2 and more where runs differ
