@@ -145,3 +145,9 @@ def test_written_trans_pairs_are_compressed(spark, tmp_path):
     d = spark.read.parquet(str(tmp_path / "p"))
     assert d.count() == 600 * 4200 and d.distinct().count() == 600 * 4200
     assert size < 0.7 * 600 * 4200  # bytes a pair; 1.2 and more where runs differ
+
+
+def test_components_without_variance_are_no_covariates(spark):
+    rnd = np.random.default_rng(8)
+    d = spark.createDataFrame([(f, i, int(rnd.integers(5, 200)), 1.0) for f in range(4) for i in range(15)], "feature_ix long, sample_ix long, y long, k double")
+    assert {len(r["x"]) for r in matrix.covariates(d).collect()} <= set(range(1, 6))  # four features and the size factor
